@@ -40,7 +40,7 @@ WORDS, PERCENT = 5, 85
 #: Length of a signature; trees; branches of a node below the root; levels below the root.
 TOKENS, TREES, BRANCHES, MAX_LEVEL = 96, 5, 2, 3
 #: Most members, and most shingles of all members together, of a node that is compared exhaustively.
-NODE_ROWS, NODE_SHINGLES = 1_024, 2_000_000
+NODE_ROWS, NODE_SHINGLES = 3_072, 2_000_000
 #: A set goes on if its signature agrees with another's on so much less than the threshold.
 SLACK = 0.15
 
