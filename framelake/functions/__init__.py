@@ -1 +1,6 @@
+"""Column functions, re-exported from the operators that own them."""
 
+from framelake.operators.catalog import contains, filename_timestamp, normalize_collections, padded_bounds, tile_starts
+from framelake.operators.jobs import event_level, event_message, progress_number, refinement_relationship
+
+__all__ = ["contains", "event_level", "event_message", "filename_timestamp", "normalize_collections", "padded_bounds", "progress_number", "refinement_relationship", "tile_starts"]

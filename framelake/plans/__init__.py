@@ -1,4 +1,6 @@
 """Registered queries, by name, and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import catalogue, maintenance, rasters, reports, streams
+from .register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalogue", "maintenance", "rasters", "reports", "streams"]
