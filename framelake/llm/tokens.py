@@ -25,6 +25,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Chunks and pretokens a worker remembers.
 CACHE_ENTRIES = 600_000
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: First bytes of the white-space characters beyond ASCII.
+_WHITE_FIRST = np.unique([c.encode()[0] for c in _WHITE if ord(c) > 127]).astype(np.uint8)
 
 
 def default_path() -> str:
@@ -126,10 +128,11 @@ class Encoder:
         data, rows = text_bytes(column)
         n = len(rows) - 1
         # A border may only be unsafe where white space stands on both sides of a space.
-        white = (data == 32) | ((data >= 9) & (data <= 13)) | (data >= 0x80)
+        plain = (data == 32) | ((data >= 9) & (data <= 13))
+        before, after = plain | (data >= 0x80), plain | np.isin(data, _WHITE_FIRST)
         odd = np.zeros(n, bool)
         if len(data) > 2:
-            hit = np.flatnonzero((data[1:-1] == 32) & white[:-2] & white[2:]) + 1
+            hit = np.flatnonzero((data[1:-1] == 32) & before[:-2] & after[2:]) + 1
             for row in np.unique(np.searchsorted(rows, hit, side="right") - 1):
                 odd[row] = self.risky.search(column[int(row)].as_py()) is not None
         # Chunks start at each row and at each space.
