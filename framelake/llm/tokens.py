@@ -10,8 +10,8 @@ tokens' strings as ordinary text; tests compare them.
 
 from __future__ import annotations
 
-import json
 import os
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +20,13 @@ import regex
 
 from .common import runs, text_bytes
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: The byte-level pretoken pattern: a fixed value of this family of vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks and pretokens a worker remembers.
-CACHE_ENTRIES = 600_000
+#: Chunks, and pretokens, a worker remembers: about 150 MB at most.
+CACHE_ENTRIES = 250_000
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: First bytes of the white-space characters beyond ASCII.
 _WHITE_FIRST = np.unique([c.encode()[0] for c in _WHITE if ord(c) > 127]).astype(np.uint8)
@@ -78,13 +81,11 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        spec = json.loads(open(path, encoding="utf-8").read())
-        cutter = spec.get("pre_tokenizer") or {}
-        if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("a byte-level BPE without normaliser or prefix space is needed")
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         self.model = Tokenizer.from_file(path)
+        cutter = self.model.pre_tokenizer
+        if not isinstance(cutter, pre_tokenizers.ByteLevel) or cutter.add_prefix_space or self.model.normalizer is not None:
+            raise ValueError("a byte-level BPE without normaliser or prefix space is needed")
         self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.model.get_vocab()
@@ -96,6 +97,15 @@ class Encoder:
         self.risky = regex.compile(f"[{_WHITE}] [{_WHITE}]")
         self.chunks, self.pretokens = _Store(), _Store()
 
+    @property
+    def whole(self) -> Tokenizer:
+        """The library's own tokenizer, to compare ids with."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        return whole
+
     def _learn_pretokens(self, pretokens: list[str]) -> None:
         known = self.pretokens.index
         new = [p for p in dict.fromkeys(pretokens) if p not in known]
@@ -122,8 +132,10 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and n + 1 offsets; nulls are empty."""
-        if len(self.chunks.index) > CACHE_ENTRIES or len(self.pretokens.index) > CACHE_ENTRIES:
-            self.chunks, self.pretokens = _Store(), _Store()
+        if len(self.chunks.index) > CACHE_ENTRIES:
+            self.chunks = _Store()
+        if len(self.pretokens.index) > CACHE_ENTRIES:
+            self.pretokens = _Store()
         column = pc.fill_null(column, "")
         data, rows = text_bytes(column)
         n = len(rows) - 1
