@@ -32,6 +32,8 @@ from .tokens import Encoder, default_path
 MAX_LENGTH, END_ID = 2048, 1
 #: Bytes of text a task encodes at a time: less than elsewhere, for ids and caches stand beside it.
 PACK_BYTES = 3_000_000
+#: Chunks, and pretokens, a packing task remembers: about 150 MB at most.
+PACK_CACHE = 250_000
 
 
 def with_end(flat: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +75,7 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, end_id: int = END_ID, to
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder.of(path), TaskContext.get().partitionId()
+        encoder, task = Encoder.of(path, PACK_CACHE), TaskContext.get().partitionId()
         ranks = np.zeros(max_length.bit_length(), np.int64)
         for batch in slices(batches, most=PACK_BYTES):
             flat, offsets = with_end(*encoder.encode(batch.column(1)), end_id)

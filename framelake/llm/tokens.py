@@ -25,8 +25,8 @@ if TYPE_CHECKING:
 
 #: The byte-level pretoken pattern: a fixed value of this family of vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks, and pretokens, a worker remembers: about 150 MB at most.
-CACHE_ENTRIES = 250_000
+#: Chunks, and pretokens, a worker remembers, unless told otherwise.
+CACHE_ENTRIES = 600_000
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: First bytes of the white-space characters beyond ASCII.
 _WHITE_FIRST = np.unique([c.encode()[0] for c in _WHITE if ord(c) > 127]).astype(np.uint8)
@@ -69,19 +69,19 @@ class _Store:
 class Encoder:
     """Encodes text columns; one for each vocabulary file and worker."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, int], Encoder] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, entries: int = CACHE_ENTRIES) -> Encoder:
+        if (path, entries) not in cls._made:
+            cls._made[path, entries] = cls(path, entries)
+        return cls._made[path, entries]
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.path = path
+        self.path, self.entries = path, entries
         self.model = Tokenizer.from_file(path)
         cutter = self.model.pre_tokenizer
         if not isinstance(cutter, pre_tokenizers.ByteLevel) or cutter.add_prefix_space or self.model.normalizer is not None:
@@ -132,9 +132,9 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and n + 1 offsets; nulls are empty."""
-        if len(self.chunks.index) > CACHE_ENTRIES:
+        if len(self.chunks.index) > self.entries:
             self.chunks = _Store()
-        if len(self.pretokens.index) > CACHE_ENTRIES:
+        if len(self.pretokens.index) > self.entries:
             self.pretokens = _Store()
         column = pc.fill_null(column, "")
         data, rows = text_bytes(column)
