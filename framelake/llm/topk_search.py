@@ -103,7 +103,7 @@ def top_k(vectors: DataFrame, query_every: int, k: int = K, scale: int = SCALE,
     ranges = max(1, -(-count // RANGE_ROWS))
     ranged = rows.mapInArrow(nearest, "vec_id long, q array<long>, pivot int").repartitionByRange(ranges, "pivot", "vec_id").sortWithinPartitions("pivot", "vec_id").withColumn("part", F.spark_partition_id())
     placed = common.materialize(ranged, "placed")
-    parts = [r[0] for r in placed.select("part").distinct().collect()]
+    last_part = placed.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +115,7 @@ def top_k(vectors: DataFrame, query_every: int, k: int = K, scale: int = SCALE,
 
     sets = max(1, -(-count // query_every // SET_QUERIES))
     queries = rows.where(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id"]).mapInArrow(floors, "vec_id long, q array<long>, floor long")
-    queries = queries.withColumn("query_set", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int")).withColumn("part", F.explode(F.array(*[F.lit(p) for p in parts] or [F.lit(0)])))
+    queries = queries.withColumn("query_set", F.pmod(F.xxhash64("vec_id"), F.lit(sets)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last_part))))
     blocks = placed.select("vec_id", "q", "part", "pivot").withColumn("query_set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
 
     def tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
