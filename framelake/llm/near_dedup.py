@@ -7,7 +7,10 @@ compared exhaustively; a larger one branches its members again by minwise
 tokens chosen by the node itself, to nodes that share a longer path.  Sets of
 similarity s share a chosen token with probability s, so a pair at s >= 0.85 is
 missed by all TREES trees with probability 0.15**TREES at most where nodes are
-small, and about (1 - 0.85 * 0.9775**MAX_LEVEL)**TREES where they are not.
+small, and about (1 - 0.85 * 0.9775**MAX_LEVEL)**TREES where they are not:
+0.00008 and 0.0004.  The pipeline's stage links at s >= 0.80 with STAGE_TREES:
+0.2**STAGE_TREES and (1 - 0.8 * 0.96**MAX_LEVEL)**STAGE_TREES, 0.00006 and
+0.0006.  The screen by signatures loses another 0.0001 and 0.0003 at most.
 Nodes still large after MAX_LEVEL are compared whole, in tiles of two parts.
 
 Comparing: signatures first drop the sets without a likely partner in their
@@ -37,6 +40,8 @@ from . import common
 from .common import coded_words, gram_hashes, hash_strings, mix64, slices
 
 WORDS, PERCENT = 5, 85
+#: The pipeline's stage: similarity in percent, and trees.
+STAGE_PERCENT, STAGE_TREES = 80, 6
 #: Length of a signature; trees; branches of a node below the root; levels below the root.
 TOKENS, TREES, BRANCHES, MAX_LEVEL = 96, 5, 2, 3
 #: Most members, and most shingles of all members together, of a node that is compared exhaustively.
@@ -176,16 +181,16 @@ def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return table.where(small).select("node", "key"), large, large.count()
 
 
-def candidate_nodes(reps: DataFrame) -> DataFrame:
+def candidate_nodes(reps: DataFrame, trees: int = TREES) -> DataFrame:
     """(node, key): the members of every node that is to be compared exhaustively."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = np.random.default_rng(11).permutation(TOKENS)[:TREES]
+        chosen = np.random.default_rng(11).permutation(TOKENS)[:trees]
         for b in batches:
             if b.num_rows:
                 tokens = np.stack(as_matrix(b.column(2), np.uint32))[:, chosen]
-                node = mix64(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, TREES + 1, dtype=np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), TREES)), pa.array(np.repeat(b.column(1).to_numpy(), TREES))], names=["node", "key", "n"])
+                node = mix64(tokens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, trees + 1, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(node.reshape(-1).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(np.repeat(b.column(1).to_numpy(), trees))], names=["node", "key", "n"])
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,9 +223,9 @@ def candidate_nodes(reps: DataFrame) -> DataFrame:
     return out
 
 
-def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int, trees: int = TREES) -> DataFrame:
     """Confirmed links (a, b) between representatives, a forest of each node."""
-    members = candidate_nodes(reps)
+    members = candidate_nodes(reps, trees)
     least = percent / 100 - SLACK
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
     rows = common.materialize(sketch(docs), "sketch")
     ident = ["n_shingles", "set_a", "set_b"]
@@ -280,7 +285,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classed = common.materialize(rows.drop("signature").join(classes, ident, "left").withColumn("rep", F.coalesce("rep", "row_key")), "classes")
     chosen = classed.where("rep = row_key and n_shingles > 0").select("row_key")
     reps = common.materialize(rows.join(chosen, "row_key").select(F.col("row_key").alias("key"), F.col("n_shingles").alias("n"), "signature"), "reps")
-    roots = components(links(docs, rows, reps, percent))
+    roots = components(links(docs, rows, reps, percent, trees))
     named = classed.join(roots, classed["rep"] == roots["key"], "left").withColumn("root", F.coalesce("root", "rep"))
     named = common.materialize(named.select("doc_id", "text_hash", "row_key", "n_shingles", "root"), "roots")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("best"))
@@ -288,8 +293,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    kept = common.materialize(near_dedup(docs).where("kept").select("doc_id", "text_hash"), "kept")
+    """One document of each group of near duplicates, at the stages' own threshold."""
+    kept = common.materialize(near_dedup(docs, STAGE_PERCENT, STAGE_TREES).where("kept").select("doc_id", "text_hash"), "kept")
     return common.keep_rows(docs, kept)
 
 
