@@ -4,8 +4,9 @@ A byte-level BPE cuts text into pretokens by a fixed pattern and merges each
 by itself.  The library's own cutter is the slow part, so texts are cut here
 at spaces that are always pretoken borders, each distinct chunk is cut once by
 the same pattern, and the library's model encodes each distinct pretoken once.
-The ids equal Tokenizer.encode(text, add_special_tokens=False) with special
-tokens' strings as ordinary text; tests compare them.
+Texts are first parted at the strings of the vocabulary's added tokens, each of
+which is its one id.  The ids equal Tokenizer.encode(text,
+add_special_tokens=False); tests compare them.
 """
 
 from __future__ import annotations
@@ -86,7 +87,13 @@ class Encoder:
         cutter = self.model.pre_tokenizer
         if not isinstance(cutter, pre_tokenizers.ByteLevel) or cutter.add_prefix_space or self.model.normalizer is not None:
             raise ValueError("a byte-level BPE without normaliser or prefix space is needed")
+        # Pretokens of ordinary text only reach the model: an added token is never to be found in them.
         self.model.encode_special_tokens = True
+        added = self.model.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that match by their surroundings are not known here")
+        self.added = {t.content: i for i, t in added.items()}
+        self.parting = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.model.get_vocab()
         self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -102,9 +109,7 @@ class Encoder:
         """The library's own tokenizer, to compare ids with."""
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(self.path)
-        whole.encode_special_tokens = True
-        return whole
+        return Tokenizer.from_file(self.path)
 
     def _learn_pretokens(self, pretokens: list[str]) -> None:
         known = self.pretokens.index
@@ -137,6 +142,34 @@ class Encoder:
         if len(self.pretokens.index) > self.entries:
             self.pretokens = _Store()
         column = pc.fill_null(column, "")
+        holds = np.zeros(len(column), bool)
+        for token in self.added:
+            holds |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        return self._parted(column, holds) if holds.any() else self._plain(column)
+
+    def _parted(self, column: pa.Array, holds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where some rows hold added tokens: the stretches between them are encoded as rows of their own."""
+        stretches: list[pa.Array] = []
+        last, specials = np.ones(len(column), np.int64), []
+        start = 0
+        for r in [*np.flatnonzero(holds).tolist(), len(column)]:
+            stretches.append(column.slice(start, r - start))
+            if r < len(column):
+                text = column[r].as_py()
+                found = self.parting.findall(text)
+                stretches.append(pa.array(self.parting.split(text), column.type))
+                last[r] = len(found) + 1
+                specials.append([self.added[t] for t in found])
+            start = r + 1
+        flat, ends = self._plain(pa.concat_arrays(stretches))
+        # An added token follows each stretch of its row but the last.
+        last = np.cumsum(last)
+        inner = np.ones(len(ends) - 1, bool)
+        inner[last - 1] = False
+        ids = np.insert(flat, ends[1:][inner], np.concatenate(specials).astype(np.uint32))
+        return ids, np.concatenate([[0], (ends[1:] + np.cumsum(inner))[last - 1]])
+
+    def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, rows = text_bytes(column)
         n = len(rows) - 1
         # A border may only be unsafe where white space stands on both sides of a space.

@@ -2,7 +2,11 @@
 
 import random
 
-from framelake.llm import near_dedup
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from framelake.llm import near_dedup, packing, token_files
+from framelake.llm.tokens import Encoder, default_path
 
 from .test_operators import WORDS, lower
 
@@ -24,3 +28,31 @@ def test_near_stage_links_from_four_fifths_on(spark):
     assert kept == {2 * k for k in range(40)} | {2 * k + 1 for k, s in enumerate(shares) if s < 0.80}
     at_85 = {r["doc_id"] for r in near_dedup.near_dedup(docs).where("kept").collect()}
     assert at_85 == {2 * k for k in range(40)} | {2 * k + 1 for k, s in enumerate(shares) if s < 0.85}
+
+
+SPECIAL = ["<|endoftext|>", " a <|endoftext|> b", "a<|endoftext|><|endoftext|>\n\n", None, "", "plain text", "x  <|endoftext|>  y <|endoftext|", "<|ENDOFTEXT|>", "é　<|endoftext|>　 \xa0z"]
+
+
+def test_encoder_knows_added_tokens():
+    whole, encoder = Tokenizer.from_file(default_path()), Encoder.of(default_path())
+    for texts in (SPECIAL, SPECIAL[::-1], SPECIAL[3:6], SPECIAL[:1]):
+        ids, offsets = encoder.encode(pa.array(texts, pa.string()))
+        assert len(offsets) == len(texts) + 1 and offsets[-1] == len(ids)
+        for i, t in enumerate(texts):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids
+    ids, _ = encoder.encode(pa.array(["<|endoftext|>"]))
+    assert ids.tolist() == [50256]
+    assert encoder.whole.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+
+
+def test_packed_and_filed_ids_know_added_tokens(spark, tmp_path):
+    whole = Tokenizer.from_file(default_path())
+    docs = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string")
+    want = {i: whole.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(SPECIAL)}
+    got = {}
+    for r in packing.pack(docs, max_length=64).orderBy("doc_id", "start").collect():
+        got.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert got == {i: [*ids, 1] for i, ids in want.items()}
+    token_files.write_token_files(docs, str(tmp_path / "t"))
+    filed = {r["doc_id"]: r["n_tokens"] for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect()}
+    assert filed == {i: len(ids) + 1 for i, ids in want.items()}
