@@ -6,6 +6,7 @@ DataFrame; `run_once` drives a stream over what is there and returns its result.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,33 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder's path under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/framelake-{uuid.uuid4().hex}"
+
+
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Process all that is there, then return the sink's rows."""
-    name = f"fl_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Process all that is there into a Parquet table of the shared folder, then read it; no row passes the driver.
+
+    The checkpoint stands beside the table.  In append mode the sink's own log
+    names the table's files; in complete mode each batch, which is the whole
+    result, is a table of its own, and the last one is read.
+    """
+    spark, folder = stream.sparkSession, new_folder(stream.sparkSession)
+    path = f"{folder}/rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    done = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        done.append(batch_id)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch-{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
 def hopping_mean(events: DataFrame, width: str, stride: str, delay: str) -> DataFrame:
