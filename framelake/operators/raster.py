@@ -125,8 +125,9 @@ def to_centres(frames: DataFrame, stride: int, width: int) -> DataFrame:
 
 
 def mean_fields(frames: DataFrame, stride: int, width: int) -> DataFrame:
-    """Mean frame of each asset's windows, rounded half to even, one row a pixel."""
-    fed = to_centres(frames.select("asset_id", "frame_index", "pixels"), stride, width)
+    """Mean frame of each asset's windows over its frames of nominal size, rounded half to even, one row a pixel."""
+    whole = frames.join(nominal_geometry(frames), ["asset_id", "width", "height"], "left_semi")
+    fed = to_centres(whole.select("asset_id", "frame_index", "pixels"), stride, width)
     x = fed.select("asset_id", "centre", F.posexplode("pixels").alias("pos", "v"))
     return x.groupBy("asset_id", "centre", "pos").agg(F.rint(F.avg("v")).cast("int").alias("background"), F.count("*").alias("frames"))
 
