@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from framelake.llm import near_dedup, packing, token_files
+from framelake.llm import license_scan, near_dedup, packing, token_files
 from framelake.llm.tokens import Encoder, default_path
 
 from .test_operators import WORDS, lower
@@ -56,3 +56,34 @@ def test_packed_and_filed_ids_know_added_tokens(spark, tmp_path):
     token_files.write_token_files(docs, str(tmp_path / "t"))
     filed = {r["doc_id"]: r["n_tokens"] for r in token_files.read_token_files(spark, str(tmp_path / "t")).collect()}
     assert filed == {i: len(ids) + 1 for i, ids in want.items()}
+
+
+def licenses(spark, texts):
+    found = {}
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["license_id"], r["coverage"]))
+    return [sorted(found.get(i, [])) for i in range(len(texts))]
+
+
+def test_license_notices_are_whole(spark):
+    names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0"]
+    whole = [license_scan.TEMPLATES[n] for n in names]
+    ends = ["DEALINGS IN THE SOFTWARE.", "PERFORMANCE OF THIS SOFTWARE.", "POSSIBILITY OF SUCH DAMAGE.", "POSSIBILITY OF SUCH DAMAGE.", "<https://unlicense.org>", "under the License."]
+    assert all(t.endswith(e) for t, e in zip(whole, ends, strict=True))
+    got = licenses(spark, [f"some words before {t} and after" for t in whole])
+    assert got == [[(3, 3 + len(t.split()), n, 1.0)] for n, t in zip(names, whole, strict=True)]
+    cut, liability = whole[0].split(" IN NO EVENT ")
+    assert [(n, c < 0.8) for _, _, n, c in licenses(spark, [cut])[0]] == [("MIT", True)]
+    assert licenses(spark, [f"IN NO EVENT {liability}"]) == [[]]
+
+
+def test_repeated_notices_are_each_reported(spark):
+    names = ["MIT-line", "CC-BY-NC-4.0-line", "Apache-2.0-line", "GPL-3.0-line"]
+    texts, want = [], []
+    for name in names:
+        for times, between in ((2, "\n"), (7, " "), (60, "\n"), (3, " or ")):
+            notice, gap = license_scan.TEMPLATES[name], len(between.split())
+            n = len(notice.split())
+            texts.append(between.join([notice] * times))
+            want.append([(i * (n + gap), i * (n + gap) + n, name, 1.0) for i in range(times)])
+    assert licenses(spark, texts) == want
