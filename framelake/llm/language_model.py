@@ -42,8 +42,8 @@ from .common import coded_words, segment_ids, slices, text_bytes
 FOLDS, HELD_OUT = 5, 1
 #: Words that are broadcast with their scores; a word and its scores are some 40 bytes.
 HEAD = 100_000
-#: Expectation steps, longest piece in bytes, words of a batch.
-STEPS, MAX_PIECE, BATCH = 3, 12, 8_192
+#: Expectation steps, words of a batch, bytes of a batch's padded words.
+STEPS, BATCH, BLOCK_BYTES = 3, 8_192, 524_288
 #: Languages that have a class of their own; share of a class's words that is drawn from all classes.
 CLASSES, SHARED = 8, 0.03
 #: The end of a text, as a word: white space is in no word.
@@ -61,6 +61,7 @@ class Pieces:
 
     def __init__(self, strings: list[bytes], begins: np.ndarray, logp: np.ndarray, stop: float) -> None:
         self.strings, self.begins, self.logp, self.stop = strings, begins, logp, stop
+        self.longest = max(map(len, strings))
         keys = np.array([self.key(s, b) for s, b in zip(strings, begins.tolist(), strict=True)], np.uint64)
         bits = 20
         self.mask = np.uint64((1 << bits) - 1)
@@ -112,7 +113,7 @@ def load_pieces(path: str) -> Pieces:
             s = model.id_to_piece(i)
             options = [(s.lstrip("▁").encode(), s.startswith("▁"))] + ([(s.encode(), True)] if not s.startswith("▁") else [])
         for s, b in options:
-            if s and len(s) <= MAX_PIECE and (s, b) not in seen:
+            if s and (s, b) not in seen:
                 seen.add((s, b))
                 strings.append(s)
                 begins.append(b)
@@ -138,9 +139,10 @@ def lattice(words: np.ndarray, lengths: np.ndarray, pieces: Pieces) -> np.ndarra
     rolled = np.zeros((n, width + 1), np.uint64)
     for j in range(width):
         rolled[:, j + 1] = rolled[:, j] * Pieces.BASE + words[:, j] + np.uint64(1)
-    edges = np.full((n, width + 1, MAX_PIECE), -1, np.int32)
+    most = min(pieces.longest, width)
+    edges = np.full((n, width + 1, most), -1, np.int32)
     power = np.uint64(1)
-    for l in range(1, min(MAX_PIECE, width) + 1):
+    for l in range(1, most + 1):
         power = np.uint64(int(power) * int(Pieces.BASE) & 0xFFFFFFFFFFFFFFFF)
         hashes = rolled[:, l:] - rolled[:, : width + 1 - l] * power
         starts_word = np.zeros(hashes.shape, bool)
@@ -195,12 +197,12 @@ def long_forward(word: bytes, pieces: Pieces) -> float:
     table = _by_bytes(pieces)
     for e in range(1, len(word) + 1):
         terms = []
-        for l in range(1, min(MAX_PIECE, e) + 1):
+        for l in range(1, min(pieces.longest, e) + 1):
             i = table.get((word[e - l : e], e == l))
             if i is not None:
                 terms.append(recent[-l] + pieces.logp[i])
         top = max(terms)
-        recent = [*recent[-MAX_PIECE + 1 :], top + float(np.log(sum(np.exp(t - top) for t in terms)))]
+        recent = [*recent[max(0, len(recent) - pieces.longest + 1) :], top + float(np.log(sum(np.exp(t - top) for t in terms)))]
     return recent[-1]
 
 
@@ -214,15 +216,19 @@ def _by_bytes(pieces: Pieces) -> dict:
     return _TABLES[id(pieces)]
 
 
-def padded_batches(words: pa.Array, most: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, bytes, lengths) of the words up to `most` bytes, by like lengths."""
+def padded_batches(words: pa.Array, most: int | None = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, bytes, lengths) of the words up to `most` bytes, or of all words, by like lengths."""
     data, offsets = text_bytes(words)
     lengths = np.diff(offsets)
     low = 0
-    for width in (4, 8, 12, 16, 24, 40, most):
+    widths = [4, 8, 12, 16, 24, 40, most or 64]
+    while most is None and widths[-1] < lengths.max(initial=0):
+        widths.append(min(2 * widths[-1], int(lengths.max())))
+    for width in widths:
         rows = np.flatnonzero((lengths > low) & (lengths <= width))
-        for i in range(0, len(rows), BATCH):
-            at = rows[i : i + BATCH]
+        step = max(1, min(BATCH, BLOCK_BYTES // width))
+        for i in range(0, len(rows), step):
+            at = rows[i : i + step]
             n = lengths[at]
             block = np.zeros((len(at), width), np.uint64)
             block[np.repeat(np.arange(len(at)), n), common.runs(n)] = data[np.repeat(offsets[at], n) + common.runs(n)]
@@ -282,7 +288,7 @@ def fit_pieces(words: DataFrame, pieces: Pieces, steps: int = STEPS) -> Pieces:
             now, done = shared.value, 0
             total = np.zeros(len(now.logp))
             for b in batches:
-                for at, block, n in padded_batches(b.column(0)):
+                for at, block, n in padded_batches(b.column(0), None):
                     total += expected(lattice(block, n, now), n, now.logp, np.ones(len(at)))
                     done += len(at)
             used = np.flatnonzero(total)

@@ -1,11 +1,13 @@
 """What the review of the first round found missing, on literal rows."""
 
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from framelake.llm import license_scan, near_dedup, packing, token_files
+from framelake.llm import language_model, license_scan, near_dedup, packing, token_files
 from framelake.llm.tokens import Encoder, default_path
 
 from .test_operators import WORDS, lower
@@ -87,3 +89,29 @@ def test_repeated_notices_are_each_reported(spark):
             texts.append(between.join([notice] * times))
             want.append([(i * (n + gap), i * (n + gap) + n, name, 1.0) for i in range(times)])
     assert licenses(spark, texts) == want
+
+
+def test_pieces_are_fitted_on_long_words_and_long_pieces(spark):
+    pieces = language_model.load_pieces(language_model.default_vocabulary())
+    assert {b"international", b"configuration"} <= set(pieces.strings) and pieces.longest == max(map(len, pieces.strings))
+    strings, begins = [b"a", b"b", b"bbbbbbbbbbbbbbb", b"a"], np.array([True, False, False, False])
+    p = language_model.Pieces(strings, begins, *language_model.normalised(np.arange(1.0, 5.0), begins, 3.0))
+    words = ["a" + "b" * 20, "a" + "b" * 70, "abab" * 50, "a"]
+    want = np.zeros(4)
+    for w in (x.encode() for x in words):  # plain recursion over all segmentations
+        at = [[(i, len(w) - len(w[e:]), e + len(s)) for i, s in enumerate(strings) if w.startswith(s, e) and begins[i] == (e == 0)] for e in range(len(w))]
+        left, right = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+        for e in range(len(w)):
+            for i, _, f in at[e]:
+                left[f] += left[e] * math.exp(p.logp[i])
+        for e in reversed(range(len(w))):
+            right[e] = sum(math.exp(p.logp[i]) * right[f] for i, _, f in at[e])
+        for e in range(len(w)):
+            for i, _, f in at[e]:
+                want[i] += left[e] * math.exp(p.logp[i]) * right[f] / right[0]
+    fitted = language_model.fit_pieces(spark.createDataFrame([(w, 1) for w in words], "word string, c long"), p, 1)
+    logp, stop = language_model.normalised(want, begins, 4.0)
+    assert np.allclose(fitted.logp, logp) and math.isclose(fitted.stop, stop)
+    got = language_model.spelling(pa.array(words), p) - p.stop
+    assert math.isclose(got[1], language_model.long_forward(words[1].encode(), p))
+    assert np.allclose(got[0], language_model.long_forward(words[0].encode(), p))
