@@ -22,13 +22,17 @@ _LOWER[65:91] += 32
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a session in one process takes a temporary folder; on
+    a cluster that would be another one on each machine, so it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("framelake.scratch", None)
     if not folder:
-        folder = spark.conf.get("framelake.scratch", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("framelake.scratch", folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("framelake.scratch", folder)
     return folder.rstrip("/")
 
 
@@ -43,6 +47,42 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys whose rows are settled by a broadcast, at most: each holds more than one in HEAVY of all rows.
+HEAVY = 1024
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """left joined to right, which has one row for each of left's keys and, in `count`, its rows in left.
+
+    Keys with more than total / HEAVY rows, of which there are fewer than HEAVY,
+    are broadcast, so that a hot key's rows stay where they are; only the rest
+    are shuffled.  No key is null.
+    """
+    heavy = F.col(count) * HEAVY > total
+    named = right.where(heavy).drop(count).withColumn("__fl_heavy", F.lit(True))
+    near = left.join(F.broadcast(named.limit(HEAVY)), keys, "left")
+    rest = near.where("__fl_heavy is null").select(*left.columns).join(right.where(~heavy).drop(count), keys)
+    return near.where("__fl_heavy").drop("__fl_heavy").unionByName(rest)
+
+
+def in_parts(rows: DataFrame, keys: list[Column], label: str) -> DataFrame:
+    """rows in order of the keys, written once as parts of a bounded size, with their part's number."""
+    return materialize(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()), label)
+
+
+def running(parts: DataFrame, keys: list[Column], column: Column, into: str) -> DataFrame:
+    """The sum of the column over all rows that come before in the order of the keys; parts as made by in_parts.
+
+    A task sees one part; what comes before a part is summed over one row for each part.
+    """
+    totals = parts.groupBy("part").agg(F.sum(column).alias("__fl_n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", F.coalesce(F.sum("__fl_n").over(before), F.lit(0)).alias("__fl_base"))
+    within = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("__fl_place", F.coalesce(F.sum(column).over(within), F.lit(0)))
+    return placed.join(F.broadcast(bases), "part").withColumn(into, F.col("__fl_base") + F.col("__fl_place")).drop("__fl_base", "__fl_place")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -74,6 +114,18 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return first.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """named, which has one row for each (doc_id, text_hash) in its column named_key, with the text; repeated rows of docs are read once.
+
+    The window's limit is applied before its shuffle, and the join keeps its
+    partitioning.
+    """
+    marked = docs.select(F.struct("doc_id", text_hash("text").alias("text_hash")).alias("named_key"), "text")
+    order = Window.partitionBy("named_key").orderBy(F.lit(1))
+    first = marked.withColumn("__fl_rank", F.row_number().over(order)).where("__fl_rank = 1")
+    return named.join(first, "named_key").drop("named_key", "__fl_rank")
+
+
 def text_hash(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -36,6 +36,6 @@ def test_stages_take_effect(spark):
     assert kept[2].select(F.lower("text")).distinct().count() == kept[2].count()
     words = sum(len(WORDS.findall(r["text"])) for r in kept[3].collect())
     mixed = sum(len(WORDS.findall(r["text"])) for r in kept[4].collect())
-    assert abs(mixed - 1.5 * words) <= 40
+    assert abs(mixed - 1.5 * words) <= 0.001 * mixed  # what is drawn is taken: within a block or two of each source
     packed = corpus_pipeline.STAGES[-1][1](spark, kept[4], DATA)
     assert packed.agg(F.sum("length")).first()[0] > mixed
