@@ -1,26 +1,29 @@
 """Licence scans: winnowed fingerprints of templates, then banded alignment.
 
-Each template's word k-grams are hashed and winnowed: of every window of
-WINDOW hashes the least is kept.  The kept ones form an inverted index from
-fingerprint to (template, place).  A text's k-grams are looked up in it; hits
-on nearby diagonals of one template make a candidate region, and a banded
-Smith-Waterman alignment around those diagonals reports how much of the
-template the region covers and where it lies.  A shared run of
-GRAM + WINDOW - 1 words is always found.  Notices too short for that, such as
-one-line notices, have every k-gram indexed, of GRAM_SHORT words.
+Each template's word k-grams are hashed and winnowed: of every window of hashes
+the least is kept.  The kept ones form an inverted index from fingerprint to
+(template, place).  A text's k-grams are looked up in it; hits that follow each
+other in text and template, on diagonals near each other, make a chain, and a
+Smith-Waterman alignment in a band of fixed width along the chain reports how
+much of the template is covered and where.  What a text holds of a template
+besides that, such as another copy, starts a chain of its own.  The work for a
+chain is bounded by its template's words times the band's width, however long
+the text.  A shared run of gram + window - 1 words is always found; these, the
+least coverage and the grant's length are properties of each template.
 
 The templates are a fixed, small set and go to the tasks with the code; texts
-are read once, with no shuffle.
+are read once, with no shuffle.  Very long texts are scanned whole.
 
 Null and empty texts and texts without a match give no row.  Repeated rows and
 null ids are reported row by row.  An empty table gives no rows.  Columns other
-than doc_id and text are not read.
+than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +33,50 @@ from pyspark.sql import types as T
 from . import common
 from .common import gram_hashes, hash_strings, slices, split_words, text_bytes
 
-GRAM, WINDOW, GRAM_SHORT, SHORT_WORDS = 5, 4, 3, 14
-#: Half width of the alignment's band, in words; gap of words that parts two regions; least share of a template.
-BAND, GAP, COVERAGE = 8, 40, 0.5
-#: The same for short notices, of which an edit takes more.
-COVERAGE_SHORT = 0.8
+#: Half width of the alignment's band, in words; gap of words that ends a chain; chains aligned at a time.
+BAND, GAP, CHAINS = 8, 40, 256
+
+
+class Template(NamedTuple):
+    """A notice, the grams it is indexed by, and what counts as finding it.
+
+    Grams of `gram` words are winnowed by windows of `window` of them (1 keeps
+    all).  A region counts if `coverage` of the notice's words match, or that
+    share of its first `grant` words alone, if given.
+    """
+
+    text: str
+    gram: int = 5
+    window: int = 4
+    coverage: float = 0.5
+    grant: int | None = None
+
+
+def line_of(text: str) -> Template:
+    """A one-line notice: every gram of three words counts, and an edit takes more of it."""
+    return Template(text, 3, 1, 0.8)
+
 
 #: Public licence notices, as their authors ask for them to be quoted.
 TEMPLATES = {
-    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
-    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
-    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>',
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "MIT-line": "Released under the MIT License.",
-    "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MIT": Template('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', grant=116),
+    "Apache-2.0": Template('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    "GPL-3.0-or-later": Template("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    "ISC": Template('Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.', grant=58),
+    "BSD-2-Clause": Template('Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.', grant=69),
+    "BSD-3-Clause": Template('Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.', grant=99),
+    "Unlicense": Template('This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>', grant=45),
+    "MPL-2.0": Template("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "MIT-line": line_of("Released under the MIT License."),
+    "Apache-2.0-line": line_of("Licensed under the Apache License, Version 2.0."),
+    "GPL-3.0-line": line_of("This work is licensed under the GNU General Public License, version 3."),
+    "CC-BY-NC-4.0-line": line_of("Licensed under CC BY-NC 4.0."),
+    "CC-BY-4.0-line": line_of("This work is licensed under a Creative Commons Attribution 4.0 International License."),
 }
-#: First words of the longer notices, without their closing disclaimers; enough of these alone is reported too.
-GRANT_WORDS = {"BSD-2-Clause": 69, "BSD-3-Clause": 99, "ISC": 58, "MIT": 116, "Unlicense": 45}
 
 
-def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Places of the least hash, the last of equal ones, of every window; all places where there is no full window."""
+def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least hash, the last of equal ones, of every window; of all hashes where there is no full window."""
     if len(hashes) <= window:
         return np.unique([len(hashes) - 1 - int(np.argmin(hashes[::-1]))]) if len(hashes) else np.zeros(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
@@ -72,51 +91,107 @@ def template_words(text: str) -> np.ndarray:
 class Index:
     """Fingerprint to postings (template, place), one table for each gram length."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
-        self.names = list(templates)
-        self.words = [template_words(t) for t in templates.values()]
-        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {GRAM: defaultdict(list), GRAM_SHORT: defaultdict(list)}
-        for t, words in enumerate(self.words):
-            short = len(words) < SHORT_WORDS
-            grams = gram_hashes(words, GRAM_SHORT if short else GRAM)
-            for place in (range(len(grams)) if short else winnow(grams)):
-                self.postings[GRAM_SHORT if short else GRAM][int(grams[place])].append((t, int(place)))
+    def __init__(self, templates: dict[str, Template]) -> None:
+        self.names, self.templates = list(templates), list(templates.values())
+        self.words = [template_words(t.text) for t in self.templates]
+        self.bags = [Counter(w.tolist()) for w in self.words]
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for t, (template, words) in enumerate(zip(self.templates, self.words, strict=True)):
+            gram = max(1, min(template.gram, len(words)))
+            grams = gram_hashes(words, gram)
+            for place in winnow(grams, template.window) if template.window > 1 else range(len(grams)):
+                self.postings[gram][int(grams[place])].append((t, int(place)))
         self.keys = {n: np.sort(np.array(list(p), np.uint64)) for n, p in self.postings.items()}
 
     def hits(self, words: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in `words` whose gram is in the index, and the grams."""
         grams, keys = gram_hashes(words, gram), self.keys[gram]
-        if not len(grams) or not len(keys):
+        if not len(grams):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, grams), len(keys) - 1)] == grams)
         return at, grams[at]
 
+    def enough(self, t: int, matches: int, start: int, end: int) -> bool:
+        """Whether so many matches between those places of template t count as finding it."""
+        template, n = self.templates[t], len(self.words[t])
+        grant = template.grant or n
+        return matches >= template.coverage * n or matches - max(0, end - max(start, grant)) >= template.coverage * grant
+
+    def least(self, t: int) -> float:
+        return self.templates[t].coverage * (self.templates[t].grant or len(self.words[t]))
+
+
+def align(text: np.ndarray, template: np.ndarray, spans: np.ndarray, diagonals: np.ndarray, band: int = BAND) -> list[tuple[int, int, int, int, int, int]]:
+    """The best local alignment of each of the text's spans within its band: score, matches, text start and end, template start and end.
+
+    A match scores 2, another pair, and a word of one side alone, -1.  Of span
+    c, template word i may meet the words within `band` of i + diagonals[c, i].
+    Of equal alignments the one that ends first, in the template, then in the
+    text.  All spans go through the template's words together.
+    """
+    width, n, count = 2 * band + 1, len(template), len(spans)
+    base, step, rows = np.arange(n) + diagonals - band, np.arange(width), np.arange(count)[:, None]
+    scores, same = np.zeros((count, n, width), np.int32), np.zeros((count, n, width), bool)
+    padded = np.zeros((count, 3 * width + 2), np.int32)
+    for i in range(n):
+        at = base[:, i, None] + step
+        inside = (at >= spans[:, :1]) & (at < spans[:, 1:])
+        same[:, i] = inside & (text[np.clip(at, 0, len(text) - 1)] == template[i])
+        above = diagonal = np.zeros((count, width), np.int32)
+        if i:
+            padded[:, width + 1 : 2 * width + 1] = scores[:, i - 1]
+            shift = np.clip(base[:, i] - base[:, i - 1], -width, width)[:, None] + step
+            above, diagonal = padded[rows, shift + width + 1], padded[rows, shift + width]
+        own = np.where(inside, np.maximum(np.maximum(diagonal + np.where(same[:, i], 2, -1), above - 1), 0), 0)
+        # A word of the text alone: the best of the cells to the left, less their distance.
+        scores[:, i] = np.where(inside, np.maximum.accumulate(own + step, axis=1) - step, 0)
+    return [trace(s, x, b) for s, x, b in zip(scores, same, base, strict=True)]
+
+
+def trace(scores: np.ndarray, same: np.ndarray, base: np.ndarray) -> tuple[int, int, int, int, int, int]:
+    """The alignment that ends at the first of the highest scores."""
+    width, best = scores.shape[1], int(scores.max(initial=0))
+    if not best:
+        return 0, 0, 0, 0, 0, 0
+    i, k = divmod(int(np.argmax(scores)), width)
+    end_text, end_template, matches = int(base[i]) + k + 1, i + 1, 0
+    while True:
+        j = int(base[i]) + k
+        before = j - 1 - int(base[i - 1]) if i else -1
+        corner = scores[i - 1, before] if i and 0 <= before < width else 0
+        if corner + (2 if same[i, k] else -1) == scores[i, k]:
+            matches += int(same[i, k])
+            if not corner:
+                return best, matches, j, end_text, i, end_template
+            i, k = i - 1, before
+        elif i and 0 <= before + 1 < width and scores[i - 1, before + 1] - 1 == scores[i, k]:
+            i, k = i - 1, before + 1
+        else:
+            k -= 1
 
-def align(text: np.ndarray, template: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment with text place - template place between low and high: matches, text start, text end, template start, template end."""
-    width = high - low + 1
-    best, previous = (0, 0, 0, 0, 0, 0), {}
-    for i in range(len(template)):
-        row: dict[int, tuple[int, int, int, int]] = {}
-        for d in range(width):
-            j = i + low + d
-            if 0 <= j < len(text):
-                same = text[j] == template[i]
-                s, m, a, b = previous.get(d, (0, 0, j, i))  # one word of each
-                options = [(s + (2 if same else -1), m + int(same), a, b)]
-                if d + 1 in previous:  # a word of the template alone
-                    s, m, a, b = previous[d + 1]
-                    options.append((s - 1, m, a, b))
-                if d - 1 in row:  # a word of the text alone
-                    s, m, a, b = row[d - 1]
-                    options.append((s - 1, m, a, b))
-                top = max(options)
-                if top[0] > 0:
-                    row[d] = top
-                    if top[0] > best[0]:
-                        best = (top[0], top[1], top[2], j + 1, top[3], i + 1)
-        previous = row
-    return best[1:]
+
+def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Hits (text place, template place) in text order, each put to the open chain whose diagonal is nearest, if one is near enough."""
+    out: list[list[tuple[int, int]]] = []
+    open_: list[list[tuple[int, int]]] = []
+    for j, i in sorted(hits):
+        open_ = [c for c in open_ if j - c[-1][0] <= GAP]
+        near = [c for c in open_ if j > c[-1][0] and i > c[-1][1] and abs((j - i) - (c[-1][0] - c[-1][1])) <= BAND]
+        if near:
+            min(near, key=lambda c: abs((j - i) - (c[-1][0] - c[-1][1]))).append((j, i))
+        else:
+            open_.append([(j, i)])
+            out.append(open_[-1])
+    return out
+
+
+def best_of(found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Of overlapping regions the one with the most matching words, the first of equal ones."""
+    kept: list[tuple[int, int, int, int, int, int]] = []
+    for x in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
+        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
+            kept.append(x)
+    return sorted(kept, key=lambda x: x[2])
 
 
 def scan_text(words: np.ndarray, places: list[tuple[int, int, int]], index: Index) -> list[tuple[int, int, int, int, int, int]]:
@@ -126,38 +201,28 @@ def scan_text(words: np.ndarray, places: list[tuple[int, int, int]], index: Inde
     for t, j, i in places:
         by_template[t].append((j, i))
     for t, hits in sorted(by_template.items()):
-        template = index.words[t]
-        hits.sort()
-        regions: list[list[tuple[int, int]]] = []
-        for hit in hits:
-            if regions and hit[0] - regions[-1][-1][0] <= GAP and hit[1] >= regions[-1][-1][1] and abs((hit[0] - hit[1]) - (regions[-1][-1][0] - regions[-1][-1][1])) <= BAND:
-                regions[-1].append(hit)
-            else:
-                regions.append([hit])
-        least = (COVERAGE_SHORT if len(template) < SHORT_WORDS else COVERAGE) * len(template)
-        grant = GRANT_WORDS.get(index.names[t], len(template))
-        for region in regions:
-            diagonals = [j - i for j, i in region]
-            low, high = min(diagonals) - BAND, max(diagonals) + BAND
-            # A region may hold the template several times: what lies left and right of each span is aligned again.
-            todo = [(max(0, low), min(len(words), high + len(template) + 1))]
-            while todo:
-                start, end = todo.pop()
-                if end - start < min(least, COVERAGE * grant):
-                    continue
-                m, a, b, c, d = align(words[start:end], template, low - start, high - start)
-                if m >= least or m - max(0, d - max(c, grant)) >= COVERAGE * grant:
-                    out.append((t, m, start + a, start + b, c, d))
-                    todo += [(start, start + a), (start + b, end)]
-    # Of overlapping regions the one with the most matching words is reported.
-    kept: list[tuple[int, int, int, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (-x[1], x[2], x[0])):
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[2])
+        template, spans = index.words[t], {}
+        for chain in chains(hits):
+            starts = np.array([i for _, i in chain])
+            along = np.array([j - i for j, i in chain])[np.maximum(np.searchsorted(starts, np.arange(len(template)), side="right") - 1, 0)]
+            low, high = max(0, int(along[0]) - BAND), min(len(words), len(template) + int(along[-1]) + BAND)
+            # No more can match than the two have in common, in any order.
+            have = Counter(words[low:high].tolist())
+            if sum(min(n, have[w]) for w, n in index.bags[t].items()) >= index.least(t):
+                spans[low, high, along.tobytes()] = along
+        # What lies left and right of a span is aligned again, for the band may hold the template twice.
+        todo = [(low, high, along) for (low, high, _), along in spans.items()]
+        while todo:
+            now, todo = todo[:CHAINS], todo[CHAINS:]
+            found = align(words, template, np.array([x[:2] for x in now]), np.stack([x[2] for x in now]))
+            for (low, high, along), (_, m, a, b, c, d) in zip(now, found, strict=True):
+                if index.enough(t, m, c, d):
+                    out.append((t, m, a, b, c, d))
+                    todo += [(x, y, along) for x, y in ((low, a), (b, high)) if y - x >= index.least(t)]
+    return best_of(out)
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, Template] | None = None) -> DataFrame:
     """One row for each region of a text that covers enough of a template.
 
     Returns doc_id, license_id, coverage (the share of the template's words that
@@ -176,7 +241,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             hashes = hash_strings(coded.dictionary)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
             raw, offsets = text_bytes(batch.column(1))
             places = defaultdict(list)
-            for gram in (GRAM, GRAM_SHORT):
+            for gram in sorted(index.postings):
                 at, grams = index.hits(hashes, gram)
                 row = np.searchsorted(rows, at, side="right") - 1
                 inside = at + gram <= rows[row + 1] if len(at) else np.zeros(0, bool)
