@@ -8,12 +8,18 @@ a document has a feature or not, however long it is.  Each of BAGS classifiers
 is fitted in a task of its own from its share of a bounded sample, and a score
 is the mean of their probabilities.
 
-The sample is at most MAX_POSITIVE toxic rows and MAX_UNLABELLED rows whose
-label is not read, chosen by hashes of their ids; the prior is the
-share of toxic among all labels of the training folds.  Everything else covers
-all rows.  Texts without words score the classifiers' bias.  Without toxic
-labels, or with nothing to set against them, every score is 0.  Null labels are
-unlabelled; of a document's labels the largest counts.
+The sample is at most MAX_POSITIVE rows labelled toxic and MAX_UNLABELLED rows
+of any documents outside the held-out fold, whose labels, if they have one, are
+not read; both are chosen by hashes of id and text, and rows that share both
+count once.  The prior is the share of toxic among all labels of the training
+folds.  Everything else covers all rows.  Texts, however long, are read whole.
+
+Null and empty texts and texts without words score the classifiers' bias.  Null
+ids belong to the fold of the empty text and have no label.  Repeated rows and
+ids are scored row by row.  Null labels are unlabelled; of a document's labels
+the largest counts.  Without toxic labels, or with nothing to set against them,
+every score is 0.  An empty table gives no rows.  Columns of docs other than
+doc_id and text, and of labels other than doc_id and toxic, are not read.
 """
 
 from __future__ import annotations
@@ -75,23 +81,30 @@ def select_features(rows: np.ndarray, features: np.ndarray, names: list[str], po
     return [names[i] for i in good[np.argsort(-strength[good], kind="stable")][:MAX_FEATURES]]
 
 
+def risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray, bool]:
+    """The non-negative risk of the logits, the gradient to follow, and whether it is the risk's own.
+
+    Where the unlabelled rows' risk as negatives, less the positives' share of
+    it, falls below zero, the classifier over-fits: the risk counts it as zero,
+    and the gradient steps back from it.
+    """
+    s, n_p, n_u = 1 / (1 + np.exp(-np.clip(z, -30, 30))), positive.sum(), (~positive).sum()
+    as_negative = np.logaddexp(0, z)
+    positive_part = prior * np.logaddexp(0, -z[positive]).mean()
+    negative_part = as_negative[~positive].mean() - prior * as_negative[positive].mean()
+    grad = np.where(positive, -prior * s / n_p, s / n_u)
+    if negative_part < 0:
+        return positive_part, -grad, False
+    grad[positive] += prior * (s[positive] - 1) / n_p
+    return positive_part + negative_part, grad, True
+
+
 def fit(rows: np.ndarray, features: np.ndarray, n_features: int, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias under the non-negative risk with logistic loss, by Adam on the whole sample."""
     w, bias = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
-    n_p, n_u = positive.sum(), (~positive).sum()
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(rows, w[features], len(positive))
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        loss_neg = np.logaddexp(0, z)
-        negative_part = loss_neg[~positive].mean() - prior * loss_neg[positive].mean()
-        grad = np.zeros(len(positive))
-        if negative_part >= 0:
-            grad[positive] = prior * (s[positive] - 1) / n_p - prior * s[positive] / n_p
-            grad[~positive] = s[~positive] / n_u
-        else:  # below zero the risk over-fits: step back from the negative part
-            grad[positive] = prior * s[positive] / n_p
-            grad[~positive] = -s[~positive] / n_u
+        _, grad, _ = risk(bias + np.bincount(rows, w[features], len(positive)), positive, prior)
         g = np.append(np.bincount(features, grad[rows], n_features) + RIDGE * w, grad.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -106,10 +119,17 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], np
     n, toxic = known.where("toxic is not null").agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("int"))).first()
     if not n or not toxic or toxic == n:
         return None
-    pick = lambda df, most, flag: df.select("doc_id", F.lit(flag).alias("positive"), F.xxhash64("doc_id", F.lit(flag)).alias("h")).orderBy("h", "doc_id").limit(most).drop("h")
-    sample = common.materialize(pick(known.where("toxic = 1"), MAX_POSITIVE, True).union(pick(known, MAX_UNLABELLED, False)), "sample")
+    ids = docs.select("doc_id", common.text_hash("text").alias("text_hash")).where(fold != HELD_OUT).distinct()
+    toxic_ids = known.where("toxic = 1").select("doc_id")
+    pick = lambda df, most, flag: df.select("doc_id", "text_hash", F.lit(flag).alias("positive")).orderBy(F.xxhash64("doc_id", "text_hash", F.lit(flag)), "doc_id", "text_hash").limit(most)
+    sample = common.materialize(pick(ids.join(toxic_ids, "doc_id", "left_semi"), MAX_POSITIVE, True).union(pick(ids, MAX_UNLABELLED, False)), "sample")
     bags = max(1, min(BAGS, sample.count() // BAG_ROWS))
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("bag", F.pmod(F.xxhash64("doc_id"), F.lit(bags)).cast("int"))
+    # At most MAX_POSITIVE + MAX_UNLABELLED names are broadcast, and as many texts, one for each, go to the classifiers.
+    named = sample.select("doc_id", "text_hash").distinct()
+    marked = docs.select("doc_id", "text").withColumn("text_hash", common.text_hash("text"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    found = marked.join(F.broadcast(named), same(marked, named), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = found.join(F.broadcast(sample), same(found, sample)).select("text", "positive", F.pmod(found["text_hash"], F.lit(bags)).cast("int").alias("bag"))
     prior = toxic / n
 
     def bag(pdf: pd.DataFrame) -> pd.DataFrame:
