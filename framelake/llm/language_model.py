@@ -10,18 +10,23 @@ is the share of training tokens that occur once.  A text's score is the log10
 probability of its tokens and its end.
 
 Words are drawn from one of a few classes, which a whole text shares: one for
-each of the CLASSES most frequent languages of the training rows.  A text's
-language is not used to score it: the probability is the classes' mixture.
+each language that CLASS_SHARE of the training rows have, and one for all.  A
+text's language is not used to score it: the probability is the classes'
+mixture.  The end of a text takes a share of every token's probability first,
+so that the probabilities of all texts sum to one at most.
 
 Piece probabilities start from the vocabulary's own order and are fitted to all
 distinct training words by expectation steps over the same lattice, as a Spark
 aggregation of at most one row for each piece.  Word counts cover all training
-rows; only the HEAD most frequent words are broadcast, so that most tokens are
-scored where they stand, and the other words join their counts by shuffle.
-
-Null texts count as empty: such a text is its end alone.  Null ids belong to
-the fold of the empty text.  Repeated rows and ids are scored row by row.  With
-no training rows every count is 0.  Columns but doc_id and text are not read.
+rows; only the HEAD most frequent words of all rows, held out or not, are
+broadcast, so that most tokens are scored where they stand, and the other words
+join their counts by shuffle.
+
+Null texts count as empty: such a text is its end alone.  Texts and words of any
+length are scored whole.  Null ids belong to the fold of the empty text.
+Repeated rows and ids are scored row by row.  With no training rows every count
+is 0.  An empty table gives no rows.  Columns but doc_id, text and, for the
+training rows' classes, lang are not read; lang may be missing.
 """
 
 from __future__ import annotations
@@ -44,8 +49,8 @@ FOLDS, HELD_OUT = 5, 1
 HEAD = 100_000
 #: Expectation steps, words of a batch, bytes of a batch's padded words.
 STEPS, BATCH, BLOCK_BYTES = 3, 8_192, 524_288
-#: Languages that have a class of their own; share of a class's words that is drawn from all classes.
-CLASSES, SHARED = 8, 0.03
+#: Share of the training rows that gives a language a class, so that there are 50 at most; share of a class's words that is drawn from all classes.
+CLASS_SHARE, SHARED = 0.02, 0.03
 #: The end of a text, as a word: white space is in no word.
 END = "\n"
 
@@ -247,16 +252,18 @@ def spelling(words: pa.Array, pieces: Pieces) -> np.ndarray:
 
 
 def classes_of(docs: DataFrame) -> list[str]:
-    """The most frequent languages of the training rows, at most CLASSES; one unnamed class if there is no such column."""
+    """The languages of at least CLASS_SHARE of the training rows; none if there is no such column."""
     if "lang" not in docs.columns:
         return []
-    train = docs.where((common.fold_of("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    rows = train.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
+    train = docs.where(common.fold_of("doc_id", FOLDS) != HELD_OUT)
+    counts = common.materialize(train.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")), "languages")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("lang").isNotNull() & (F.col("n") >= CLASS_SHARE * total)).orderBy(F.desc("n"), "lang").collect()
     return [r["lang"] for r in rows]
 
 
 def word_counts(docs: DataFrame, classes: list[str]) -> DataFrame:
-    """(word, c, c_0...): every word of any text with its count in training texts, in all and by class; END counts the texts."""
+    """(word, seen, c, c_0...): every word with its count in all texts and in training texts, in all and by class; END counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=24_000_000):
@@ -268,14 +275,14 @@ def word_counts(docs: DataFrame, classes: list[str]) -> DataFrame:
             # -2: held out, counted 0 times; -1: no class of its own.
             pair, times = np.unique(codes * (len(classes) + 2) + owner + 2, return_counts=True)
             k = pair % (len(classes) + 2) - 2
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // (len(classes) + 2))), pa.array(k.astype(np.int32)), pa.array(np.where(k == -2, 0, times))], names=["word", "k", "c"])
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // (len(classes) + 2))), pa.array(k.astype(np.int32)), pa.array(times), pa.array(np.where(k == -2, 0, times))], names=["word", "k", "seen", "c"])
 
     k = F.lit(-1)
     for i, name in enumerate(classes):
         k = F.when(F.col("lang").cast("string") == name, i).otherwise(k)
     k = F.when(common.fold_of("doc_id", FOLDS) == HELD_OUT, -2).otherwise(k)
     sums = [F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"c_{i}") for i in range(len(classes))]
-    return docs.select(k.cast("int").alias("k"), "text").mapInArrow(run, "word string, k int, c long").groupBy("word").agg(F.sum("c").alias("c"), *sums)
+    return docs.select(k.cast("int").alias("k"), "text").mapInArrow(run, "word string, k int, seen long, c long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("c").alias("c"), *sums)
 
 
 def fit_pieces(words: DataFrame, pieces: Pieces, steps: int = STEPS) -> Pieces:
@@ -321,27 +328,29 @@ def score(docs: DataFrame, vocabulary: str | None = None, head: int = HEAD) -> D
     prior = np.log10(np.append(1.0, texts[used]) / (1.0 + texts[used].sum()))
     pieces = spark.sparkContext.broadcast(fit_pieces(words, load_pieces(vocabulary or default_vocabulary())))
     spelled = (once + 1) / (total + 2)
+    ends = 1 / (total + 2)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = b.column(1).to_numpy()
+            c = b.column(2).to_numpy()
             base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
             is_end = pc.equal(b.column(0), END).to_numpy(zero_copy_only=False)
             spell = np.where(is_end, -np.inf, spelling(b.column(0), pieces.value))
             share = c / max(total, 1)
             models = []
             for i in [-1, *used.tolist()]:
-                p = share if i < 0 else (1 - SHARED) * b.column(2 + i).to_numpy() / sizes[i] + SHARED * share
+                p = share if i < 0 else (1 - SHARED) * b.column(3 + i).to_numpy() / sizes[i] + SHARED * share
                 with np.errstate(divide="ignore"):
                     m = np.logaddexp(np.log1p(-spelled) + np.log(p), np.log(spelled) + spell)
-                m[is_end] = np.logaddexp(m[is_end], -np.log(total + 2))
+                m += np.log1p(-ends)
+                m[is_end] = np.logaddexp(m[is_end], np.log(ends))
                 models.append(pa.array(m / np.log(10)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((c > 0).astype(np.int64)), pa.array(base), *models], names=["word", "c", "known", "base", *names_of])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array((c > 0).astype(np.int64)), pa.array(base), *models], names=["word", "seen", "c", "known", "base", *names_of])
 
     doubles = ", ".join(f"{n} double" for n in names_of)
-    judged = common.materialize(words.select("word", "c", *of_class).mapInArrow(judge, f"word string, c long, known long, base double, {doubles}"), "judged")
+    judged = common.materialize(words.select("word", "seen", "c", *of_class).mapInArrow(judge, f"word string, seen long, c long, known long, base double, {doubles}"), "judged")
     values_of = ["known", "base", *names_of]
-    top = judged.where((F.col("c") > 1) & (F.col("word") != END)).orderBy(F.desc("c"), "word").limit(head).unionByName(judged.where(F.col("word") == END)).toArrow()
+    top = judged.where((F.col("seen") > 1) & (F.col("word") != END)).orderBy(F.desc("seen"), "word").limit(head).unionByName(judged.where(F.col("word") == END)).toArrow()
     names = spark.sparkContext.broadcast(top.column("word").combine_chunks() if top.num_rows else pa.array([], pa.string()))
     values = spark.sparkContext.broadcast(np.stack([top.column(n).to_numpy().astype(np.float64) for n in values_of]))
     rows = docs.select("doc_id", (common.fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
