@@ -1,7 +1,8 @@
 """Line de-duplication by a deletion-neighbourhood join.
 
-Two lines are alike when at most one word must be inserted, deleted or replaced
-to turn one into the other.  Each distinct line emits, as hashed keys, itself
+Two lines are alike when one word inserted, deleted or replaced turns one into
+the other and is at most `share` of the words of either, so that with a quarter
+lines of four words and more can be alike, and with 1 all can.  Each distinct line emits, as hashed keys, itself
 and every way to leave out one of its words.  Lines alike by a replacement share
 the variant that lacks the word at the same place; lines alike by an insertion
 are a line and a variant of the other.  Both kinds of key are aggregated to
@@ -16,14 +17,16 @@ edit, two lines still share their first or their last half, so only lines that
 share a hashed half with another distinct line emit variants.
 
 Lines are compared by their words, as they stand; white space between words
-does not count.  Blank lines are always kept.  Lines under MIN_WORDS words are
-dropped for equal ones only.  Null texts have no lines.  Null ids come first;
-rows of the same id are ordered by the scan.  An empty table gives no rows.
-Columns other than doc_id and text are not read.
+does not count.  Blank lines are always kept.  Null texts have no lines, an
+empty text has one, which is blank; very long texts and lines are read whole.
+Null ids come first; rows of the same id, repeated rows among them, are ordered
+by the scan.  An empty table gives no rows.  Columns other than doc_id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,8 @@ from pyspark.sql import types as T
 from . import common
 from .common import hash_strings, mix64, slices, split_words, text_bytes
 
-MIN_WORDS = 4
+#: The most that one word may be of a line for an edit of it to make lines alike.
+SHARE = 0.25
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 0xFFFFFFFFFFFFFFFF
 
@@ -83,8 +87,8 @@ def digests(prefix: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix64(whole + mix64(counts.astype(np.uint64)))
 
 
-def half_keys(prefix: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): hashes of the first and the last h words, for h half of a line and of one a word shorter."""
+def half_keys(prefix: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): hashes of the first and the last h words of lines of `least` words, for h half of a line and of one a word shorter."""
     first = np.cumsum(counts + 1) - (counts + 1)
     inverse = pow(_BASE, -1, 1 << 64)
     back = np.empty(int(counts.max(initial=0)) + 2, np.uint64)
@@ -92,7 +96,7 @@ def half_keys(prefix: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     np.cumprod(np.full(len(back) - 1, inverse, np.uint64), out=back[1:])
     lines, keys = [], []
     for less in (0, 1):
-        at = np.flatnonzero(counts >= MIN_WORDS)
+        at = np.flatnonzero(counts >= least)
         if less:
             at = at[counts[at] % 2 == 0]  # else the same half
         h = (counts[at] - less) // 2
@@ -135,7 +139,7 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((long[i + 1 :] == short[i:]).all())
 
 
-def line_table(docs: DataFrame) -> DataFrame:
+def line_table(docs: DataFrame, least: int) -> DataFrame:
     """One row for each line: doc_id, text_hash, row_key, line_no, n_words, line (its digest), halves."""
     rows = docs.select("doc_id", common.text_hash("text").alias("text_hash"), "text")
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("row_key", T.LongType()), T.StructField("line_no", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("halves", T.ArrayType(T.LongType()))])
@@ -146,7 +150,7 @@ def line_table(docs: DataFrame) -> DataFrame:
             row, number, offsets, hashes = line_words(b.column(2))
             counts = np.diff(offsets)
             prefix = prefix_sums(hashes, offsets[:-1], counts)
-            of, half = half_keys(prefix, counts)
+            of, half = half_keys(prefix, counts, least)
             order = np.argsort(of, kind="stable")
             cuts = pa.array(np.searchsorted(of[order], np.arange(len(counts) + 1)).astype(np.int32))
             at = pa.array(row)
@@ -156,19 +160,20 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """One row for each line: doc_id, line_no (from 0), n_words, kept, keep_doc_id, keep_line_no, edits (0, 1, or null where kept)."""
-    lines = common.materialize(line_table(docs), "lines")
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    lines = common.materialize(line_table(docs, math.ceil(1 / share)), "lines")
     order = F.struct("doc_id", "row_key", "line_no", "text_hash")
-    distinct = common.materialize(lines.where("n_words > 0").groupBy("line").agg(F.min(order).alias("first"), F.first("halves").alias("halves")), "distinct")
+    distinct = common.materialize(lines.where("n_words > 0").groupBy("line").agg(F.min(order).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "distinct")
     halves = distinct.select("line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
     chance = halves.join(shared, "half", "left_semi").select("line").distinct()
-    wanted = distinct.join(chance, "line").select("line", F.col("first.doc_id").alias("w_id"), F.col("first.text_hash").alias("w_hash"), F.col("first.line_no").alias("w_no"), "first")
+    wanted = distinct.join(chance, "line").select("line", "first")
     # Each text that holds such lines is read once, with the numbers of the lines.
-    named = wanted.groupBy("w_id", "w_hash").agg(F.collect_set("w_no").alias("numbers"))
-    texts = docs.select("doc_id", "text").withColumn("text_hash", common.text_hash("text"))
-    found = named.join(texts, F.col("w_id").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash"))).select("numbers", "text")
+    named = wanted.groupBy(F.struct("first.doc_id", "first.text_hash").alias("named_key")).agg(F.collect_set("first.line_no").alias("numbers"))
+    found = common.texts_of(docs, named).select("numbers", "text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -182,7 +187,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             cuts = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(digests(prefix, counts).view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(flat.view(np.int64)))], names=["line", "words"])
 
-    words = common.materialize(found.mapInArrow(pick, "line long, words array<long>"), "words").dropDuplicates(["line"])
+    words = common.materialize(found.mapInArrow(pick, "line long, words array<long>"), "words")
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,8 +218,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     sure = both.select("line", "a", "b").mapInArrow(verify, "line long")
     near = common.materialize(alike.join(sure, "line", "left_semi").select("line", F.struct("partner.doc_id", "partner.row_key", "partner.line_no").alias("near")), "near")
-    fate = distinct.select("line", F.struct("first.doc_id", "first.row_key", "first.line_no").alias("first")).join(near, "line", "left")
-    full = lines.where("n_words > 0").drop("halves", "text_hash").join(fate, "line")
+    fate = distinct.select("line", "copies", F.struct("first.doc_id", "first.row_key", "first.line_no").alias("first")).join(near, "line", "left")
+    worded = lines.where("n_words > 0").drop("halves", "text_hash")
+    full = common.join_counted(worded, common.materialize(fate, "fate"), ["line"], "copies", worded.count())
     here = F.struct("doc_id", "row_key", "line_no")
     keep = F.coalesce(F.least("first", "near"), F.col("first"))
     full = full.withColumn("keep", keep).withColumn("kept", F.col("keep") == here)

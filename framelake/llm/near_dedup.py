@@ -18,10 +18,11 @@ node; then the full sets of the rest meet in the node, and links are confirmed
 on them.  A node gives a link to its least member for each linked member, not
 all pairs.  Components come from alternating star contractions.
 
-Texts without words have an empty set and are linked with nothing.  Null ids
-are no component's id unless it has no other.  Of rows that share a component's
-smallest id exactly one is kept.  An empty table gives no rows.  Columns other
-than doc_id and text are not read.
+Null and empty texts, and texts without words, have an empty set and are linked
+with nothing; very long texts are compared by all their shingles.  Null ids
+are no component's id unless it has no other.  Of repeated rows, and rows that
+share a component's smallest id, exactly one is kept.  An empty table gives no
+rows.  Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -237,9 +238,8 @@ def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int, trees
     signed = members.join(reps.select("key", "signature"), "key").select("node", "key", "signature")
     active = common.materialize(signed.repartition("node").sortWithinPartitions("node").mapInArrow(screen, "node long, key long"), "active")
     wanted = active.select("key").distinct().join(rows.select(F.col("row_key").alias("key"), "doc_id", "text_hash"), "key")
-    wanted = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
-    texts = docs.select("doc_id", "text").withColumn("text_hash", common.text_hash("text"))
-    texts = wanted.join(texts, (F.col("w_hash") == F.col("text_hash")) & F.col("w_id").eqNullSafe(F.col("doc_id"))).select("key", "text")
+    # Classes are equal sets, so that two of them never share id and text; null ids of equal texts are one class as well.
+    texts = common.texts_of(docs, wanted.select("key", F.struct("doc_id", "text_hash").alias("named_key"))).select("key", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -247,7 +247,7 @@ def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int, trees
             binary = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(shingles)])
             yield pa.RecordBatch.from_arrays([b.column(0), binary], names=["key", "shingles"])
 
-    sets = common.materialize(texts.mapInArrow(full, "key long, shingles binary"), "sets").dropDuplicates(["key"])
+    sets = common.materialize(texts.mapInArrow(full, "key long, shingles binary"), "sets")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches):
@@ -281,15 +281,18 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, trees: int = TREES) -> D
     """One row for each row of docs: doc_id, text_hash, n_shingles, component_id, kept."""
     rows = common.materialize(sketch(docs), "sketch")
     ident = ["n_shingles", "set_a", "set_b"]
-    classes = rows.where("n_shingles > 0").groupBy(*ident).agg(F.min("row_key").alias("rep"))
-    classed = common.materialize(rows.drop("signature").join(classes, ident, "left").withColumn("rep", F.coalesce("rep", "row_key")), "classes")
+    classes = common.materialize(rows.where("n_shingles > 0").groupBy(*ident).agg(F.min("row_key").alias("rep"), F.count("*").alias("copies")), "sets_of")
+    total, plain = rows.count(), rows.drop("signature")
+    full = common.join_counted(plain.where("n_shingles > 0"), classes, ident, "copies", total)
+    classed = common.materialize(full.unionByName(plain.where("n_shingles = 0").withColumn("rep", F.col("row_key"))), "classes")
     chosen = classed.where("rep = row_key and n_shingles > 0").select("row_key")
     reps = common.materialize(rows.join(chosen, "row_key").select(F.col("row_key").alias("key"), F.col("n_shingles").alias("n"), "signature"), "reps")
     roots = components(links(docs, rows, reps, percent, trees))
     named = classed.join(roots, classed["rep"] == roots["key"], "left").withColumn("root", F.coalesce("root", "rep"))
     named = common.materialize(named.select("doc_id", "text_hash", "row_key", "n_shingles", "root"), "roots")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("best"))
-    return named.join(best, "root").select("doc_id", "text_hash", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("best.row_key") == F.col("row_key")).alias("kept"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("best"), F.count("*").alias("members"))
+    whole = common.join_counted(named, common.materialize(best, "best"), ["root"], "members", total)
+    return whole.select("doc_id", "text_hash", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("best.row_key") == F.col("row_key")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
