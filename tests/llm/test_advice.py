@@ -69,7 +69,7 @@ def licenses(spark, texts):
 
 def test_license_notices_are_whole(spark):
     names = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Apache-2.0"]
-    whole = [license_scan.TEMPLATES[n] for n in names]
+    whole = [license_scan.TEMPLATES[n].text for n in names]
     ends = ["DEALINGS IN THE SOFTWARE.", "PERFORMANCE OF THIS SOFTWARE.", "POSSIBILITY OF SUCH DAMAGE.", "POSSIBILITY OF SUCH DAMAGE.", "<https://unlicense.org>", "under the License."]
     assert all(t.endswith(e) for t, e in zip(whole, ends, strict=True))
     got = licenses(spark, [f"some words before {t} and after" for t in whole])
@@ -84,7 +84,7 @@ def test_repeated_notices_are_each_reported(spark):
     texts, want = [], []
     for name in names:
         for times, between in ((2, "\n"), (7, " "), (60, "\n"), (3, " or ")):
-            notice, gap = license_scan.TEMPLATES[name], len(between.split())
+            notice, gap = license_scan.TEMPLATES[name].text, len(between.split())
             n = len(notice.split())
             texts.append(between.join([notice] * times))
             want.append([(i * (n + gap), i * (n + gap) + n, name, 1.0) for i in range(times)])

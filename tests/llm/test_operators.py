@@ -286,55 +286,374 @@ def test_top_k(spark):
     assert topk_search.top_k(df.where("vec_id in (0, 3)"), 50).count() == 1
 
 
-def test_mixing(docs, empty):
-    got = mixing.mix(docs, block_words=50).collect()
-    again = mixing.mix(docs.repartition(2), block_words=50).collect()
-    assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in again)
+def brute_mix(rows, block, points):
+    """The schedule and its takes in plain Python; documents' order within a source is given by their starts."""
+    sizes = Counter()
+    for r in rows:
+        sizes[r["source_index"]] += r["size"]
+    names = sorted(sizes)
+    goal = {s: next(r["target"] for r in rows if r["source_index"] == s) for s in names}
+    total, edges, low = sum(goal.values()), [], 0.0
+    for s in names:
+        low += goal[s]
+        edges.append(low / total)
+    slots = defaultdict(list)
+    for t in range(max(1, round(total / block))):
+        u = points(t)
+        slots[next((s for s, e in zip(names, edges, strict=True) if goal[s] and u < e), max(s for s in names if goal[s]))].append(t)
+    out = {}
+    for r in rows:
+        s, taken, first = r["source_index"], 0, None
+        given = min(len(slots[s]) * block, math.floor(2 * sizes[s]))
+        for word in range(r["size"]):
+            for at in range(r["start"] + word, given, sizes[s]):
+                taken, first = taken + 1, min(t for t in (first, slots[s][at // block]) if t is not None)
+        out[r["row_key"]] = (taken, first)
+    return out
+
+
+GOLDEN = (365_435_296_162, 591_286_729_879)
+POINTS = {mixing.golden: lambda t: t * GOLDEN[0] % GOLDEN[1] / GOLDEN[1], mixing.van_der_corput: lambda t: int(format(t, "040b")[::-1], 2) / 2**40}
+
+
+def test_points_are_spread(spark):
+    assert abs(GOLDEN[0] / GOLDEN[1] - (math.sqrt(5) - 1) / 2) < 1e-15
+    for points, plain in POINTS.items():
+        got = [r[0] for r in spark.range(4000).select(points(F.col("id"))).collect()] + [r[0] for r in spark.range(10**10, 10**10 + 50).select(points(F.col("id"))).collect()]
+        assert got == pytest.approx([plain(t) for t in [*range(4000), *range(10**10, 10**10 + 50)]], abs=1e-12)
+        ordered = sorted(got[:4000])  # every stretch of the interval has its share, but for a few points
+        assert all(abs(np.searchsorted(ordered, e) - 4000 * e) < 8 for e in np.linspace(0, 1, 97))
+
+
+@pytest.mark.parametrize("points", list(POINTS))
+def test_mixing_follows_its_schedule(docs, points):
+    placed, met = mixing.takes(docs, block_words=16, points=points)
+    want = brute_mix(placed.collect(), 16, POINTS[points])
+    got = {r["row_key"]: (r["taken"], r["first"]) for r in met.groupBy("row_key").agg(F.sum("words").alias("taken"), F.min("slot").alias("first")).collect()}
+    assert {k: got.get(k, (0, None)) for k in want} == want
+
+
+def test_mixing(spark, docs, empty):
+    how = {"block_words": 16}
+    got = mixing.mix(docs, **how).collect()
+    again = mixing.mix(docs.repartition(2), **how).collect()
+    columns = ("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    assert Counter(tuple(r[c] for c in columns) for r in got) == Counter(tuple(r[c] for c in columns) for r in again)
+    other = mixing.mix(docs, points=mixing.van_der_corput, **how).collect()
+    assert Counter((r["doc_id"], r["first_slot"]) for r in got) != Counter((r["doc_id"], r["first_slot"]) for r in other)
     sizes = Counter()
     for _, t, _, s, *_ in awkward():
         sizes[s] += len(WORDS.findall(t or ""))
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goal = mixing.targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()))
-    assert Counter(r["source_size"] for r in got).keys() == set(sizes.values())
+    goal = brute_targets([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(sizes.values()))
+    assert sorted(Counter((r["source_size"], round(r["target"], 6)) for r in got)) == sorted({(sizes[s], round(g, 6)) for s, g in zip(names, goal, strict=True)})
     taken = defaultdict(int)
     for r in got:
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        taken[r["target"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["first_slot"] is None) == (r["taken"] == 0)
+        taken[r["source_size"]] += r["taken"]
     for s, g in zip(names, goal, strict=True):
-        assert g <= 2 * sizes[s] + 1e-9 and abs(taken[g] - g) < 1 or goal.count(g) > 1
+        assert abs(taken[sizes[s]] - g) <= 48
     assert mixing.mix(empty).count() == 0
-
-
-def test_targets_reshare():
-    assert mixing.targets([10, 100, 100], [5, 2, 1], 120) == pytest.approx([20, 200 / 3, 100 / 3])
-    assert mixing.targets([0, 5], [5, 2], 50) == [0, 10]
+    # The documents themselves: the words taken, in the order of the slots.
+    rows = [r for r in mixing.mixed_documents(docs, **how).collect()]
+    words = Counter()
+    for r in rows:
+        words[r["doc_id"]] += len(WORDS.findall(r["text"]))
+    want = Counter()
+    for r in got:
+        want[r["doc_id"]] += r["taken"]
+    assert +words == +want
+    placed, met = mixing.takes(docs, **how)
+    slots = placed.join(met, "row_key").select("doc_id", "slot").collect()
+    assert [d for _, d in sorted((r["slot"], r["doc_id"] or 0) for r in slots)] != sorted(r["doc_id"] or 0 for r in rows)
+    of = defaultdict(list)
+    for r in slots:
+        of[r["doc_id"]].append(r["slot"])
+    at = [min(of[r["doc_id"]]) for r in rows if len(of[r["doc_id"]]) == 1]
+    assert at == sorted(at)
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"s{i % 900:04d}") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=1).collect()
+    total = defaultdict(int)
+    for r in got:
+        total[rows[r["doc_id"]][2]] += r["taken"]
+    goal = {rows[r["doc_id"]][2]: r["target"] for r in got}
+    assert all(abs(total[s] - g) <= 4 for s, g in goal.items()) and abs(sum(total.values()) - 1.5 * sum(r["size"] for r in got)) <= 300
+
+
+def brute_targets(sizes, weights, pool, repeat=2.0):
+    out, free, left = [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i]], pool
+    while free:
+        total = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / total > repeat * sizes[i]]
+        for i in over or free:
+            out[i] = repeat * sizes[i] if over else left * weights[i] / total
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+@pytest.mark.parametrize("sizes, weights, pool", [([10, 100, 100], [5, 2, 1], 120), ([0, 5], [5, 2], 50), ([7, 3, 900, 40, 2], [5, 2, 1, 5, 2], 1428)])
+def test_water_level(spark, sizes, weights, pool):
+    table = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "source_index int, source_size long, weight double")
+    level = mixing.water_level(table, pool, 2.0)
+    assert [min(w * level, 2.0 * s) if s else 0.0 for s, w in zip(sizes, weights, strict=True)] == pytest.approx(brute_targets(sizes, weights, pool))
+
+
+def full_align(text, template):
+    """Smith-Waterman over the whole table: the first best end, and its trace back with the module's order of steps."""
+    table = np.zeros((len(template) + 1, len(text) + 1), int)
+    for i in range(1, len(template) + 1):
+        for j in range(1, len(text) + 1):
+            table[i, j] = max(0, table[i - 1, j - 1] + (2 if text[j - 1] == template[i - 1] else -1), table[i - 1, j] - 1, table[i, j - 1] - 1)
+    if not table.max():
+        return 0, 0, 0, 0, 0, 0
+    i, j = (int(x) for x in np.unravel_index(np.argmax(table), table.shape))
+    end, matches = (j, i), 0
+    while True:
+        gain = 2 if text[j - 1] == template[i - 1] else -1
+        if table[i - 1, j - 1] + gain == table[i, j]:
+            matches += gain == 2
+            if not table[i - 1, j - 1]:
+                return int(table.max()), matches, j - 1, end[0], i - 1, end[1]
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] - 1 == table[i, j]:
+            i -= 1
+        else:
+            j -= 1
+
+
+def brute_scan(words, index):
+    """All templates by whole tables: the best alignment that counts, then what is left and right of it."""
+    found = []
+    for t, template in enumerate(index.words):
+        todo = [(0, len(words))]
+        while todo:
+            start, end = todo.pop()
+            if end - start >= index.least(t):
+                _, m, a, b, c, d = full_align(words[start:end], template)
+                if index.enough(t, m, c, d):
+                    found.append((t, m, start + a, start + b, c, d))
+                    todo += [(start, start + a), (start + b, end)]
+    return license_scan.best_of(found)
+
+
+def test_license_scan_equals_whole_tables():
+    rng = random.Random(12)
+    chosen = {
+        "a": license_scan.Template(" ".join(f"a{rng.randrange(30)}" for _ in range(40))),
+        "b": license_scan.Template(" ".join(f"b{i}" for i in range(30)), grant=18),
+        "line": license_scan.line_of("x1 x2 x3 x4 x5 x6"),
+    }
+    index = license_scan.Index(chosen)
+    for _ in range(12):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = chosen[rng.choice(["a", "b", "line"])].text.split()
+            if len(words) > 10:
+                for _ in range(rng.randint(0, 3)):
+                    at = rng.randrange(len(words))
+                    words[at : at + rng.randint(0, 1)] = [f"e{rng.randrange(9)}"] * rng.randint(0, 1)
+                words = words[: rng.choice([len(words), 25])]
+            parts += words + [f"f{rng.randrange(50)}" for _ in range(rng.choice([0, 1, 12]))]
+        hashes = license_scan.template_words(" ".join(parts))
+        places = []
+        for gram in sorted(index.postings):
+            at, grams = index.hits(hashes, gram)
+            places += [(t, int(j), i) for j, g in zip(at, grams, strict=True) for t, i in index.postings[gram][int(g)]]
+        assert license_scan.scan_text(hashes, places, index) == brute_scan(hashes, index), parts
 
 
 def test_license_scan(spark, empty):
     rng = random.Random(6)
     filler = [f"w{rng.randint(0, 500)}" for _ in range(400)]
-    mit = license_scan.TEMPLATES["MIT"].split()
+    mit = license_scan.TEMPLATES["MIT"].text.split()
     edited = mit[:20] + ["extra"] + mit[22:60]
-    texts = [" ".join(filler), " ".join(filler[:50] + mit + filler[50:]), " ".join(filler[:7] + edited), "é " + license_scan.TEMPLATES["MIT-line"], None, "", license_scan.TEMPLATES["Apache-2.0"].upper()]
+    texts = [" ".join(filler), " ".join(filler[:50] + mit + filler[50:]), " ".join(filler[:7] + edited), "é " + license_scan.TEMPLATES["MIT-line"].text, None, "", license_scan.TEMPLATES["Apache-2.0"].text.upper()]
     got = [tuple(r) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
     by = {(r[0], r[1]): r for r in got}
     full = by[(1, "MIT")]
     assert full[2] == 1.0 and (full[4], full[5]) == (50, 50 + len(mit)) and texts[1][full[6] : full[7]] == full[8]
     part = by[(2, "MIT")]
     assert part[4] == 7 and abs(part[3] - 58) <= 1
-    assert by[(3, "MIT-line")][8] == license_scan.TEMPLATES["MIT-line"]
+    assert by[(3, "MIT-line")][8] == license_scan.TEMPLATES["MIT-line"].text
     assert (6, "Apache-2.0") in by and {r[0] for r in got} == {1, 2, 3, 6}
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_on_repeated_rows_and_other_columns(spark):
+    line = license_scan.TEMPLATES["MIT-line"].text
+    rows = [(1, line, "x", 5), (1, line, "y", 6), (None, line, None, None), (2, None, "z", 7), (None, "", "z", 7)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, license_id string, start_word long")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["license_id"], r["start_word"]) for r in got) == [(False, 1, "MIT-line", 0), (False, 1, "MIT-line", 0), (True, 0, "MIT-line", 0)]
+
+
 def test_alignment_equals_full_dynamic_programming():
     rng = np.random.default_rng(8)
-    for _ in range(30):
-        a, b = rng.integers(0, 4, rng.integers(1, 12)), rng.integers(0, 4, rng.integers(1, 12))
-        table = np.zeros((len(b) + 1, len(a) + 1), int)
-        for i in range(1, len(b) + 1):
-            for j in range(1, len(a) + 1):
-                table[i, j] = max(0, table[i - 1, j - 1] + (2 if a[j - 1] == b[i - 1] else -1), table[i - 1, j] - 1, table[i, j - 1] - 1)
-        m, s, e, t, u = license_scan.align(a, b, -20, 20)
-        assert 2 * m - (max(e - s, u - t) - m) >= table.max() - 0 or table.max() == 0 or m > 0
-        assert (table.max() > 0) == (m > 0)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 9))
+        assert license_scan.align(a, b, np.array([[0, len(a)]]), np.zeros((1, len(b)), int))[0] == full_align(a, b)
+    # A band along a diagonal that moves is a table of its own, whose cells outside count nothing.
+    a = np.concatenate([np.arange(6), np.full(30, 99), np.arange(6, 12)])
+    along = np.array([[0] * 6 + [30] * 6])
+    assert license_scan.align(a, np.arange(12), np.array([[0, len(a)]]), along)[0][:2] == (12, 6)
+
+
+def test_risk_is_non_negative_and_its_gradient_true():
+    rng = np.random.default_rng(3)
+    positive = rng.random(60) < 0.3
+    seen = set()
+    for scale in (0.1, 1.0, 6.0):
+        z = rng.normal(size=60) * scale + positive * scale * 2 - (~positive) * scale * 3
+        for prior in (0.1, 0.6):
+            value, grad, own = toxicity.risk(z, positive, prior)
+            seen.add(own)
+            plus, minus = np.logaddexp(0, -z), np.logaddexp(0, z)
+            rest = minus[~positive].mean() - prior * minus[positive].mean()
+            assert math.isclose(value, prior * plus[positive].mean() + max(0.0, rest)) and own == (rest >= 0)
+            target = (lambda y: prior * np.logaddexp(0, -y[positive]).mean() + np.logaddexp(0, y)[~positive].mean() - prior * np.logaddexp(0, y)[positive].mean()) if own else (lambda y: prior * np.logaddexp(0, y)[positive].mean() - np.logaddexp(0, y)[~positive].mean())
+            for i in range(60):
+                step = np.zeros(60)
+                step[i] = 1e-5
+                assert math.isclose(grad[i], (target(z + step) - target(z - step)) / 2e-5, abs_tol=1e-6)
+    assert seen == {True, False}
+
+
+def test_toxicity_learns_from_text_without_labels(spark):
+    rows = [(i, "vile " + " ".join(f"w{(i * 7 + k) % 40}" for k in range(30)) if i < 60 else " ".join(f"w{(i * 7 + k) % 40}" for k in range(30))) for i in range(400)]
+    docs = spark.createDataFrame(rows + [(7, rows[7][1])] * 50, "doc_id long, text string")
+    only_toxic_known = spark.createDataFrame([(i, 1) for i in range(60)] + [(399, 0)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, only_toxic_known).collect()}
+    assert min(got[i] for i in range(60)) > max(got[i] for i in range(60, 400))
+
+
+def test_top_k_prunes_ranges_and_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "RANGE_ROWS", 64)
+    monkeypatch.setattr(topk_search, "RANGES_AT_ONCE", 3)
+    monkeypatch.setattr(topk_search, "SET_QUERIES", 16)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, [float(v) for v in centres[i % 12] + rng.normal(size=8) * 0.2], "x", 1, 1) for i in range(900)]
+    got = defaultdict(list)
+    for r in topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, part int, q int"), 10, block_rows=8).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = np.floor(256 * np.array([r[1] for r in rows])).astype(np.int64)
+    scores = whole @ whole.T
+    for q in range(0, 900, 10):
+        order = np.lexsort((np.arange(900), -scores[q]))
+        want = [(int(i), int(scores[q, i])) for i in order if i != q][:5]
+        assert got.pop(q) == want
+    assert not got
+
+
+def test_top_k_beyond_64_bits_is_an_error(spark):
+    for big in (1e17, 1e300):
+        rows = spark.createDataFrame([(50, [big, 1.0]), (1, [big, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits|too large|int"):
+            topk_search.top_k(rows, 50).collect()
+    fits = spark.createDataFrame([(50, [2.0**20, 1.0]), (1, [2.0**20, 2.0])], "vec_id long, embedding array<double>")
+    assert [r["score"] for r in topk_search.top_k(fits, 50).collect()] == [2**56 + 2 * 2**16]
+
+
+def test_line_share_takes_short_lines_in(spark):
+    rows = [(1, "a b\nc d e"), (2, "a x\nq"), (3, "c d\nz\nlong line of words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = [((d, n), tuple(x.split())) for d, t in rows for n, x in enumerate(t.split("\n"))]
+    for share in (1.0, 0.5, 0.25):
+        got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in line_dedup.line_dedup(docs, share).collect()}
+        for at, w in lines:
+            alike = [p for p, v in lines if v == w or (min(len(v), len(w)) >= 1 / share and edit_one(list(v), list(w)))]
+            assert got[at] == min(alike), (share, at)
+
+
+def test_buckets_are_folders(spark, docs, tmp_path):
+    pieces = packing.pack(docs, max_length=64)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    read = spark.read.parquet(str(tmp_path / "b"))
+    assert read.count() == pieces.count()
+    assert all(r["length"] == 2 ** r["bucket"] for r in read.select("length", "bucket").distinct().collect())
+
+
+def test_near_dedup_finds_every_link_of_a_whole_table(spark):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets, postings = [], defaultdict(list)
+    for n, (_, t) in enumerate(rows):
+        w = WORDS.findall(lower(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+        for g in sets[-1]:
+            postings[g].append(n)
+    both = Counter((a, b) for p in postings.values() for i, a in enumerate(p) for b in p[i + 1 :])
+    root = list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for (a, b), n in both.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            root[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_dedup(docs).collect()}
+    assert got == {d: (len(sets[i]), least[find(i)], least[find(i)] == d) for i, (d, _) in enumerate(rows)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
+
+
+def test_final_language_model_score(spark):
+    """The mixture by hand: whole words, spellings, classes and the end."""
+    import pyarrow as pa
+
+    rows = [(i, t, l) for i, (t, l) in enumerate([("red green red", "a"), ("blue sky", "b"), ("red sky zzq", "a"), ("green blue blue", "b"), ("red unseen", "b"), ("Sky green red", None), (None, "a"), ("blue", "a"), ("red red", "b"), ("newword sky", "a")])]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    assert held and len(held) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tokens = {i: WORDS.findall(lower(t)) + ["\n"] for i, t, _ in rows}
+    langs = Counter(l for i, _, l in rows if i not in held and l)
+    classes = [l for l, _ in sorted(langs.items(), key=lambda x: (-x[1], x[0]))]
+    everywhere, own = Counter(), {c: Counter() for c in classes}
+    for i, _, l in rows:
+        if i not in held:
+            everywhere.update(tokens[i])
+            if l:
+                own[l].update(tokens[i])
+    total, once = sum(everywhere.values()), sum(n == 1 for n in everywhere.values())
+    words = language_model.word_counts(docs, classes)
+    pieces = language_model.fit_pieces(words, language_model.load_pieces(language_model.default_vocabulary()))
+    spelled, ends = (once + 1) / (total + 2), 1 / (total + 2)
+    texts = [own[c]["\n"] for c in classes]
+
+    def log_p(word, c):
+        share = everywhere[word] / total
+        if c is not None:
+            share = (1 - language_model.SHARED) * own[c][word] / sum(own[c].values()) + language_model.SHARED * share
+        spell = 0.0 if word == "\n" else math.exp(language_model.spelling(pa.array([word]), pieces)[0])
+        return math.log10((1 - ends) * ((1 - spelled) * share + spelled * spell) + (ends if word == "\n" else 0))
+
+    for head in (100, 1):
+        for r in language_model.score(docs, head=head).collect():
+            options = [(1 / (1 + sum(texts)), None)] + [(n / (1 + sum(texts)), c) for n, c in zip(texts, classes, strict=True)]
+            want = math.log10(sum(p * 10 ** sum(log_p(w, c) for w in tokens[r["doc_id"]]) for p, c in options))
+            assert math.isclose(r["score"], want, rel_tol=1e-9), r
