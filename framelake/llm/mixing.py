@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS, SHARE, REPEAT = (5, 2, 1), 1.5, 2.0
-BLOCK_WORDS, SLOT_RUN = 64, 65_536
+BLOCK_WORDS, SLOT_RUN = 64, 16_384
 #: Documents in a hash range of a source, and slots in a cell of the unit interval, about.
 RANGE_ROWS, CELL_SLOTS = 2_000, 65_536
 #: Two Fibonacci numbers in a row.
