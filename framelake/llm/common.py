@@ -114,18 +114,6 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return first.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """named, which has one row for each (doc_id, text_hash) in its column named_key, with the text; repeated rows of docs are read once.
-
-    The window's limit is applied before its shuffle, and the join keeps its
-    partitioning.
-    """
-    marked = docs.select(F.struct("doc_id", text_hash("text").alias("text_hash")).alias("named_key"), "text")
-    order = Window.partitionBy("named_key").orderBy(F.lit(1))
-    first = marked.withColumn("__fl_rank", F.row_number().over(order)).where("__fl_rank = 1")
-    return named.join(first, "named_key").drop("named_key", "__fl_rank")
-
-
 def text_hash(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

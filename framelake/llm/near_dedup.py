@@ -175,8 +175,9 @@ def linked(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.n
 
 def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Rows (node, key, n) by whether their node, of two members or more, is small; and the rows in large ones."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("mass")).where("m > 1")
-    table = common.materialize(rows.join(sizes, "node"), "nodes")
+    sizes = rows.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("mass"), F.count("*").alias("members")).where("m > 1")
+    sizes = common.materialize(sizes, "sizes")
+    table = common.materialize(common.join_counted(rows, sizes, ["node"], "members", sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]), "nodes")
     small = f"m <= {NODE_ROWS} and mass <= {NODE_SHINGLES}"
     large = table.where(f"not ({small})")
     return table.where(small).select("node", "key"), large, large.count()
@@ -238,8 +239,9 @@ def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int, trees
     signed = members.join(reps.select("key", "signature"), "key").select("node", "key", "signature")
     active = common.materialize(signed.repartition("node").sortWithinPartitions("node").mapInArrow(screen, "node long, key long"), "active")
     wanted = active.select("key").distinct().join(rows.select(F.col("row_key").alias("key"), "doc_id", "text_hash"), "key")
-    # Classes are equal sets, so that two of them never share id and text; null ids of equal texts are one class as well.
-    texts = common.texts_of(docs, wanted.select("key", F.struct("doc_id", "text_hash").alias("named_key"))).select("key", "text")
+    wanted = wanted.select("key", F.col("doc_id").alias("w_id"), F.col("text_hash").alias("w_hash"))
+    texts = docs.select("doc_id", "text").withColumn("text_hash", common.text_hash("text"))
+    texts = wanted.join(texts, (F.col("w_hash") == F.col("text_hash")) & F.col("w_id").eqNullSafe(F.col("doc_id"))).select("key", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -247,7 +249,7 @@ def links(docs: DataFrame, rows: DataFrame, reps: DataFrame, percent: int, trees
             binary = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(shingles)])
             yield pa.RecordBatch.from_arrays([b.column(0), binary], names=["key", "shingles"])
 
-    sets = common.materialize(texts.mapInArrow(full, "key long, shingles binary"), "sets")
+    sets = common.materialize(texts.mapInArrow(full, "key long, shingles binary"), "sets").dropDuplicates(["key"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches):
