@@ -7,9 +7,24 @@ from pyspark.sql import functions as F
 
 
 def put(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """New (key, payload) rows: equal payloads once, keys already stored left out."""
-    fresh = incoming.groupBy("key").agg(F.min("payload").alias("payload"), F.countDistinct("payload").alias("versions"))
-    return fresh.join(stored.select("key"), "key", "left_anti").select("key", F.octet_length("payload").alias("size"), (F.col("versions") > 1).alias("conflict"))
+    """What storing (key, payload) rows does: key, size, action.
+
+    A new key is 'stored' once; a key that the store has with the same bytes is
+    'kept'; a key with other bytes, in the store or among the incoming rows
+    themselves, is a 'conflict', which nothing is written for.
+    """
+    digest = F.sha2(F.col("payload").cast("binary"), 256)
+    fresh = incoming.groupBy("key").agg(F.min("payload").alias("payload"), F.min(digest).alias("low"), F.max(digest).alias("high"))
+    have = stored.select("key", digest.alias("stored"))
+    x = fresh.join(have, "key", "left")
+    action = F.when((F.col("low") != F.col("high")) | (F.col("stored") != F.col("low")), "conflict").when(F.col("stored").isNotNull(), "kept").otherwise("stored")
+    return x.select("key", F.octet_length("payload").alias("size"), action.alias("action"))
+
+
+def put_or_raise(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """put, where a conflict is an error."""
+    x = put(incoming, stored)
+    return x.withColumn("action", F.when(F.col("action") == "conflict", F.raise_error(F.concat(F.lit("other bytes are stored under key "), F.col("key")))).otherwise(F.col("action")))
 
 
 def audit(store: DataFrame) -> DataFrame:

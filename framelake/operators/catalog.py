@@ -99,20 +99,29 @@ def frame_context(frames: DataFrame, assets: DataFrame, detections: DataFrame) -
     return frames.join(assets.select("asset_id", "filename", "kind"), "asset_id").join(lists, "frame_id", "left")
 
 
-def collection_counts(assets: DataFrame) -> DataFrame:
-    return assets.select(F.explode("collections").alias("collection")).groupBy("collection").agg(F.count("*").alias("asset_count"))
+def collection_counts(assets: DataFrame, like: str | None = None) -> DataFrame:
+    """Assets of each collection, of those whose name holds the text."""
+    x = assets.select(F.explode("collections").alias("collection"))
+    return (x if like is None else x.where(contains("collection", like))).groupBy("collection").agg(F.count("*").alias("asset_count"))
 
 
-def normalize_collections(text: Column) -> Column:
-    """Split on commas, trim, drop empties, keep first of equal ones; ['none'] if nothing is left."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
+def normalize_collections(value: Column) -> Column:
+    """Text split on commas, or a list as it is: trimmed, without empty ones, the first of equal ones; ['none'] if nothing is left."""
+    return normalize_list(F.split(F.coalesce(value, F.lit("")), ","))
+
+
+def normalize_list(values: Column) -> Column:
+    parts = F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
     return F.when(F.size(parts) == 0, F.array(F.lit("none"))).otherwise(parts)
 
 
+#: Fixed value: a date, a blank, T or hyphen, and a time with hyphens or colons, in a file's name.
+NAME_TIME = r"(\d{4})-(\d{2})-(\d{2})[ T-](\d{2})[-:](\d{2})[-:](\d{2})(?:\.(\d{1,6}))?"
+
+
 def filename_timestamp(name: Column) -> Column:
-    """Text YYYY-MM-DD HH:MM:SS.ffffff from a name with YYYYMMDD, HHMMSS and an optional fraction; null without."""
-    pattern = r"(\d{4})(\d{2})(\d{2})[-_T ]?(\d{2})(\d{2})(\d{2})(?:[._](\d{1,6}))?"
-    g = lambda i: F.regexp_extract(name, pattern, i)
+    """Text YYYY-MM-DD HH:MM:SS.ffffff of the first time in a file's name; null without one."""
+    g = lambda i: F.regexp_extract(name, NAME_TIME, i)
     return F.when(g(1) != "", F.concat(g(1), F.lit("-"), g(2), F.lit("-"), g(3), F.lit(" "), g(4), F.lit(":"), g(5), F.lit(":"), g(6), F.lit("."), F.rpad(g(7), 6, "0")))
 
 
@@ -126,13 +135,21 @@ def padded_bounds(padding: int, width: int, height: int) -> dict[str, Column]:
     }
 
 
-def overlap_pairs(rois: DataFrame) -> DataFrame:
-    """Overlapping pairs of a frame's regions: intersection area, IoU, and containment of either."""
-    a = rois.select(*[F.col(c).alias(f"a_{c}") for c in ("frame_id", "detection_id", "roi_index", "bbox_x", "bbox_y", "bbox_w", "bbox_h")])
-    b = rois.select(*[F.col(c).alias(f"b_{c}") for c in ("frame_id", "detection_id", "roi_index", "bbox_x", "bbox_y", "bbox_w", "bbox_h")])
-    p = a.join(b, (F.col("a_frame_id") == F.col("b_frame_id")) & (F.col("a_detection_id") < F.col("b_detection_id")))
-    w = F.least(F.col("a_bbox_x") + F.col("a_bbox_w"), F.col("b_bbox_x") + F.col("b_bbox_w")) - F.greatest("a_bbox_x", "b_bbox_x")
-    h = F.least(F.col("a_bbox_y") + F.col("a_bbox_h"), F.col("b_bbox_y") + F.col("b_bbox_h")) - F.greatest("a_bbox_y", "b_bbox_y")
+def overlap_pairs(rois: DataFrame, cell: int = 64) -> DataFrame:
+    """Overlapping pairs of a frame's regions: intersection area, IoU, and containment of either.
+
+    Regions meet in the cells of a grid over the frame, so that only those near
+    each other are compared; a pair counts in the cell of its overlap's corner.
+    """
+    columns = ("frame_id", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
+    span = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.greatest(F.col(size), F.lit(1)) - 1) / cell))
+    binned = rois.select(*columns, F.explode(span("bbox_x", "bbox_w")).alias("cx"), span("bbox_y", "bbox_h").alias("cys")).select(*columns, "cx", F.explode("cys").alias("cy"))
+    a, b = (binned.select(*[F.col(c).alias(f"{side}_{c}") for c in columns], *[F.col(c).alias(f"{side}_{c}") for c in ("cx", "cy")]) for side in "ab")
+    p = a.join(b, (F.col("a_frame_id") == F.col("b_frame_id")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")) & (F.col("a_detection_id") < F.col("b_detection_id")))
+    x, y = F.greatest("a_bbox_x", "b_bbox_x"), F.greatest("a_bbox_y", "b_bbox_y")
+    p = p.where((F.floor(x / cell) == F.col("a_cx")) & (F.floor(y / cell) == F.col("a_cy")))
+    w = F.least(F.col("a_bbox_x") + F.col("a_bbox_w"), F.col("b_bbox_x") + F.col("b_bbox_w")) - x
+    h = F.least(F.col("a_bbox_y") + F.col("a_bbox_h"), F.col("b_bbox_y") + F.col("b_bbox_h")) - y
     p = p.withColumns({"w": w, "h": h}).where("w > 0 and h > 0").withColumn("intersection", F.col("w") * F.col("h"))
     size_a, size_b = F.col("a_bbox_w") * F.col("a_bbox_h"), F.col("b_bbox_w") * F.col("b_bbox_h")
     return p.select(F.col("a_detection_id").alias("first_id"), F.col("b_detection_id").alias("second_id"), "intersection", F.round(F.col("intersection") / (size_a + size_b - F.col("intersection")), 6).alias("iou"), F.round(F.col("intersection") / size_a, 6).alias("first_contained"), F.round(F.col("intersection") / size_b, 6).alias("second_contained"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .catalog import filename_timestamp
+
 #: The file suffixes of frames and of videos.
 IMAGE_SUFFIXES = ["bmp", "dib", "jpeg", "jpg", "jp2", "png", "tif", "tiff", "webp"]
 VIDEO_SUFFIXES = ["avi", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "wmv"]
@@ -52,11 +58,56 @@ def discover_sources(files: DataFrame) -> DataFrame:
     return found.withColumn("checksum", stand_in)
 
 
-def frame_order(files: DataFrame) -> DataFrame:
-    """Images of each folder with frame_index, their rank from 1 by lower-cased name."""
-    order = Window.partitionBy("folder").orderBy(F.lower(F.col("filename")), "filename")
+def content_profiles(files: DataFrame) -> DataFrame:
+    """discover_sources with hashes of the contents: files has path, length and content (binary).
+
+    A source's checksum is the hash of its files' own hashes in order of their
+    names; captured_at is the time its first file's name tells, if it does.
+    Each file is hashed where it is read; only hashes are shuffled.
+    """
+    kind = F.when(is_image("path"), "image_sequence").when(is_video("path"), "video")
+    media = files.select(kind.alias("kind"), F.col("path").alias("file"), F.sha2("content", 256).alias("hash")).where("kind is not null")
+    source = F.when(F.col("kind") == "video", F.col("file")).otherwise(folder("file"))
+    order = F.struct(F.lower(name("file")), name("file"))
+    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), "hash")))
+    found = media.groupBy("kind", source.alias("path")).agg(listed.alias("l"))
+    hashed = found.select("kind", "path", F.sha2(F.array_join(F.transform("l", lambda x: x["hash"]), ","), 256).alias("content_hash"), filename_timestamp(F.element_at("l", 1)["o"]["col2"]).alias("captured_at"))
+    return discover_sources(files).join(hashed, ["kind", "path"])
+
+
+def frame_order(files: DataFrame, root: str | None = None) -> DataFrame:
+    """Images with frame_index, their rank from 1 by lower-cased name: within each folder or, below a root, over all its folders by relative folder and name."""
     images = files.where(is_image("path")).select(folder("path").alias("folder"), name("path").alias("filename"), "path")
-    return images.withColumn("frame_index", F.row_number().over(order))
+    named = [F.lower(F.col("filename")), F.col("filename")]
+    if root is None:
+        return images.withColumn("frame_index", F.row_number().over(Window.partitionBy("folder").orderBy(*named)))
+    base = root.rstrip("/")
+    inside = images.where(F.col("path").startswith(base + "/")).withColumn("relative", F.substring("folder", len(base) + 2, 1 << 20))
+    # Ranks by folder first, and by name within each: the folders' sizes, one row each, give the offsets.
+    sizes = inside.groupBy("relative").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("relative").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("relative").orderBy(*named))
+    return inside.withColumn("own", own).join(sizes.select("relative", before.alias("before")), "relative").select("folder", "filename", "path", (F.col("before") + F.col("own")).cast("int").alias("frame_index"))
+
+
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files below a folder as gray frames: path, frame_index (its rank), width, height, pixels."""
+    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(path).select("image.*")
+    schema = "path string, width int, height int, pixels array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for origin, h, w, n, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                a = np.frombuffer(data, np.uint8).reshape(h * w, n).astype(np.int64)
+                gray = a[:, 0] if n == 1 else (a[:, :3] @ np.array([114, 587, 299]) + 500) // 1000
+                out.append((origin, w, h, gray.astype(np.int32)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int32()))], names=["path", "width", "height", "pixels"])
+
+    frames = raw.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, schema)
+    order = frame_order(frames.select("path"))
+    return frames.join(order.select("path", "frame_index"), "path")
 
 
 def line_scan_tiles(frames: DataFrame, n_tile: int) -> DataFrame:

@@ -53,11 +53,19 @@ def throughput(logs: DataFrame, keys: list[str]) -> DataFrame:
     return x.withColumn("units_per_s", F.when(F.col("total_ms") > 0, F.round(F.col("units") * 1000 / F.col("total_ms"), 4)))
 
 
-def phases(logs: DataFrame) -> DataFrame:
-    """Time of each phase within its worker, and its share of the worker's total."""
+def phases(logs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Time of each phase within its worker, and its share of the worker's total.
+
+    totals (worker_id, total_ms), if given, is the measured whole; what no phase
+    accounts for is then a phase of its own, 'unattributed'.
+    """
     per = logs.groupBy("worker_id", "event_type").agg(F.sum("duration_ms").alias("ms"), F.count("*").alias("n"))
-    total = per.groupBy("worker_id").agg(F.sum("ms").alias("worker_ms"))
-    return per.join(total, "worker_id").select("worker_id", "event_type", "n", F.round(F.col("ms") / F.col("n"), 4).alias("avg_ms"), F.round(100 * F.col("ms") / F.col("worker_ms"), 4).alias("percent"))
+    measured = per.groupBy("worker_id").agg(F.sum("ms").alias("worker_ms"))
+    if totals is not None:
+        whole = measured.join(totals, "worker_id").select("worker_id", F.col("total_ms").alias("worker_ms"), F.greatest(F.col("total_ms") - F.col("worker_ms"), F.lit(0.0)).alias("ms"))
+        per = per.unionByName(whole.select("worker_id", F.lit("unattributed").alias("event_type"), "ms", F.lit(1).cast("long").alias("n")))
+        measured = whole.select("worker_id", "worker_ms")
+    return per.join(measured, "worker_id").select("worker_id", "event_type", "n", F.round(F.col("ms") / F.col("n"), 4).alias("avg_ms"), F.round(100 * F.col("ms") / F.col("worker_ms"), 4).alias("percent"))
 
 
 def event_level(event: Column) -> Column:
@@ -71,14 +79,22 @@ def event_message(event: Column, stage: Column, worker: Column) -> Column:
 
 
 def enrich(events: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Events with what their job knows, a level and a message; works on streams too."""
-    known = jobs.select("job_id", "asset_id", "stage")
+    """Events with what their job knows, a level and a message; works on streams too.
+
+    What an event has itself of project_id, run_id, asset_id and, in its
+    payload, stage comes before what its job has.
+    """
+    names = [c for c in ("project_id", "run_id", "asset_id") if c in jobs.columns]
+    known = jobs.select("job_id", *[F.col(c).alias(f"job_{c}") for c in names], F.col("stage").alias("job_stage"))
     x = events.join(known, "job_id", "left")
-    return x.select("id", "job_id", "asset_id", event_level(F.col("event_type")).alias("level"), event_message(F.col("event_type"), F.col("stage"), F.col("worker_id")).alias("message"))
+    own = lambda c: F.coalesce(F.col(c), F.col(f"job_{c}")) if c in events.columns else F.col(f"job_{c}")
+    stage = F.coalesce(F.get_json_object("payload", "$.stage"), F.col("job_stage")) if "payload" in events.columns else F.col("job_stage")
+    return x.select("id", "job_id", *[own(c).alias(c) for c in names], event_level(F.col("event_type")).alias("level"), event_message(F.col("event_type"), stage, F.col("worker_id")).alias("message"))
 
 
 def refinement_relationship(metadata: Column) -> Column:
     """What a refined row is to its candidates, from its metadata JSON."""
-    split = F.coalesce(F.get_json_object(metadata, "$.split_from"), F.lit("")) != ""
-    eaten = F.coalesce(F.size(F.from_json(F.get_json_object(metadata, "$.consumed"), "array<string>")), F.lit(0)) > 0
+    at = lambda k: F.coalesce(F.get_json_object(metadata, f"$.{k}"), F.lit(""))
+    split = at("split_from_candidate_detection_id") != ""
+    eaten = ~at("consumed_candidate_detection_ids").isin("", "[]", "null")
     return F.when(split & eaten, "many_to_many").when(split, "split_child").when(eaten, "merge_keeper").otherwise("one_to_one")

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .catalog import tile_starts
+from .raster import boxes, label, mask_in_crop
 
 IOU, CONTAINMENT = 0.5, 0.8
 
@@ -49,30 +53,205 @@ def merge_tiles(predicted: DataFrame, tile: int) -> DataFrame:
     return p.groupBy("frame_id", "x", "y").agg(F.avg("vote").alias("share")).where("share >= 0.5").select("frame_id", "x", "y")
 
 
+class Keepers:
+    """The kept regions of a frame in cells of a grid, so that a region meets only those near it."""
+
+    CELL = 64
+
+    def __init__(self) -> None:
+        self.kept: list[dict] = []
+        self.cells: dict[tuple[int, int], list[int]] = {}
+
+    def cells_of(self, r: dict) -> list[tuple[int, int]]:
+        c = self.CELL
+        return [(i, j) for i in range(r["x"] // c, (r["x"] + max(r["w"], 1) - 1) // c + 1) for j in range(r["y"] // c, (r["y"] + max(r["h"], 1) - 1) // c + 1)]
+
+    def near(self, r: dict) -> list[dict]:
+        """Kept regions that share a cell with r, in the order they were kept."""
+        return [self.kept[i] for i in sorted({i for cell in self.cells_of(r) for i in self.cells.get(cell, ())})]
+
+    def add(self, r: dict) -> None:
+        for cell in self.cells_of(r):
+            self.cells.setdefault(cell, []).append(len(self.kept))
+        self.kept.append(r)
+
+
+def shared_area(a: dict, b: dict) -> int:
+    """The pixels two regions share: of their masks, if they have any, else of their boxes."""
+    x0, y0 = max(a["x"], b["x"]), max(a["y"], b["y"])
+    x1, y1 = min(a["x"] + a["w"], b["x"] + b["w"]), min(a["y"] + a["h"], b["y"] + b["h"])
+    if x1 <= x0 or y1 <= y0:
+        return 0
+    if a["mask"] is None or b["mask"] is None:
+        return (x1 - x0) * (y1 - y0)
+    p, q = (r["mask"][y0 - r["y"] : y1 - r["y"], x0 - r["x"] : x1 - r["x"]] for r in (a, b))
+    return int(np.count_nonzero((p > 0) & (q > 0)))
+
+
+def consume(found: list[dict], iou: float = IOU, containment: float = CONTAINMENT) -> list[tuple[dict, dict | None, int]]:
+    """(region, the kept region that consumes it, shared pixels), the largest first; a kept region has none.
+
+    Regions have area, order (what decides between equal areas), x, y, w, h and
+    mask or None.
+    """
+    keepers, out = Keepers(), []
+    for r in sorted(found, key=lambda r: (-r["area"], r["order"])):
+        by, both = None, 0
+        for k in keepers.near(r):
+            both = shared_area(r, k)
+            if both and (both >= iou * (r["area"] + k["area"] - both) or both >= containment * min(r["area"], k["area"])):
+                by = k
+                break
+        if by is None:
+            keepers.add(r)
+        out.append((r, by, both if by else 0))
+    return out
+
+
 def reconcile(rois: DataFrame, iou: float = IOU, containment: float = CONTAINMENT) -> DataFrame:
-    """Larger regions of a frame consume those that overlap them substantially: detection_id, keeper_id, consumed."""
-    x = rois.select("frame_id", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(size=pdf.bbox_w * pdf.bbox_h).sort_values(["size", "detection_id"], ascending=[False, True])
-        kept: list[tuple] = []
-        out = []
-        for r in pdf.itertuples():
-            keeper = None
-            for k in kept:
-                w = min(r.bbox_x + r.bbox_w, k.bbox_x + k.bbox_w) - max(r.bbox_x, k.bbox_x)
-                h = min(r.bbox_y + r.bbox_h, k.bbox_y + k.bbox_h) - max(r.bbox_y, k.bbox_y)
-                both = max(w, 0) * max(h, 0)
-                if both and (both >= iou * (r.size + k.size - both) or both >= containment * min(r.size, k.size)):
-                    keeper = k
-                    break
-            if keeper is None:
-                kept.append(r)
-            out.append((r.frame_id, r.detection_id, (keeper or r).detection_id, keeper is not None))
-        return pd.DataFrame(out, columns=["frame_id", "detection_id", "keeper_id", "consumed"])
-
-    kinds = dict(x.dtypes)
-    return x.groupBy("frame_id").applyInPandas(greedy, f"frame_id {kinds['frame_id']}, detection_id string, keeper_id string, consumed boolean")
+    """Larger regions of a frame consume those that overlap them substantially: frame_id, detection_id, keeper_id, consumed.
+
+    rois has boxes and may have mask, an array of bbox_w values a row; areas and
+    overlaps are then the masks'.  Work on a frame grows with its regions and
+    those near each, not with all their pairs.
+    """
+    kinds = dict(rois.dtypes)
+    x = rois.select("frame_id", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", F.col("mask") if "mask" in kinds else F.lit(None).cast("array<int>").alias("mask"))
+
+    def greedy(t: pa.Table) -> pa.Table:
+        found = []
+        for r in t.to_pylist():
+            mask = None if r["mask"] is None else np.array(r["mask"]).reshape(r["bbox_h"], r["bbox_w"])
+            area = r["bbox_w"] * r["bbox_h"] if mask is None else int(np.count_nonzero(mask))
+            found.append({"frame": r["frame_id"], "id": r["detection_id"], "order": r["detection_id"], "area": area, "x": r["bbox_x"], "y": r["bbox_y"], "w": r["bbox_w"], "h": r["bbox_h"], "mask": mask})
+        done = consume(found, iou, containment)
+        columns = {"frame_id": [r["frame"] for r, _, _ in done], "detection_id": [r["id"] for r, _, _ in done], "keeper_id": [(k or r)["id"] for r, k, _ in done], "consumed": [k is not None for _, k, _ in done]}
+        return pa.table({n: pa.array(v, t.schema.field("frame_id").type if n == "frame_id" else None) for n, v in columns.items()})
+
+    return x.groupBy("frame_id").applyInArrow(greedy, f"frame_id {kinds['frame_id']}, detection_id string, keeper_id string, consumed boolean")
+
+
+def consumed_links(reconciled: DataFrame) -> DataFrame:
+    """Each kept region with the ids it consumed, in order, and their count."""
+    eaten = reconciled.groupBy("keeper_id").agg(F.sort_array(F.collect_list(F.when(F.col("consumed"), F.col("detection_id")))).alias("consumed_candidate_detection_ids"))
+    return eaten.withColumn("consumed_count", F.size("consumed_candidate_detection_ids"))
+
+
+def not_empty(refined: DataFrame) -> DataFrame:
+    """Refined rows whose mask has any foreground."""
+    return refined.where(F.exists("mask", lambda v: v > 0))
+
+
+def storage_candidate_id(metadata: str = "metadata", own: str = "detection_id") -> Column:
+    """The stored candidate that a refined row belongs to: a split child's parent, or its own."""
+    at = lambda k: F.nullif(F.get_json_object(metadata, f"$.{k}"), F.lit(""))
+    return F.coalesce(at("split_from_candidate_detection_id"), at("residual_parent_candidate_detection_id"), F.col(own).cast("string"))
+
+
+def starts_of(length: int, tile: int, stride: int) -> list[int]:
+    return [0] if length <= tile else sorted({*range(0, length - tile + 1, stride), length - tile})
+
+
+def refine_once(roi: np.ndarray, mask: np.ndarray, model: Callable[[np.ndarray], np.ndarray], tile: int, overlap: float, threshold: float = 0.5) -> np.ndarray:
+    """Overlapping tiles of two channels, image and mask, through the model; a pixel stays that half of its tiles vote for."""
+    h, w = roi.shape
+    stride = max(1, tile - round(tile * overlap))
+    at = [(y, x) for y in starts_of(h, tile, stride) for x in starts_of(w, tile, stride)]
+    image = roi / 255.0 if roi.max(initial=0) > 1 else roi.astype(np.float64)
+    stack = np.zeros((len(at), tile, tile, 2))
+    for n, (y, x) in enumerate(at):
+        part = image[y : y + tile, x : x + tile]
+        stack[n, : part.shape[0], : part.shape[1], 0] = np.nan_to_num(part)
+        stack[n, : part.shape[0], : part.shape[1], 1] = mask[y : y + tile, x : x + tile] > 0
+    out = np.asarray(model(stack))
+    votes, seen = np.zeros((h, w)), np.zeros((h, w))
+    for (y, x), p in zip(at, out, strict=True):
+        own = (p > 0) if p.max(initial=0) > 1 else (p >= threshold)
+        rows, columns = min(tile, h - y), min(tile, w - x)
+        votes[y : y + rows, x : x + columns] += own[:rows, :columns]
+        seen[y : y + rows, x : x + columns] += 1
+    return np.where(votes >= 0.5 * seen, 255, 0)
+
+
+def edges_of(mask: np.ndarray, crop: tuple[int, int, int, int], shape: tuple[int, int], margin: int = 1) -> dict[str, bool]:
+    """The edges of the crop that the mask reaches and that are no edges of the frame."""
+    on, (x, y, w, h) = mask > 0, crop
+    return {"left": bool(on[:, :margin].any()) and x > 0, "right": bool(on[:, max(0, w - margin) :].any()) and x + w < shape[1], "top": bool(on[:margin].any()) and y > 0, "bottom": bool(on[max(0, h - margin) :].any()) and y + h < shape[0]}
+
+
+def refine_growing(frame: np.ndarray, crop: tuple[int, int, int, int], mask: np.ndarray, model: Callable[[np.ndarray], np.ndarray], tile: int, overlap: float, by: int, times: int) -> tuple[np.ndarray, tuple[int, int, int, int], int, bool]:
+    """Refine, and where the mask reaches an edge grow the crop and refine again, `times` at most: mask, crop, growths, whether it still reaches one."""
+    growths, reaches = 0, False
+    for _ in range(times):
+        x, y, w, h = crop
+        mask = refine_once(frame[y : y + h, x : x + w], mask, model, tile, overlap)
+        touched = edges_of(mask, crop, frame.shape)
+        reaches = any(touched.values())
+        if not reaches:
+            break
+        x0, y0 = max(0, x - by) if touched["left"] else x, max(0, y - by) if touched["top"] else y
+        x1 = min(frame.shape[1], x + w + by) if touched["right"] else x + w
+        y1 = min(frame.shape[0], y + h + by) if touched["bottom"] else y + h
+        grown = (x0, y0, x1 - x0, y1 - y0)
+        if grown == crop:
+            break
+        mask, crop, growths = mask_in_crop(mask, (x, y), grown), grown, growths + 1
+        reaches = any(edges_of(mask, crop, frame.shape).values())
+    return mask, crop, growths, reaches
+
+
+REFINED = "detection_id string, candidate_detection_id string, generation int, crop_bbox_x int, crop_bbox_y int, crop_bbox_w int, crop_bbox_h int, bbox_x int, bbox_y int, bbox_w int, bbox_h int, area long, major_axis_length double, minor_axis_length double, min_gray int, mean_gray double, growths int, touches_edge boolean, consumed_by string, consumed_ids array<string>, mask array<int>"
+
+
+def refine_detections(frames: DataFrame, detections: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int = 256, overlap: float = 0.25, expansion: int | None = None, iterations: int = 3, residual_generations: int = 1, residual_area: int = 1, reconcile_overlaps: bool = True) -> DataFrame:
+    """Refine each frame's detections with the frame at hand: growth at touched edges, what is left over as split children, no empty rows, overlaps reconciled.
+
+    detections has detection_id, frame_id, crop_bbox_* and mask, as wide as the
+    crop.  A frame and its detections meet once, in one group of the size of
+    the frame; children keep their parent's id as candidate_detection_id.
+    Consumed rows carry their keeper in consumed_by, keepers what they consumed.
+    """
+    by = tile // 2 if expansion is None else expansion
+    kinds = dict(frames.dtypes)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[dict] = []
+        for f in left.to_pylist()[:1]:
+            frame = np.array(f["pixels"]).reshape(f["height"], f["width"])
+            todo = []
+            for d in sorted(right.to_pylist(), key=lambda d: d["detection_id"]):
+                crop = tuple(d[f"crop_bbox_{k}"] for k in "xywh")
+                todo.append((d["detection_id"], d["detection_id"], 0, crop, np.array(d["mask"]).reshape(crop[3], crop[2])))
+            while todo:
+                own, parent, generation, crop, before = todo.pop(0)
+                mask, grown, growths, reaches = refine_growing(frame, crop, before, model, tile, overlap, 0 if generation else by, iterations)
+                left_over = (mask_in_crop(before, crop[:2], grown) > 0) & (mask == 0)
+                out.append({"frame_id": f["frame_id"], "detection_id": own, "candidate_detection_id": parent, "generation": generation, "crop": grown, "mask": mask, "growths": growths, "touches_edge": reaches})
+                if generation < residual_generations:
+                    parts = label(left_over)
+                    sizes = np.bincount(parts.reshape(-1))[1:]
+                    children = [i for i, n in enumerate(sizes, 1) if n >= residual_area]
+                    todo += [(f"{own}:residual:{generation + 1}:{k}", parent, generation + 1, grown, (parts == i) * 255) for k, i in enumerate(children, 1)]
+            out = [r for r in out if (r["mask"] > 0).any()]
+            for r in out:
+                x, y, w, h = r["crop"]
+                r |= {"x": x, "y": y, "w": w, "h": h, "area": int(np.count_nonzero(r["mask"])), "order": r["detection_id"], "id": r["detection_id"], "consumed_by": None, "consumed_ids": []}
+            if reconcile_overlaps:
+                for r, keeper, _ in consume(out):
+                    if keeper is not None:
+                        r["consumed_by"] = keeper["id"]
+                        keeper["consumed_ids"].append(r["id"])
+            for r in out:
+                x, y, w, h = r["crop"]
+                b = boxes((r["mask"] > 0).astype(np.int64))
+                gray = frame[y : y + h, x : x + w][r["mask"] > 0]
+                r |= {f"crop_bbox_{k}": v for k, v in zip("xywh", r["crop"], strict=True)}
+                r |= {"bbox_x": x + int(b["bbox_x"][0]), "bbox_y": y + int(b["bbox_y"][0]), "bbox_w": int(b["bbox_w"][0]), "bbox_h": int(b["bbox_h"][0]), "major_axis_length": float(b["major_axis_length"][0]), "minor_axis_length": float(b["minor_axis_length"][0]), "min_gray": int(gray.min()), "mean_gray": float(gray.mean()), "mask": r["mask"].reshape(-1).tolist(), "consumed_ids": sorted(r["consumed_ids"])}
+        return pa.Table.from_pylist([{n: r[n] for n in schema.names} for r in out], to_arrow_schema(schema))
+
+    schema = T.StructType.fromDDL(f"frame_id {kinds['frame_id']}, {REFINED}")
+    own = detections.select("frame_id", "detection_id", "crop_bbox_x", "crop_bbox_y", "crop_bbox_w", "crop_bbox_h", "mask")
+    return frames.select("frame_id", "width", "height", "pixels").groupBy("frame_id").cogroup(own.groupBy("frame_id")).applyInArrow(work, schema)
 
 
 def residual(candidate: DataFrame, refined: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.shared import write_shared
+
 
 def frame_counts(frames: DataFrame, detections: DataFrame, refined: DataFrame) -> DataFrame:
     """Each frame with its candidates, refined rows and distinct refined candidates; summed before the joins."""
@@ -20,6 +22,34 @@ def refinement_state() -> Column:
     return F.when(F.col("detection_count") == 0, "no-detections").when(F.col("refined_candidates") == 0, "needs-refinement").when(F.col("refined_candidates") >= F.col("detection_count"), "fully-refined").otherwise("partially-refined")
 
 
+def frame_states(counts: DataFrame) -> DataFrame:
+    """counts with the labels of all three stages; a frame is preprocessed or detected wholly or not at all."""
+    return counts.withColumns({
+        "preprocessing_state": F.when(F.col("has_preprocessed"), "fully-preprocessed").otherwise("needs-preprocessed"),
+        "detection_state": F.when(F.col("detection_count") > 0, "fully-detected").otherwise("needs-detections"),
+        "refinement_state": refinement_state(),
+    })
+
+
+def frame_states_summary(counts: DataFrame) -> DataFrame:
+    """One row of totals over the frames of counts."""
+    total = lambda c, n: F.coalesce(F.sum(c), F.lit(0)).alias(n)
+    return counts.agg(F.count("*").alias("frames"), F.count_if("has_preprocessed").alias("preprocessed_frames"), F.count_if(F.col("detection_count") > 0).alias("detected_frames"), total("detection_count", "detections"), total("refined_candidates", "refined_candidates"), total("unrefined_count", "unrefined"), total("refined_count", "refined"))
+
+
+def known_statuses(values: list[str], allowed: list[str]) -> list[str]:
+    """The values, if all are statuses; else an error."""
+    wrong = sorted(set(values) - set(allowed))
+    if wrong:
+        raise ValueError(f"unknown statuses: {', '.join(wrong)}")
+    return values
+
+
+def in_any_collection(rows: DataFrame, collections: list[str]) -> DataFrame:
+    """Rows in at least one of the collections."""
+    return rows.where(F.arrays_overlap("collections", F.array(*map(F.lit, collections))))
+
+
 def asset_detection_stats(assets: DataFrame, counts: DataFrame, least: int = 1) -> DataFrame:
     """Frames with detections and detections of each asset that has at least `least`."""
     per = counts.groupBy("asset_id").agg(F.count(F.when(F.col("detection_count") > 0, 1)).alias("detected_frames"), F.sum("detection_count").alias("detection_count"))
@@ -76,21 +106,20 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def work_batches(status: DataFrame, keys: list[str], batch_size: int) -> DataFrame:
-    """Rows in key order cut into batches of batch_size.
+    """Rows in key order cut into batches of batch_size: all columns, unit (from 0) and batch.  The keys are unique.
 
-    Rows are range-partitioned by the keys and numbered within a partition; the
-    partitions' sizes, one row each, give the offsets.  No task sorts all rows.
+    Rows are range-partitioned by the keys and written once, with their part's
+    number, in the shared folder; both the parts' sizes, one row each, and the
+    rows' places come from that table, so that they agree whatever is computed
+    again.  No task sorts all rows.
     """
-    spark = status.sparkSession
-    parts = status.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    counts = parts.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low")).collect()  # one row for each partition
-    total, rows = 0, []
-    for r in sorted(counts, key=lambda r: r["part"]):
-        rows.append((r["part"], r["low"], total))
-        total += r["n"]
-    bases = spark.createDataFrame(rows, "part int, low long, base long")
-    numbered = parts.join(F.broadcast(bases), "part").withColumn("unit", F.col("base") + F.col("at") - F.col("low"))
-    return numbered.withColumn("batch", F.floor(F.col("unit") / batch_size)).drop("part", "at", "low", "base")
+    parts = write_shared(status.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    # One row for each partition.
+    bases = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+    numbered = parts.withColumn("place", place).join(F.broadcast(bases), "part").withColumn("unit", F.col("base") + F.col("place"))
+    return numbered.withColumn("batch", F.floor(F.col("unit") / batch_size)).drop("part", "place", "base")
 
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

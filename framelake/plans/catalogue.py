@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators import catalog as c
+from framelake.operators import exports as e
 from framelake.operators import status as s
 from framelake.sources import tables as t
 
@@ -42,9 +43,9 @@ def run_search_by_collection(spark: SparkSession, d: str) -> DataFrame:
     return c.runs_in_collection(c.search(t.runs(spark, d), like={"run_key": "_1"}), t.assets(spark, d), "MACHINERY")
 
 
-@query(sql("select frame_id, asset_id, frame_index from frames where asset_id % 100 = 7 and frame_index between 2 and 8 order by asset_id, frame_index desc limit 50 offset 5", "frames"))
+@query(sql("select frame_id, asset_id, frame_index from frames where frame_index between 2 and 8 order by asset_id, frame_index desc limit 50 offset 5", "frames"))
 def frame_range(spark: SparkSession, d: str) -> DataFrame:
-    x = c.search(t.frames(spark, d).where("asset_id % 100 = 7"), ranges={"frame_index": (2, 8)})
+    x = c.search(t.frames(spark, d), ranges={"frame_index": (2, 8)})
     return c.page(x, [F.col("asset_id"), F.col("frame_index").desc()], 50, 5).select("frame_id", "asset_id", "frame_index")
 
 
@@ -71,16 +72,16 @@ def latest_refined_per_detection(spark: SparkSession, d: str) -> DataFrame:
     return c.latest(t.refined(spark, d), "candidate_detection_id", ["created_at", "refined_id"]).select("candidate_detection_id", "refined_id", "method", "area")
 
 
-@query(sql("select cast(o_orderkey % 97 as integer) as position, frame_id, asset_id from orders join frames on frame_id = o_orderkey * 2 where o_orderkey % 11 = 0", "frames"))
+@query(sql("select cast(o_orderkey % 97 as integer) as position, frame_id, asset_id from orders join frames on frame_id = o_orderkey * 2", "frames"))
 def frames_caller_order(spark: SparkSession, d: str) -> DataFrame:
-    request = t.table(spark, d, "orders").where("o_orderkey % 11 = 0").select((F.col("o_orderkey") % 97).cast("int").alias("position"), (F.col("o_orderkey") * 2).alias("frame_id"))
+    request = t.table(spark, d, "orders").select((F.col("o_orderkey") % 97).cast("int").alias("position"), (F.col("o_orderkey") * 2).alias("frame_id"))
     return c.in_request_order(t.frames(spark, d), request, "frame_id").select("position", "frame_id", "asset_id")
 
 
 @query(sql("""with l as (select frame_id, string_agg(roi_index || ':' || detection_id, ',' order by roi_index, detection_id) as rois from detections group by 1)
-select f.frame_id, a.filename, a.kind, l.rois from frames f join assets a using (asset_id) left join l on l.frame_id = f.frame_id where frame_index = 3""", "frames", "assets", "detections"))
+select f.frame_id, a.filename, a.kind, l.rois from frames f join assets a using (asset_id) left join l on l.frame_id = f.frame_id""", "frames", "assets", "detections"))
 def frame_context(spark: SparkSession, d: str) -> DataFrame:
-    x = c.frame_context(t.frames(spark, d).where("frame_index = 3"), t.assets(spark, d), t.detections(spark, d))
+    x = c.frame_context(t.frames(spark, d), t.assets(spark, d), t.detections(spark, d))
     listed = F.array_join(F.transform("rois", lambda r: F.concat_ws(":", r["roi_index"].cast("string"), r["detection_id"])), ",")
     return x.select("frame_id", "filename", "kind", listed.alias("rois"))
 
@@ -172,10 +173,10 @@ def export_roi_metadata(spark: SparkSession, d: str) -> DataFrame:
     return x.join(r, "detection_id", "left").select("detection_id", "frame_id", "asset_id", "filename", "run_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "refined_id", "method")
 
 
-@query(sql("select asset_id, '[\"' || collections[1] || '\",\"' || collections[2] || '\"]' as collections, to_base64(encode(filename)) as filename, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at from assets join frames using (asset_id) where frame_index = 1", "assets", "frames"))
+@query(sql("select asset_id, '[\"' || collections[1] || '\",\"' || collections[2] || '\"]' as collections, to_base64(encode(filename)) as filename, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at, frame_id from assets join frames using (asset_id)", "assets", "frames"))
 def export_values(spark: SparkSession, d: str) -> DataFrame:
-    x = t.assets(spark, d).join(t.frames(spark, d).where("frame_index = 1"), "asset_id")
-    return x.select("asset_id", F.to_json("collections").alias("collections"), F.base64(F.col("filename").cast("binary")).alias("filename"), F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"))
+    x = t.assets(spark, d).join(t.frames(spark, d), "asset_id")
+    return e.rendered(x.select("asset_id", "collections", F.col("filename").cast("binary").alias("filename"), "captured_at", "frame_id"))
 
 
 @query("select c_custkey as asset_id, case when len(w) = 0 then 'none' else array_to_string(w, '|') end as collections from (select c_custkey, list_filter([trim(c_mktsegment), trim(case when c_custkey % 2 = 0 then c_mktsegment else '' end), trim(case when c_custkey % 3 = 0 then ' x' else '' end)], lambda x, i: x <> '' and (i <> 2)) as w from customer)")
@@ -185,15 +186,20 @@ def normalize_collections(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("c_custkey").alias("asset_id"), F.array_join(c.normalize_collections(text), "|").alias("collections"))
 
 
-@query("select o_orderkey as frame_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.' || rpad(cast(o_orderkey % 1000 as varchar), 6, '0') as captured_at from orders")
+#: Names as cameras give them: a blank, T or hyphen, hyphens or colons, with and without a fraction, and without a time.
+@query("""select o_orderkey as frame_id, case when o_orderkey % 5 < 4 then strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '.' || case when o_orderkey % 2 = 0 then rpad(cast(o_orderkey % 1000 as varchar), 6, '0') else '000000' end end as captured_at from orders""")
 def filename_timestamps(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("cam7_"), F.date_format("o_orderdate", "yyyyMMdd-HHmmss"), F.lit("."), (F.col("o_orderkey") % 1000).cast("string"), F.lit(".avi"))
-    return t.table(spark, d, "orders").select(F.col("o_orderkey").alias("frame_id"), c.filename_timestamp(name).alias("captured_at"))
+    at = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey")
+    time = F.when(k % 5 == 0, at("yyyy-MM-dd HH-mm-ss")).when(k % 5 == 1, at("yyyy-MM-dd'T'HH:mm:ss")).when(k % 5 == 2, at("yyyy-MM-dd-HH-mm:ss")).when(k % 5 == 3, at("yyyy-MM-dd HH:mm-ss")).otherwise(at("yyyyMMdd_HHmmss"))
+    fraction = F.when(k % 2 == 0, F.concat(F.lit("."), (k % 1000).cast("string"))).otherwise("")
+    name = F.concat(F.lit("cam 7 "), time, fraction, F.lit(".avi"))
+    return t.table(spark, d, "orders").select(k.alias("frame_id"), c.filename_timestamp(name).alias("captured_at"))
 
 
 @query(sql('select detection_id, greatest(bbox_x - 5, 0) as "left", greatest(bbox_y - 5, 0) as top, least(bbox_x + bbox_w + 5, 72) as "right", least(bbox_y + bbox_h + 5, 72) as bottom from detections', "detections"))
 def padded_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return t.detections(spark, d).select("detection_id", *[e.alias(n) for n, e in c.padded_bounds(5, 72, 72).items()])
+    return t.detections(spark, d).select("detection_id", *[x.alias(n) for n, x in c.padded_bounds(5, 72, 72).items()])
 
 
 @query(sql("""select first_id, second_id, w * h as intersection, round(w * h / (sa + sb - w * h), 6) as iou, round(w * h / sa, 6) as first_contained, round(w * h / sb, 6) as second_contained from (

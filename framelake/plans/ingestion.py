@@ -39,6 +39,19 @@ def image_frame_order(spark: SparkSession, d: str) -> DataFrame:
     return ingest.frame_order(files(spark, d))
 
 
+@query(f"with {FILES} select folder, name as filename, path, cast(row_number() over (order by folder[7:], lower(name), name) as integer) as frame_index from parts where suffix in {IMAGES}")
+def image_tree_order(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.frame_order(files(spark, d), "/data/")
+
+
+@query(f"""with {FILES}, media as (select case when suffix in {IMAGES} then folder else path end as source, name, sha256(path) as hash, case when suffix in {IMAGES} then 'image_sequence' else 'video' end as kind, length from parts where suffix in {IMAGES} or suffix in {VIDEOS})
+select kind, source as path, count(*) as media_count, sha256(string_agg(hash, ',' order by lower(name), name)) as content_hash from media group by 1, 2""")
+def ingest_content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose contents are their paths."""
+    x = files(spark, d).withColumn("content", F.col("path").cast("binary"))
+    return ingest.content_profiles(x).select("kind", "path", "media_count", "content_hash")
+
+
 @query(sql("""with scan as (select frame_id // 10 as asset_id, cast(frame_id % 10 + 1 as integer) as frame_index, width, height, pixels from images)
 select asset_id, cast((frame_index - 1) // 4 + 1 as integer) as tile_number, min(frame_index) as source_frame_start, max(frame_index) as source_frame_end, min(width) as width, cast(sum(height) as bigint) as height,
   count(*) < 4 as partial_tile, cast(list_sum(list_transform(flatten(list(pixels order by frame_index)), lambda v, i: v * i)) as bigint) as checksum from scan group by 1, 2""", "images"))

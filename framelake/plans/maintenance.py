@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framelake.operators import status as s
 from framelake.sources import tables as t
 
+from .catalogue import COUNTS, counts
 from .register import query
 from .twins import sql
 
@@ -26,11 +27,12 @@ def replace_detections(spark: SparkSession, d: str) -> DataFrame:
     return x.join(gone, "frame_id", "left_anti").unionByName(new).select("detection_id", "frame_id", "area")
 
 
-@query(sql("select 'frames' as kind, count(*) as rows from frames where asset_id % 10 = 3 union all select 'detections', count(*) from detections join frames using (frame_id) where asset_id % 10 = 3 union all select 'refined', count(*) from refined join frames using (frame_id) where asset_id % 10 = 3", "frames", "detections", "refined"))
+@query(sql(COUNTS + " select a.asset_id, coalesce(count(c.frame_id), 0) as frames, cast(coalesce(sum(detection_count), 0) as bigint) as detections, cast(coalesce(sum(refined_count), 0) as bigint) as refined from assets a left join counts c on c.asset_id = a.asset_id group by 1", "frames", "detections", "refined", "assets"))
 def delete_asset_cascade(spark: SparkSession, d: str) -> DataFrame:
-    f = t.frames(spark, d).where("asset_id % 10 = 3").select("frame_id")
-    count = lambda df, name: df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("kind"), "rows")
-    return count(f, "frames").union(count(t.detections(spark, d).join(f, "frame_id", "left_semi"), "detections")).union(count(t.refined(spark, d).join(f, "frame_id", "left_semi"), "refined"))
+    """What the delete of each asset would take."""
+    per = counts(spark, d).groupBy("asset_id").agg(F.count("*").alias("frames"), F.sum("detection_count").alias("detections"), F.sum("refined_count").alias("refined"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return t.assets(spark, d).select("asset_id").join(per, "asset_id", "left").select("asset_id", *map(zero, ("frames", "detections", "refined")))
 
 
 @query(sql("select asset_id, case when run_id % 4 = 0 then 'retagged' else collections[1] || ',' || collections[2] end as collections from assets", "assets"))

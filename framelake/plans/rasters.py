@@ -19,6 +19,10 @@ def foreground(df: DataFrame, column: str = "mask") -> DataFrame:
     return df.select("frame_id", F.size(F.filter(column, lambda v: v > 0)).alias("foreground"))
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    return df.select("frame_id", F.posexplode("pixels").alias("pos", "v")).select("frame_id", F.col("pos").cast("long").alias("pos"), "v")
+
+
 @query(sql("select frame_id, cast(count(*) filter (where v > 140) as integer) as foreground from pixels group by 1", "pixels"))
 def mask_manual(spark: SparkSession, d: str) -> DataFrame:
     return foreground(t.images(spark, d).withColumn("mask", r.mask_above(F.lit(140))))
@@ -54,7 +58,7 @@ def mask_ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("with f as (select frame_id, x, quantile_cont(v, 0.5) as field from pixels group by 1, 2) select p.frame_id, p.pos, cast(case when field < 1 then 255 else trunc(least(255, p.v * 255 / field)) end as integer) as v from pixels p join f using (frame_id, x)", "pixels"))
 def flatfield_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return r.flatfield(t.images(spark, d), 0.5).select("frame_id", F.col("pos").cast("long").alias("pos"), "v")
+    return exploded(r.flatfield(t.images(spark, d), 0.5))
 
 
 CENTRES = "with fed as (select asset_id, frame_id, frame_index, pos, x, v, unnest(generate_series(greatest(cast(ceil((frame_index - {1} / 2.0) / {0}) as bigint), 0), cast(floor((frame_index + {1} / 2.0) / {0}) as bigint))) * {0} as centre from pixels)"
@@ -74,14 +78,13 @@ def flatfield_profiles(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(MEANS + """ select p.frame_id, p.pos, cast(case when background < 1 then 255 else trunc(least(255, p.v * 255 / background)) end as integer) as v from pixels p join m on m.asset_id = p.asset_id and m.pos = p.pos and m.centre = (p.frame_index + 12) // 25 * 25""", "pixels"))
 def background_divide(spark: SparkSession, d: str) -> DataFrame:
     i = t.images(spark, d)
-    p = r.pixels(i).withColumn("centre", r.centre(F.col("frame_index"), 25))
-    return p.join(r.mean_fields(i, 25, 51), ["asset_id", "centre", "pos"]).select("frame_id", F.col("pos").cast("long").alias("pos"), r.divide(F.col("v"), F.col("background")).alias("v"))
+    return exploded(r.preprocess(r.with_backgrounds(i, r.mean_backgrounds(i, 25, 51), 25).where("background is not null"), invert_intensity=False))
 
 
 @query(sql(MEANS + """ select i.frame_id, i.asset_id, (i.frame_index + 12) // 25 * 25 as centre, exists (select 1 from m where m.asset_id = i.asset_id and m.centre = (i.frame_index + 12) // 25 * 25) as has_window from images i""", "pixels", "images"))
 def window_assignment(spark: SparkSession, d: str) -> DataFrame:
     i = t.images(spark, d)
-    return r.window_assignment(i, r.mean_fields(i, 25, 51), 25).select("frame_id", "asset_id", "centre", "has_window")
+    return r.window_assignment(i, r.mean_backgrounds(i, 25, 51), 25).select("frame_id", "asset_id", "centre", "has_window")
 
 
 @query(sql("select frame_id, cast(sum(255 - case when x between 1 and 6 and y between 1 and 5 then v else 128 end) as bigint) as total from pixels group by 1", "pixels"))
@@ -93,11 +96,8 @@ def invert_crop_mask(spark: SparkSession, d: str) -> DataFrame:
 @query(sql(MEANS + """ select p.frame_id, cast(sum(255 - case when background is null then p.v when background < 1 then 255 else cast(trunc(least(255, p.v * 255 / background)) as integer) end) as bigint) as total, case when bool_or(background is not null) then 'background_correction,invert_intensity' else 'invert_intensity' end as steps from pixels p left join m on m.asset_id = p.asset_id and m.pos = p.pos and m.centre = (p.frame_index + 12) // 25 * 25 and p.frame_index % 2 = 0 group by 1""", "pixels"))
 def preprocess_chain(spark: SparkSession, d: str) -> DataFrame:
     i = t.images(spark, d)
-    p = r.pixels(i).withColumn("centre", F.when(F.col("frame_index") % 2 == 0, r.centre(F.col("frame_index"), 25)))
-    x = p.join(r.mean_fields(i, 25, 51), ["asset_id", "centre", "pos"], "left")
-    v = F.when(F.col("background").isNull(), F.col("v")).otherwise(r.divide(F.col("v"), F.col("background")))
-    steps = F.array_join(F.array_compact(F.array(F.when(F.max(F.col("background").isNotNull()), "background_correction"), F.lit("invert_intensity"))), ",")
-    return x.groupBy("frame_id").agg(F.sum(255 - v).alias("total"), steps.alias("steps"))
+    even = r.with_backgrounds(i, r.mean_backgrounds(i, 25, 51), 25).withColumn("background", F.when(F.col("frame_index") % 2 == 0, F.col("background")))
+    return r.preprocess(even).select("frame_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), "steps")
 
 
 @query(sql("select frame_id, cast(x // 4 as integer) as px, cast(y // 4 as integer) as py, round(avg(v), 6) as v from pixels group by 1, 2, 3", "pixels"))
@@ -171,7 +171,14 @@ def refine_tiles(spark: SparkSession, d: str) -> DataFrame:
     return refine.merge_tiles(refine.predict(tiles, lambda x: x / 1.1, 4), 4).groupBy("frame_id").agg(F.count("*").alias("foreground"))
 
 
-@query()
+@query(recursive("""with recursive o as (select frame_id, detection_id, bbox_x as x, bbox_y as y, bbox_w as w, bbox_h as h, bbox_w * bbox_h as size, row_number() over (partition by frame_id order by bbox_w * bbox_h desc, detection_id) as n from detections),
+walk as (select distinct frame_id, cast(0 as bigint) as n, cast([] as struct(id varchar, x integer, y integer, w integer, h integer)[]) as kept, cast(null as varchar) as detection_id, cast(null as varchar) as keeper_id, false as consumed from o
+union all select frame_id, n, case when hit is null then list_append(kept, {'id': detection_id, 'x': x, 'y': y, 'w': w, 'h': h}) else kept end, detection_id, coalesce(hit, detection_id), hit is not null from (
+select o.*, kept, (list_filter(kept, lambda k: greatest(least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y), 0) > 0 and (
+ greatest(least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y), 0) * 3 >= o.size + k.w * k.h
+ or greatest(least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y), 0) * 10 >= 8 * least(o.size, k.w * k.h))))[1].id as hit
+from walk join o on o.frame_id = walk.frame_id and o.n = walk.n + 1))
+select frame_id, detection_id, keeper_id, consumed from walk where n > 0""", "detections"))
 def refine_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return refine.reconcile(t.detections(spark, d))
 

@@ -107,7 +107,7 @@ def job_log_tail(spark: SparkSession, d: str) -> DataFrame:
 def refinement_relationship(spark: SparkSession, d: str) -> DataFrame:
     split = F.when(F.col("frame_id") % 2 == 0, F.col("candidate_detection_id")).otherwise("")
     eaten = F.when(F.col("bbox_x") % 2 == 0, F.array("candidate_detection_id")).otherwise(F.array().cast("array<string>"))
-    meta = F.to_json(F.struct(split.alias("split_from"), eaten.alias("consumed")))
+    meta = F.to_json(F.struct(split.alias("split_from_candidate_detection_id"), eaten.alias("consumed_candidate_detection_ids")))
     return t.refined(spark, d).select("refined_id", j.refinement_relationship(meta).alias("relationship"))
 
 
@@ -118,10 +118,14 @@ def work_plan_batches(spark: SparkSession, d: str) -> DataFrame:
     return s.work_batches(x, ["asset_id", "frame_id"], 100).groupBy("batch").agg(F.count("*").alias("units"), F.min("frame_id").alias("first_frame"), F.max("frame_id").alias("last_frame"))
 
 
-@query(sql("select key, strlen(min(payload)) as size, count(distinct payload) > 1 as conflict from blobs where key not in (select key from blobs where source = 'src0') group by 1", "blobs"))
+@query(sql("""with stored as (select key, max(sha256(case when doc_id % 50 = 0 then payload || '!' else payload end)) as have from (select *, row_number() over (partition by key order by doc_id) as rn from blobs where source = 'src0') where rn = 1 group by 1),
+fresh as (select key, min(payload) as payload from blobs group by 1)
+select fresh.key, strlen(payload) as size, case when have is null then 'stored' when have = fresh.key then 'kept' else 'conflict' end as action from fresh left join stored on stored.key = fresh.key""", "blobs"))
 def blob_put_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """The store holds one source's payloads, some of them with other bytes under their key."""
     x = t.blobs(spark, d)
-    return b.put(x, x.where("source = 'src0'").select("key").distinct())
+    one = x.where("source = 'src0'").groupBy("key").agg(F.min_by("payload", "doc_id").alias("payload"), F.min("doc_id").alias("doc_id"))
+    return b.put(x, one.select("key", F.when(F.col("doc_id") % 50 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")).alias("payload")))
 
 
 @query("select page_id from pages where sha256(html) <> case when page_id % 10 = 0 then sha256(url) else sha256(html) end")

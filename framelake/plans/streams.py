@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.operators import jobs as j
+from framelake.operators import raster as r
 from framelake.sources import tables as t
 from framelake.streaming import streams as st
 
@@ -15,7 +16,9 @@ from .twins import sql
 
 @query("select w as window_start, event_type, count(*) as n, round(avg(value), 6) as mean from (select event_type, value, cast(floor(epoch(ts) / 1500) as bigint) * 1500 - unnest([0, 1500, 3000]) as w from events) group by 1, 2")
 def stream_mean_field(spark: SparkSession, d: str) -> DataFrame:
-    return st.run_once(st.hopping_mean(st.event_stream(spark, d), "75 minutes", "25 minutes", "10 minutes"), "complete")
+    how = ("75 minutes", "25 minutes", "10 minutes")
+    closed = st.run_once(st.hopping_mean(st.event_stream(spark, d), *how), "append")
+    return st.flush_open(closed, t.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), *how)
 
 
 @query("select event_id, event_type, user_id from events where event_id > 5000")
@@ -33,9 +36,27 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return st.run_once(st.progress(st.event_stream(spark, d)), "complete")
 
 
-@query("select user_id % 8 as worker, cast(floor(epoch(max(ts))) as bigint) as last_seen, count(*) as beats from events group by 1")
+@query("with w as (select user_id % 8 as worker, cast(floor(epoch(max(ts))) as bigint) as last_seen, count(*) as beats from events group by 1) select *, last_seen >= (select max(last_seen) from w) - 2 * 30 as online from w")
 def stream_workers(spark: SparkSession, d: str) -> DataFrame:
-    return st.run_once(st.workers_online(st.event_stream(spark, d)), "complete")
+    w = st.run_once(st.workers_online(st.event_stream(spark, d)), "complete")
+    return st.online(w, w.agg(F.max("last_seen")).first()[0] or 0, 30)
+
+
+@query(sql("with a as (select id as arrival, worker_id as asset_id, cast(floor(duration_ms * 1000) as bigint) as frame_index from logs), p as (select *, lag(frame_index) over (partition by asset_id order by arrival) as previous from a) select asset_id, arrival, frame_index, previous from p where frame_index <= previous", "logs"))
+def stream_order_audit(spark: SparkSession, d: str) -> DataFrame:
+    x = t.logs(spark, d).select(F.col("id").alias("arrival"), F.col("worker_id").alias("asset_id"), F.floor(F.col("duration_ms") * 1000).alias("frame_index"))
+    return st.order_violations(x)
+
+
+@query(sql("select frame_id, cast(sum(255 - case when x between 1 and 6 and y between 1 and 5 then v else 128 end) as bigint) as total, count(*) as size, 'mask,invert_intensity' as steps from pixels group by 1", "pixels"))
+def stream_frames_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Arriving frames through masking and inversion to the stored table, as a stream."""
+    raw = spark.readStream.schema(t.table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    inside = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when((i % 8).between(1, 6) & F.floor(i / 8).between(1, 5), 255).otherwise(0))
+    masked = lambda x: x.withColumn("mask", inside)
+    chain = lambda x: r.preprocess(x, fill=128)
+    done = st.run_once(st.stored_frames(t.as_images(raw), masked, chain), "append")
+    return done.select("frame_id", F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), (F.col("width") * F.col("height")).cast("long").alias("size"), "steps")
 
 
 @query(sql("select l.id, l.job_id, q.asset_id, case when event_type = 'error' then 'error' else 'info' end as level, event_type as message from logs l left join jobs q on q.job_id = l.job_id", "logs", "jobs"))

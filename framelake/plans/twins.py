@@ -15,6 +15,10 @@ VIEWS = {
     "blobs": "select doc_id, source, text as payload, sha256(text) as key from documents",
     "pixels": "select frame_id, asset_id, frame_index, i - 1 as pos, (i - 1) % 8 as x, (i - 1) // 8 as y, pixels[i] as v from images, unnest(generate_series(1, 64)) as t(i)",
 }
+from framelake.sources import wide as _wide  # noqa: E402
+
+VIEWS |= _wide.VIEWS
+VIEWS["w_jobs"] = f"select * exclude (names, status_no), names[status_no + 1] as status from ({VIEWS['w_jobs']})"
 NEEDS = {"assets": ["runs"], "refined": ["detections"], "pixels": ["images"]}
 
 
@@ -22,9 +26,11 @@ def sql(body: str, *views: str) -> str:
     """body with the named views before it."""
     names: list[str] = []
     for v in views:
-        for n in [*NEEDS.get(v, []), v]:
+        for n in [*NEEDS.get(v, []), *_wide.chain(v)]:
             if n not in names:
                 names.append(n)
+    if not names:
+        return body.strip()
     head = ",\n".join(f"{n} as ({VIEWS[n]})" for n in names)
     body = body.strip()
     return f"with {head},\n{body[5:]}" if body.startswith("with ") else f"with {head}\n{body}"

@@ -59,10 +59,13 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def images(spark: SparkSession, d: str) -> DataFrame:
+    return as_images(table(spark, d, "embeddings"))
+
+
+def as_images(embeddings: DataFrame) -> DataFrame:
     """Embeddings as square 8-bit frames: 64 floats are 8 x 8 pixels in row order."""
-    e = table(spark, d, "embeddings")
     pixel = lambda v: F.least(F.greatest(F.floor(v.cast("double") * 256 + 128), F.lit(0)), F.lit(255)).cast("int")
-    return e.select(F.col("vec_id").alias("frame_id"), F.col("label").alias("asset_id"), F.col("vec_id").alias("frame_index"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", pixel).alias("pixels"))
+    return embeddings.select(F.col("vec_id").alias("frame_id"), F.col("label").alias("asset_id"), F.col("vec_id").alias("frame_index"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", pixel).alias("pixels"))
 
 
 def blobs(spark: SparkSession, d: str) -> DataFrame:

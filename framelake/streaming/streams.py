@@ -6,12 +6,11 @@ DataFrame; `run_once` drives a stream over what is there and returns its result.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.shared import new_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with event time as a timestamp."""
@@ -20,12 +19,6 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A folder's path under spark.checkpoint.dir, which driver and executors share; a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/framelake-{uuid.uuid4().hex}"
-
-
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
     """Process all that is there into a Parquet table of the shared folder, then read it; no row passes the driver.
 
@@ -50,11 +43,37 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def hopping_mean(events: DataFrame, width: str, stride: str, delay: str) -> DataFrame:
-    """Mean value of each event type in sliding windows; state goes once the watermark passes a window."""
+    """Mean value of each event type in sliding windows; in append mode a window is given, and its state dropped, once the watermark passes it."""
     x = events.withWatermark("ts", delay).groupBy(F.window("ts", width, stride), "event_type")
     return x.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.unix_seconds("window.start").alias("window_start"), "event_type", "n", "mean")
 
 
+def flush_open(closed: DataFrame, events: DataFrame, width: str, stride: str, delay: str) -> DataFrame:
+    """The windows a stream has closed and, at the end of input, those still open, from the events they hold."""
+    every = hopping_mean(events, width, stride, delay)
+    return closed.unionByName(every.join(closed, ["window_start", "event_type"], "left_anti"))
+
+
+def order_violations(frames: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Frames whose index does not rise over that of the frame before, in order of arrival, within their asset: asset_id, arrival, frame_index, previous."""
+    before = F.lag("frame_index").over(Window.partitionBy("asset_id").orderBy(arrival))
+    return frames.withColumn("previous", before).where(F.col("frame_index") <= F.col("previous")).select("asset_id", arrival, "frame_index", "previous")
+
+
+def in_order_or_raise(frames: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """frames, where a violation of their order is an error."""
+    before = F.lag("frame_index").over(Window.partitionBy("asset_id").orderBy(arrival))
+    wrong = F.raise_error(F.lit("frame index does not rise")).cast("long")
+    return frames.withColumn("frame_index", F.when(F.coalesce(F.col("frame_index") <= before, F.lit(False)), wrong).otherwise(F.col("frame_index")))
+
+
+def stored_frames(frames: DataFrame, *steps) -> DataFrame:
+    """Arriving frames through each step in turn, as a stream that ends in a sink."""
+    for step in steps:
+        frames = frames.transform(step)
+    return frames
+
+
 def tail_after(events: DataFrame, after_id: int) -> DataFrame:
     """Events past an id; the stream's checkpoint takes the cursor's place."""
     return events.where(F.col("event_id") > after_id).select("event_id", "event_type", "user_id")
@@ -72,4 +91,10 @@ def progress(events: DataFrame) -> DataFrame:
 
 
 def workers_online(events: DataFrame) -> DataFrame:
+    """Last beat and number of beats of each worker."""
     return events.groupBy((F.col("user_id") % 8).alias("worker")).agg(F.unix_seconds(F.max("ts")).alias("last_seen"), F.count("*").alias("beats"))
+
+
+def online(workers: DataFrame, now: int, interval: int) -> DataFrame:
+    """Workers with whether they beat within the last two intervals, all in seconds."""
+    return workers.withColumn("online", F.col("last_seen") >= now - 2 * interval)
