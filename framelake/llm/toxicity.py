@@ -43,6 +43,8 @@ PREFIXES, MAX_FEATURES, MIN_POSITIVE, STRENGTH = (4, 5, 6), 4_096, 3, 4.5
 #: Sampled rows for each classifier at least; fewer rows make fewer classifiers.
 BAG_ROWS = 1_500
 STEPS, RATE, RIDGE = 500, 0.1, 2e-5
+#: Bytes of text that a task scores at a time.
+SCORE_BYTES = 3_000_000
 
 
 def features_of(word: str) -> list[str]:
@@ -50,13 +52,12 @@ def features_of(word: str) -> list[str]:
     return [word] + [f"{word[:n]}*" for n in PREFIXES if len(word) > n]
 
 
-def document_features(texts: pa.Array, index: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Distinct (row, feature) pairs; index names the features to look for, else all are found and returned."""
+def document_features(texts: pa.Array, known: dict[str, int], learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs of the known features; learning, features not known yet are added."""
     offsets, codes, words = coded_words(texts)
-    known = {} if index is None else index
     lists = []
     for w in words.to_pylist():
-        if index is None:
+        if learn:
             lists.append([known.setdefault(f, len(known)) for f in features_of(w)])
         else:
             lists.append([known[f] for f in features_of(w) if f in known])
@@ -67,7 +68,18 @@ def document_features(texts: pa.Array, index: dict[str, int] | None = None) -> t
     feature = flat[np.repeat(starts[codes], each) + common.runs(each)]
     row = np.repeat(segment_ids(offsets), each)
     pairs = np.unique(row * max(len(known), 1) + feature)
-    return pairs // max(len(known), 1), pairs % max(len(known), 1), list(known)
+    return pairs // max(len(known), 1), pairs % max(len(known), 1)
+
+
+def sample_features(texts: pa.Array, rows: int = 250) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """All features of a sample, some rows at a time: (row, feature) pairs and the features' names."""
+    known: dict[str, int] = {}
+    parts = []
+    for i in range(0, len(texts), rows):
+        row, feature = document_features(texts.slice(i, rows), known, learn=True)
+        parts.append(((row + i).astype(np.int32), feature.astype(np.int32)))
+    row, feature = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return row, feature, list(known)
 
 
 def select_features(rows: np.ndarray, features: np.ndarray, names: list[str], positive: np.ndarray) -> list[str]:
@@ -136,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, np.ndarray], np
         positive = pdf["positive"].to_numpy(bool)
         if not positive.any() or positive.all():
             return pd.DataFrame({"bag": [], "feature": [], "weight": []})
-        rows, features, names = document_features(pa.array(pdf["text"], pa.string()))
+        rows, features, names = sample_features(pa.array(pdf["text"], pa.string()))
         chosen = select_features(rows, features, names, positive)
         to = np.full(len(names), -1)
         at = {f: i for i, f in enumerate(names)}
@@ -167,8 +179,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights, bias = np.array([model[0][f] for f in index]).reshape(len(index), len(model[1])), model[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            row, feature, _ = document_features(batch.column(3), index)
+        for batch in slices(batches, most=SCORE_BYTES):
+            row, feature = document_features(batch.column(3), index)
             z = np.stack([np.bincount(row, weights[feature, b], batch.num_rows) for b in range(len(bias))], axis=1) + bias
             mean = (1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mean)], names=schema.names)
