@@ -158,7 +158,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     placed, met = takes(docs, **how)
     key = F.struct("doc_id", "__fl_hash").alias("__fl_key")
-    each_take = placed.select("row_key", F.col("size").alias("__fl_size"), "doc_id", F.col("text_hash").alias("__fl_hash")).join(met, "row_key")
+    # Hashes are never null, and must be seen so on both sides: keys of unlike types would be cast, and the texts shuffled again.
+    text_hash = F.coalesce("text_hash", F.lit(0).cast("long")).alias("__fl_hash")
+    each_take = placed.select("row_key", F.col("size").alias("__fl_size"), "doc_id", text_hash).join(met, "row_key")
     each_take = each_take.select(key, "__fl_size", F.col("slot").alias("__fl_slot"), F.col("words").alias("__fl_words"))
     marked = docs.withColumn("__fl_hash", common.text_hash("text")).withColumn("__fl_key", key).drop("__fl_hash")
     # The window's limit is applied before its shuffle, and the join keeps its partitioning.
