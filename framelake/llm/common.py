@@ -103,15 +103,15 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of docs named by kept(doc_id, text_hash), one for each pair, with the columns of docs.
 
     text_hash is xxhash64 of the text as it stands.  The window's limit is
-    applied before its shuffle, so repeated rows never meet in one task.
+    applied before its shuffle, so repeated rows never meet in one task, and the
+    join keeps its partitioning, so that texts are shuffled once.
     """
-    id_, hash_ = "__fl_id", "__fl_hash"
-    named = kept.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
-    marked = docs.withColumn("__fl_text_hash", text_hash("text"))
-    joined = marked.join(named, marked["doc_id"].eqNullSafe(named[id_]) & (marked["__fl_text_hash"] == named[hash_]), "left_semi")
-    order = Window.partitionBy("doc_id", "__fl_text_hash").orderBy(F.lit(1))
-    first = joined.withColumn("__fl_rank", F.row_number().over(order)).where(F.col("__fl_rank") == 1)
-    return first.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = "__fl_key"
+    # Hashes are never null, and must be seen so on both sides: keys of unlike types would be cast and shuffled again.
+    named = kept.select(F.struct("doc_id", F.coalesce("text_hash", F.lit(0).cast("long")).alias("hash")).alias(key)).distinct()
+    marked = docs.withColumn(key, F.struct("doc_id", text_hash("text").alias("hash")))
+    first = marked.withColumn("__fl_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(1)))).where("__fl_rank = 1")
+    return first.join(named, key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def text_hash(text: Column | str) -> Column:
