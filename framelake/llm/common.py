@@ -145,12 +145,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each row: row offsets into the words, the words, their byte starts and ends in the row block."""
+def split_words(column: pa.Array, lower: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each row: row offsets into the words, the words, their byte starts and ends in the row block.
+
+    between tells which bytes part words, if not white space; none beyond ASCII.
+    """
     data, rows = text_bytes(column)
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = between[data]
     first = ~space
     last = first.copy()
     edge = np.zeros(len(data) + 1, bool)
