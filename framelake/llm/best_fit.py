@@ -11,9 +11,9 @@ shorter first piece.  The rest is bin packing of integer lengths:
   its bound is certified and can only lose what its bound was rounded up by, so
   it keeps all bins but its emptiest;
 * a partition with a gap keeps its full bins, and gives up the documents of all
-  others.  What is given up is dealt anew over fewer partitions and packed by
-  best-fit decreasing again, until one partition holds all that is left, or a
-  round no longer helps.  A last partition that still has a gap takes as many
+  others.  What is given up is dealt anew over as many partitions as it needs and
+  packed by best-fit decreasing again, until one partition holds all that is
+  left, or a round no longer helps.  A last partition that still has a gap takes as many
   settled bins back in and tries again; the better packing stays.
 
 Only piece rows of some 60 bytes are shuffled, never texts or ids; a partition
@@ -46,6 +46,8 @@ from .tokens import Encoder, default_path
 MAX_LENGTH, END_ID = 2048, 0
 #: Pieces of a partition, about; rounds of exchange at most; tries of a last partition with a gap.
 PART_PIECES, ROUNDS, TRIES = 131_072, 12, 4
+#: A round that saves a smaller share of the sequences it repacks is followed by the last one.
+HELPED = 0.001
 
 
 def cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,10 +217,11 @@ def pack(pieces: DataFrame, max_length: int = MAX_LENGTH, part_pieces: int = PAR
     settled: list[DataFrame] = []
     count = loose.count()
     parts = -(-count // part_pieces)
+    opened, last = None, False
     for turn in range(ROUNDS):
         if not count:
             break
-        last = parts == 1 or turn == ROUNDS - 1
+        last = last or parts == 1 or turn == ROUNDS - 1
         shape = T.StructType([*loose.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("round", T.IntegerType()), T.StructField("done", T.BooleanType())])
 
         dealt = loose.withColumn("part", F.expr(f"pmod(xxhash64(uid, {turn}), {parts})"))
@@ -226,10 +229,12 @@ def pack(pieces: DataFrame, max_length: int = MAX_LENGTH, part_pieces: int = PAR
         settled.append(packed.where("done").drop("done"))
         if last:
             break
-        loose = packed.where("not done").select(*columns)
-        before, count = count, loose.count()
-        # Fewer partitions each time, so that gaps meet; where most was given up, another mix of the same size does not help.
-        parts = 1 if count <= part_pieces else min(-(-count // part_pieces), max(1, parts // 2 if count > before // 2 else parts))
+        # What was given up: its pieces and sequences, and the sequences that this round made of all it had.
+        sequences = packed.groupBy("sequence_id").agg(F.first("done").alias("done"), F.count("*").alias("n"))
+        made, left, kept = sequences.agg(F.count("*"), F.count_if(~F.col("done")), F.coalesce(F.sum(F.when(~F.col("done"), F.col("n"))), F.lit(0))).first()
+        last = opened is not None and made > opened * (1 - HELPED)
+        opened, count, loose = left, kept, packed.where("not done").select(*columns)
+        parts = min(-(-count // part_pieces), parts)
     out = full.drop("ids")
     for rows in settled:
         out = out.unionByName(rows)
