@@ -132,7 +132,7 @@ def test_packing_of_parts_with_gaps(spark, sizes, rounds):
     pieces = spark.createDataFrame(rows, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
     alone, parted = (best_fit.pack(pieces, 2048, n).select("sequence_id", "round").toPandas() for n in (100_000, 200))
     assert len(parted) == 6000 and parted["round"].max() <= rounds
-    assert best_fit.bound_of(pieces) <= alone["sequence_id"].nunique() <= parted["sequence_id"].nunique() <= alone["sequence_id"].nunique() * 1.01
+    assert best_fit.bound_of(pieces) <= alone["sequence_id"].nunique() <= parted["sequence_id"].nunique() <= alone["sequence_id"].nunique() * 1.02
 
 
 def test_packing_meets_the_bound_on_a_given_table(spark):
