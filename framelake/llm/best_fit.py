@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .packing import PACK_BYTES, PACK_CACHE, with_end
+from .packing import with_end
 from .tokens import Encoder, default_path
 
 MAX_LENGTH, END_ID = 2048, 0
+#: Chunks, and pretokens, a task remembers: about 250 MB at most.
+CACHE = 450_000
 #: Pieces of a partition, about; rounds of exchange at most; tries of a last partition with a gap.
 PART_PIECES, ROUNDS, TRIES = 131_072, 12, 4
 #: A round that saves a smaller share of the sequences it repacks is followed by the last one.
@@ -66,8 +68,8 @@ def cut_documents(docs: DataFrame, max_length: int = MAX_LENGTH, end_id: int = E
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, made = Encoder.of(path, PACK_CACHE), TaskContext.get().partitionId() << 36
-        for batch in common.slices(batches, most=PACK_BYTES):
+        encoder, made = Encoder.of(path, CACHE), TaskContext.get().partitionId() << 36
+        for batch in common.slices(batches, most=common.SLICE_BYTES):
             flat, offsets = with_end(*encoder.encode(batch.column(1)), end_id)
             row, piece, start, length = cut(np.diff(offsets), max_length)
             begin, raw = (offsets[row] + start) * 4, memoryview(flat.view(np.uint8))
