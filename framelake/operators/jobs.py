@@ -20,6 +20,14 @@ def summarize(jobs: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.when(F.col("total") > 0, F.round(100 * F.col("completed") / F.col("total"), 4)))
 
 
+def status_overview(jobs: DataFrame, sessions: DataFrame, now: Column, interval: int) -> DataFrame:
+    """(part, name, n): jobs by status, and all workers, those online, by a beat in the last two intervals (seconds), and those at work."""
+    alive = F.unix_micros(F.col("last_heartbeat").cast("timestamp")) >= F.unix_micros(now.cast("timestamp")) - 2_000_000 * interval
+    counts = sessions.agg(F.count("*").alias("total"), F.count_if(alive).alias("online"), F.count_if(F.col("status") == "working").alias("busy"))
+    workers = counts.unpivot([], ["total", "online", "busy"], "name", "n").select(F.lit("workers").alias("part"), "name", "n")
+    return jobs.groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n")).select(F.lit("queue").alias("part"), "name", "n").unionByName(workers)
+
+
 def run_status(jobs: DataFrame, key: str) -> DataFrame:
     """A run's status from its jobs' statuses; a running mix without a rule is 'registered'."""
     has = lambda *s: F.coalesce(F.max(F.col("status").isin(*s)), F.lit(False))

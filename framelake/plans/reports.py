@@ -42,6 +42,17 @@ def worker_overview(spark: SparkSession, d: str) -> DataFrame:
     return t.logs(spark, d).groupBy("worker_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "click").alias("busy"), (F.max("created_at") >= F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("online"))
 
 
+@query(sql("""with s as (select 'u' || job_id % 97 as worker_id, max(created_at) as last_heartbeat, max_by(event_type, (created_at, id)) = 'click' as working from logs group by 1)
+select 'queue' as part, status as name, count(*) as n from jobs group by 2 union all select 'workers', 'total', count(*) from s
+union all select 'workers', 'online', count(*) from s where last_heartbeat >= (select max(created_at) from logs) - interval 10 hour union all select 'workers', 'busy', count(*) from s where working""", "jobs", "logs"))
+def status_overview(spark: SparkSession, d: str) -> DataFrame:
+    """The workers' sessions come from the log: last beat, and at work where the last event is a click."""
+    x = t.logs(spark, d).withColumn("worker_id", F.concat(F.lit("u"), F.col("job_id") % 97))
+    last = F.max_by("event_type", F.struct("created_at", "id"))
+    sessions = x.groupBy("worker_id").agg(F.max("created_at").alias("last_heartbeat"), F.when(last == "click", "working").otherwise("idle").alias("status"))
+    return j.status_overview(t.jobs(spark, d), sessions, F.lit(x.agg(F.max("created_at")).first()[0]), 5 * 3600)
+
+
 @query(sql("select count(*) as logs, count(distinct worker_id) as workers, min(id) as first_id, max(id) as last_id, count(*) filter (where duration_ms > 50) as slow from logs", "logs"))
 def report_overview(spark: SparkSession, d: str) -> DataFrame:
     return t.logs(spark, d).agg(F.count("*").alias("logs"), F.countDistinct("worker_id").alias("workers"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_if(F.col("duration_ms") > 50).alias("slow"))

@@ -1,4 +1,4 @@
-"""Streaming forms: hopping means, event tails, current status, progress.
+"""Streaming forms: hopping means of events, event tails, current status, progress.
 
 Each builder takes a streaming (or batch) DataFrame of events and returns a
 DataFrame; `run_once` drives a stream over what is there and returns its result.
@@ -48,10 +48,17 @@ def hopping_mean(events: DataFrame, width: str, stride: str, delay: str) -> Data
     return x.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(F.unix_seconds("window.start").alias("window_start"), "event_type", "n", "mean")
 
 
-def flush_open(closed: DataFrame, events: DataFrame, width: str, stride: str, delay: str) -> DataFrame:
-    """The windows a stream has closed and, at the end of input, those still open, from the events they hold."""
-    every = hopping_mean(events, width, stride, delay)
-    return closed.unionByName(every.join(closed, ["window_start", "event_type"], "left_anti"))
+#: The type of the event that ends a stream.
+END = "(end of input)"
+
+
+def ended(stream: DataFrame, table: DataFrame, after: str) -> DataFrame:
+    """A stream of the table's events with one more, of type END, so long after the last one that the watermark closes every window."""
+    folder = new_folder(table.sparkSession)
+    last = table.agg((F.max(F.col("ts").cast("timestamp")) + F.expr(f"interval {after}")).alias("ts"))
+    columns = [F.col("ts") if c == "ts" else F.lit(END).alias(c) if c == "event_type" else F.lit(None).cast(t).alias(c) for c, t in stream.dtypes]
+    last.select(*columns).where("ts is not null").write.parquet(folder)
+    return stream.unionByName(table.sparkSession.readStream.schema(stream.schema).parquet(folder))
 
 
 def order_violations(frames: DataFrame, arrival: str = "arrival") -> DataFrame:
