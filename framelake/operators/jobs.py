@@ -42,14 +42,6 @@ def ready(jobs: DataFrame, edges: DataFrame) -> DataFrame:
     return jobs.where("status = 'queued'").join(open_, "job_id", "left_anti")
 
 
-def spread(value: Column | str, prefix: str) -> list[Column]:
-    """Count, mean, percentiles, largest and sum; percentiles are exact and interpolated."""
-    value = F.col(value) if isinstance(value, str) else value
-    out = [F.count(value).alias("n"), F.round(F.avg(value), 4).alias(f"avg_{prefix}")]
-    out += [F.round(F.percentile(value, p / 100), 4).alias(f"p{p}_{prefix}") for p in (50, 90, 95)]
-    return [*out, F.round(F.max(value), 4).alias(f"max_{prefix}"), F.round(F.sum(value), 2).alias(f"total_{prefix}")]
-
-
 def seconds(later: str, earlier: str) -> Column:
     return (F.unix_micros(F.col(later).cast("timestamp")) - F.unix_micros(F.col(earlier).cast("timestamp"))) / 1e6
 

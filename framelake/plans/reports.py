@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import blobs as b
 from framelake.operators import jobs as j
+from framelake.operators import quantiles as q
 from framelake.operators import status as s
 from framelake.operators.catalog import top
 from framelake.sources import tables as t
@@ -60,18 +61,19 @@ def report_overview(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql(f"select event_type, {SPREAD.format('duration_ms', 'ms')} from logs group by 1", "logs"))
 def duration_by_event(spark: SparkSession, d: str) -> DataFrame:
-    return t.logs(spark, d).groupBy("event_type").agg(*j.spread("duration_ms", "ms"))
+    return q.spreads(t.logs(spark, d), ["event_type"], {"ms": "duration_ms"})
 
 
-@query(sql(f"with x as (select stage, status, (epoch_us(started_at) - epoch_us(created_at)) / 1e6 as queue_s, (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 as run_s from jobs) select stage, status, {SPREAD.format('queue_s', 'queue')}, round(avg(run_s), 4) as avg_run, round(quantile_cont(run_s, 0.95), 4) as p95_run from x group by 1, 2", "jobs"))
+@query(sql(f"with x as (select stage, status, (epoch_us(started_at) - epoch_us(created_at)) / 1e6 as queue_s, (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 as run_s from jobs) select stage, status, {SPREAD.format('queue_s', 'queue')}, {SPREAD.format('run_s', 'run').replace(' as n,', ' as n_run,')} from x group by 1, 2", "jobs"))
 def job_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     x = t.jobs(spark, d).withColumns({"queue_s": j.seconds("started_at", "created_at"), "run_s": j.seconds("finished_at", "started_at")})
-    return x.groupBy("stage", "status").agg(*j.spread("queue_s", "queue"), F.round(F.avg("run_s"), 4).alias("avg_run"), F.round(F.percentile("run_s", 0.95), 4).alias("p95_run"))
+    return q.spreads(x, ["stage", "status"], {"queue": "queue_s", "run": "run_s"})
 
 
 @query(sql(f"select coalesce(json_extract_string(payload, '$.stage'), 'unknown') as stage, worker_id, {SPREAD.format('duration_ms', 'ms')} from logs group by 1, 2", "logs"))
 def handler_timing(spark: SparkSession, d: str) -> DataFrame:
-    return t.logs(spark, d).groupBy(F.coalesce(F.get_json_object("payload", "$.stage"), F.lit("unknown")).alias("stage"), "worker_id").agg(*j.spread("duration_ms", "ms"))
+    x = t.logs(spark, d).withColumn("stage", F.coalesce(F.get_json_object("payload", "$.stage"), F.lit("unknown")))
+    return q.spreads(x, ["stage", "worker_id"], {"ms": "duration_ms"})
 
 
 @query(sql("select event_type, sum(cast(coalesce(nullif(json_extract_string(payload, '$.units'), ''), nullif(json_extract_string(payload, '$.k'), '')) as double)) as units, round(sum(duration_ms), 2) as total_ms, round(sum(cast(json_extract_string(payload, '$.k') as double)) * 1000 / round(sum(duration_ms), 2), 4) as units_per_s from logs group by 1", "logs"))

@@ -153,7 +153,13 @@ def with_ends(frames: DataFrame) -> DataFrame:
 
 
 class Liveness(StatefulProcessor):
-    """When a worker comes online and, two intervals after its last beat, goes offline; by timers on event time."""
+    """When a worker comes online and, two intervals after its last beat, goes offline.
+
+    Beats may arrive in any order within the watermark's delay: they wait in
+    state until it has passed them, and are then taken in order of their time.
+    """
+
+    COLUMNS = ["worker_id", "ms", "online"]
 
     def __init__(self, interval_ms: int) -> None:
         self.silence = 2 * interval_ms
@@ -161,31 +167,35 @@ class Liveness(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.worker = handle.getValueState("worker", "last_ms long, online boolean")
+        self.waiting = handle.getMapState("waiting", "ms long", "beats long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        beats = np.sort(np.concatenate([r["ms"].to_numpy(np.int64) for r in rows]))
-        last, online = self.worker.get() if self.worker.exists() else (None, False)
-        if last is not None:
-            self.handle.deleteTimer(last + self.silence)
-        out = []
+        beats = np.unique(np.concatenate([r["ms"].to_numpy(np.int64) for r in rows]))
         for ms in beats.tolist():
-            if last is not None and online and ms > last + self.silence:
+            self.waiting.updateValue((ms,), (1,))
+        self.handle.registerTimer(int(beats[-1]))
+        yield pd.DataFrame([], columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        last, online = self.worker.get() if self.worker.exists() else (None, False)
+        due, out = sorted(k[0] for k in self.waiting.keys() if k[0] <= now), []
+        for ms in due:
+            self.waiting.removeKey((ms,))
+            if online and ms > last + self.silence:
                 out.append((key[0], last + self.silence, False))
                 online = False
             if not online:
                 out.append((key[0], ms, True))
-            last, online = ms if last is None else max(ms, last), True
-        self.worker.update((last, online))
-        self.handle.registerTimer(last + self.silence)
-        yield pd.DataFrame(out, columns=["worker_id", "ms", "online"])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        last, online = self.worker.get()
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        gone = online and at >= last + self.silence
-        if gone:
-            self.worker.update((last, False))
-        yield pd.DataFrame([(key[0], at, False)] if gone else [], columns=["worker_id", "ms", "online"])
+            last, online = ms, True
+        if online and last + self.silence <= now:
+            out.append((key[0], last + self.silence, False))
+            online = False
+        elif online and due:
+            self.handle.registerTimer(last + self.silence)
+        if last is not None:
+            self.worker.update((last, online))
+        yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
