@@ -62,7 +62,9 @@ def rendered(df: DataFrame) -> DataFrame:
         if isinstance(kind, T.DecimalType):
             c = c.cast("double")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            # Fractions only where there are some; a time of a known zone with its offset.
+            zone = "xxx" if isinstance(kind, T.TimestampType) else ""
+            c = F.when(F.date_format(c, "SSSSSS") == "000000", F.date_format(c, f"yyyy-MM-dd HH:mm:ss{zone}")).otherwise(F.date_format(c, f"yyyy-MM-dd HH:mm:ss.SSSSSS{zone}"))
         elif isinstance(kind, T.DateType):
             c = c.cast("string")
         elif isinstance(kind, T.BinaryType):

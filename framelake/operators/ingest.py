@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import filename_timestamp
+from .scalars import GRAY_BITS, GRAY_WEIGHTS
 
 #: The file suffixes of frames and of videos.
 IMAGE_SUFFIXES = ["bmp", "dib", "jpeg", "jpg", "jp2", "png", "tif", "tiff", "webp"]
@@ -100,7 +101,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
             out = []
             for origin, h, w, n, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 a = np.frombuffer(data, np.uint8).reshape(h * w, n).astype(np.int64)
-                gray = a[:, 0] if n == 1 else (a[:, :3] @ np.array([114, 587, 299]) + 500) // 1000
+                gray = a[:, 0] if n == 1 else (a[:, :3] @ np.array(GRAY_WEIGHTS) + (1 << (GRAY_BITS - 1))) >> GRAY_BITS
                 out.append((origin, w, h, gray.astype(np.int32)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.int32()))], names=["path", "width", "height", "pixels"])

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import merged_json
+from .status import work_batches
+
 
 def replace_keys(old: DataFrame, new: DataFrame, keys: list[str], gone: DataFrame | None = None) -> DataFrame:
     """old without the rows of the keys in `gone` (those of new, if not given), and all of new."""
@@ -34,10 +37,25 @@ def merged_assignments(first: DataFrame, second: DataFrame, key: str) -> DataFra
 
 
 def sandbox_copy(frames: DataFrame, wanted: DataFrame, operation: str) -> DataFrame:
-    """Copies of the wanted frames under new ids: the same payload, marked in the metadata as copies of their source."""
+    """A new copy of each wanted frame that is none itself, sharing its payload, with the source's id in its metadata and as its parent.
+
+    Ids go on from the largest one; an asset's copies take the next negative
+    frame indexes, so that (asset_id, frame_index) stays a key, and a frame may
+    be copied again once its copies are part of `frames`.
+    """
     x = frames.join(wanted.select("frame_id").distinct(), "frame_id", "left_semi")
-    mark = F.to_json(F.struct(F.struct(F.lit(True).alias("is_sandbox"), F.col("frame_id").cast("string").alias("source_frame_id"), F.lit(operation).alias("operation")).alias("live_preview")))
-    return x.withColumn("metadata", mark).withColumn("frame_id", -F.col("frame_id"))
+    x = x.where(F.coalesce(F.get_json_object("metadata", "$.live_preview.is_sandbox"), F.lit("false")) != "true")
+    lowest = frames.groupBy("asset_id").agg(F.least(F.min("frame_index"), F.lit(0)).alias("lowest"))
+    largest = frames.agg(F.coalesce(F.max("frame_id"), F.lit(0))).first()[0]
+    numbered = work_batches(x, ["asset_id", "frame_id"], 1)
+    first = numbered.groupBy("asset_id").agg(F.min("unit").alias("first"))
+    placed = numbered.join(first, "asset_id").join(lowest, "asset_id")
+    source = F.col("frame_id").cast("string")
+    mark = F.to_json(F.struct(F.struct(F.lit(True).alias("is_sandbox"), source.alias("source_frame_id"), F.lit(operation).alias("operation")).alias("live_preview")))
+    new = {"frame_id": F.lit(largest) + 1 + F.col("unit"), "frame_index": F.col("lowest") - 1 - (F.col("unit") - F.col("first")), "metadata": merged_json("metadata", mark, strip_nulls=False)}
+    if "parent_frame_id" in frames.columns:
+        new["parent_frame_id"] = F.col("frame_id")
+    return placed.select(*[new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in frames.dtypes])
 
 
 def delete_copies(frames: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:

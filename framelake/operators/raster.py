@@ -8,6 +8,7 @@ within their task first and then by one aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .stencils import beyond, bell, gradients, odd, separable
+from .typed import DATA, as_bytes, decoded, encoded, inverted, limited, little, values, with_data
+
 
 def pixels(frames: DataFrame) -> DataFrame:
     """One row a pixel: frame_id, asset_id, frame_index, at, x, y, v."""
@@ -52,14 +56,15 @@ def otsu_level(a: np.ndarray) -> float:
 
 def otsu(frames: DataFrame, cap: float | None = None) -> DataFrame:
     """frame_id and the frame's Otsu threshold, at most `cap`."""
-    level = lambda a: otsu_level(a) if cap is None else min(otsu_level(a), float(cap))
-    return frame_rows(frames.select("frame_id", "width", "height", "pixels"), lambda r: [(r["frame_id"], level(r["pixels"]))], f"frame_id {dict(frames.dtypes)['frame_id']}, threshold double")
+    level = lambda a: otsu_level(as_bytes(a)) if cap is None else min(otsu_level(as_bytes(a)), float(cap))
+    return frame_rows(frames.select("frame_id", *pixel_columns(frames)), lambda r: [(r["frame_id"], level(r["pixels"]))], f"frame_id {dict(frames.dtypes)['frame_id']}, threshold double")
 
 
-def bounded_otsu_mask(min_contrast: float, max_foreground: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Otsu kept min_contrast above the median; a mask with too much foreground is empty."""
+def bounded_otsu_mask(min_contrast: float, max_foreground: float, cap: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """Otsu, at most cap, but kept min_contrast above the median; a mask with too much foreground is empty."""
     def f(a: np.ndarray) -> np.ndarray:
         level, background = otsu_level(a), float(np.median(a))
+        level = level if cap is None else min(level, float(cap))
         if level - background < min_contrast:
             level = min(255.0, background + min_contrast)
         mask = (a > level) * 255
@@ -68,8 +73,8 @@ def bounded_otsu_mask(min_contrast: float, max_foreground: float) -> Callable[[n
     return f
 
 
-def bounded_otsu(frames: DataFrame, min_contrast: float, max_foreground: float) -> DataFrame:
-    return per_frame(frames, bounded_otsu_mask(min_contrast, max_foreground))
+def bounded_otsu(frames: DataFrame, min_contrast: float, max_foreground: float, cap: float | None = None) -> DataFrame:
+    return per_frame(frames, bounded_otsu_mask(min_contrast, max_foreground, cap))
 
 
 def percentile_background(frames: DataFrame, q: float, min_contrast: float) -> DataFrame:
@@ -92,12 +97,12 @@ def bounded_field(field: np.ndarray, low: float = 1.0, high: float | None = None
     return np.where(field > high, 255.0, field) if high is not None else field
 
 
-def divided(a: np.ndarray, field: np.ndarray | float, low: float = 1.0, high: float | None = None) -> np.ndarray:
-    """divide for whole frames, by a field of the frame's shape, a row, a column or a number."""
+def divided(a: np.ndarray, field: np.ndarray | float, low: float = 1.0, high: float | None = None, kind: np.dtype | None = None) -> np.ndarray:
+    """divide for whole frames, by a field of the frame's shape, a row, a column or a number; the result is of the frame's element type."""
     field = np.asarray(bounded_field(np.asarray(field, np.float64), low, high))
     out = np.ones(np.broadcast_shapes(a.shape, field.shape)) * 255
     np.divide(a * 255.0, field, out=out, where=field != 0)
-    return np.trunc(np.clip(out, 0, 255)).astype(np.int64)
+    return limited(out, kind)
 
 
 def flatfield(frames: DataFrame, q: float, axis: int = 0, low: float = 1.0, high: float | None = None) -> DataFrame:
@@ -125,7 +130,7 @@ def area_means(a: np.ndarray, k: int) -> np.ndarray:
 def preview(frames: DataFrame, k: int) -> DataFrame:
     """Means of k x k cells: frame_id, px, py, v."""
     rows = lambda r: [(r["frame_id"], int(x), int(y), float(m[y, x])) for m in [area_means(r["pixels"], k)] for y, x in np.ndindex(m.shape)]
-    return frame_rows(frames.select("frame_id", "width", "height", "pixels"), rows, f"frame_id {dict(frames.dtypes)['frame_id']}, px int, py int, v double")
+    return frame_rows(frames.select("frame_id", *pixel_columns(frames)), rows, f"frame_id {dict(frames.dtypes)['frame_id']}, px int, py int, v double")
 
 
 def metrics(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -230,21 +235,22 @@ def window_assignment(frames: DataFrame, windows: DataFrame, stride: int) -> Dat
 
 def per_frame(frames: DataFrame, function: Callable[[np.ndarray], np.ndarray], into: str = "mask") -> DataFrame:
     """A NumPy function of the 2-D frame, applied to Arrow batches: frame_id, asset_id, width, height and the result."""
-    x = frames.select("frame_id", "asset_id", "width", "height", "pixels")
+    types = dict(frames.dtypes)
+    rows = lambda r: [(r["frame_id"], r["asset_id"], r["pixels"].shape[1], r["pixels"].shape[0], function(r["pixels"]).reshape(-1).astype(np.int32))]
+    return frame_rows(frames.select("frame_id", "asset_id", *pixel_columns(frames)), rows, f"frame_id {types['frame_id']}, asset_id {types['asset_id']}, width int, height int, {into} array<int>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for w, h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                out.append(function(p.values.to_numpy().reshape(h, w)).reshape(-1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.int32()))], names=["frame_id", "asset_id", "width", "height", into])
 
-    types = dict(x.dtypes)
-    return x.mapInArrow(run, f"frame_id {types['frame_id']}, asset_id {types['asset_id']}, width int, height int, {into} array<int>")
+def pixel_columns(frames: DataFrame) -> list[str]:
+    """The columns that hold a frame's pixels: `data`, a packed array of any element type, where there is one, or width, height and pixels."""
+    return ["data"] if "data" in frames.columns else ["width", "height", "pixels"]
 
 
 def frame_rows(frames: DataFrame, rows: Callable[[dict], list[tuple]], schema: str) -> DataFrame:
-    """Any rows made from each frame in Arrow batches; array columns come as NumPy arrays, pixels and masks in the frame's shape."""
+    """Any rows made from each frame in Arrow batches; array columns come as NumPy arrays, pixels and masks in the frame's shape.
+
+    Frames with a `data` column (see framelake.operators.typed) have their
+    pixels, width and height from it, in its element type.
+    """
     types = T.StructType.fromDDL(schema)
     names = frames.columns
 
@@ -257,8 +263,11 @@ def frame_rows(frames: DataFrame, rows: Callable[[dict], list[tuple]], schema: s
                 for n, c in zip(names, b.columns, strict=True):
                     v = c[i]
                     row[n] = (np.array(v.values) if v.is_valid else None) if pa.types.is_list(c.type) else v.as_py()
+                if row.get("data") is not None:
+                    row["pixels"] = decoded(row["data"])
+                    row["height"], row["width"] = row["pixels"].shape
                 for n in ("pixels", "mask"):
-                    if row.get(n) is not None and len(row[n]) == row["width"] * row["height"]:
+                    if row.get(n) is not None and row[n].size == row["width"] * row["height"]:
                         row[n] = row[n].reshape(row["height"], row["width"])
                 out.extend(rows(row))
             if out:
@@ -269,8 +278,7 @@ def frame_rows(frames: DataFrame, rows: Callable[[dict], list[tuple]], schema: s
 
 def shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
     """a moved so that each place holds its neighbour at (dy, dx), borders repeated."""
-    ys = np.clip(np.arange(a.shape[0]) + dy, 0, a.shape[0] - 1)
-    xs = np.clip(np.arange(a.shape[1]) + dx, 0, a.shape[1] - 1)
+    ys, xs = (beyond(np.arange(n) + d, n, "repeat") for n, d in zip(a.shape, (dy, dx), strict=True))
     return a[ys][:, xs]
 
 
@@ -280,45 +288,38 @@ def window_of(size: int) -> list[tuple[int, int]]:
 
 
 def adaptive_mean(block: int, c: float) -> Callable[[np.ndarray], np.ndarray]:
-    """255 where a pixel is above its block's rounded mean less c."""
+    """255 where a pixel is above its block's rounded mean less c, which counts as the next whole number; borders are repeated."""
+    size = odd(int(block), 3)
+    ones = np.ones(size, np.int64)
+
     def f(a: np.ndarray) -> np.ndarray:
-        mean = np.floor(sum(shifted(a, *o).astype(np.int64) for o in window_of(block)) / block**2 + 0.5)
-        return (a > mean - c) * 255
+        mean = np.rint(separable(a.astype(np.int64), ones, ones, "repeat") / size**2)
+        return (a > mean - math.ceil(c)) * 255
 
     return f
 
 
 def adaptive_gaussian(block: int, c: float) -> Callable[[np.ndarray], np.ndarray]:
-    """255 where a pixel is above its block's rounded mean, weighted by a bell curve, less c."""
-    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
-    bell = np.exp(-((np.arange(block) - block // 2) ** 2) / (2 * sigma**2))
-    bell /= bell.sum()
+    """The same with a mean weighted by a bell curve."""
+    weights = bell(odd(int(block), 3))
 
     def f(a: np.ndarray) -> np.ndarray:
-        r, x = block // 2, a.astype(np.float64)
-        rows = sum(w * shifted(x, dy, 0) for w, dy in zip(bell, range(-r, r + 1), strict=True))
-        mean = sum(w * shifted(rows, 0, dx) for w, dx in zip(bell, range(-r, r + 1), strict=True))
-        return (a > np.floor(mean + 0.5) - c) * 255
+        mean = np.rint(separable(a.astype(np.float64), weights, weights, "repeat"))
+        return (a > mean - math.ceil(c)) * 255
 
     return f
 
 
-def gradients(a: np.ndarray) -> np.ndarray:
-    """Squared Sobel magnitude."""
-    s = lambda dy, dx: shifted(a, dy, dx).astype(np.int64)
-    gx = s(-1, 1) + 2 * s(0, 1) + s(1, 1) - s(-1, -1) - 2 * s(0, -1) - s(1, -1)
-    gy = s(1, -1) + 2 * s(1, 0) + s(1, 1) - s(-1, -1) - 2 * s(-1, 0) - s(-1, 1)
-    return gx * gx + gy * gy
-
-
-def sobel(threshold: float | None = None, percentile: float = 90) -> Callable[[np.ndarray], np.ndarray]:
+def sobel(threshold: float | None = None, percentile: float = 90, kernel_size: int = 3) -> Callable[[np.ndarray], np.ndarray]:
     """255 where the gradient reaches a fixed level or, without one, the percentile of the frame's."""
+    size = odd(int(kernel_size), 1)
+
     def f(a: np.ndarray) -> np.ndarray:
-        squared = gradients(a)
+        squared = gradients(a, size)
         if threshold is not None:
             return (squared >= threshold * threshold) * 255
-        size = np.sqrt(squared)
-        return (size >= np.percentile(size, percentile)) * 255
+        lengths = np.sqrt(squared)
+        return (lengths >= np.percentile(lengths, percentile)) * 255
 
     return f
 
@@ -506,7 +507,7 @@ def detections(frames: DataFrame, mask: Callable[[np.ndarray], np.ndarray], conn
             out.append((r["frame_id"], index, x, y, w, h, cx, cy, cw, ch, r["bbox_x"] + x, r["bbox_y"] + y, int(found["area"][i]), float(found["major_axis_length"][i]), float(found["minor_axis_length"][i]), int(low[i]), float(mean[i]), roi, own))
         return out
 
-    return frame_rows(frames.select("frame_id", "width", "height", "pixels", *offsets), rows, f"frame_id {kinds['frame_id']}, {DETECTION}")
+    return frame_rows(frames.select("frame_id", *pixel_columns(frames), *offsets), rows, f"frame_id {kinds['frame_id']}, {DETECTION}")
 
 
 def regions(frames: DataFrame, mask: Callable[[np.ndarray], np.ndarray], connectivity: int = 8) -> DataFrame:
@@ -515,31 +516,49 @@ def regions(frames: DataFrame, mask: Callable[[np.ndarray], np.ndarray], connect
     return x.select("frame_id", F.col("roi_index").alias("label"), "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "min_gray", F.round("mean_gray", 6).alias("mean_gray"))
 
 
-#: Threshold methods by name: each takes options and gives a function of the frame.
+def manual(threshold: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    if threshold is None:
+        raise ValueError("the manual method needs a threshold")
+    return lambda a: (a > threshold) * 255
+
+
+def automatic(threshold: float | None = None, cap: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """Manual where a threshold is given, else Otsu."""
+    return manual(threshold) if threshold is not None else METHODS["otsu"](cap)
+
+
+#: Threshold methods by name: each takes options and gives a function of the frame.  The defaults are fixed values.
 METHODS: dict[str, Callable[..., Callable[[np.ndarray], np.ndarray]]] = {
-    "manual": lambda threshold=127: lambda a: (a > threshold) * 255,
+    "auto": automatic,
+    "manual": manual,
     "otsu": lambda cap=None: lambda a: (a > (otsu_level(a) if cap is None else min(otsu_level(a), cap))) * 255,
-    "bounded_otsu": lambda min_contrast=20, max_foreground=0.5: bounded_otsu_mask(min_contrast, max_foreground),
-    "percentile_background": lambda percentile=50, min_contrast=20: lambda a: (a > min(255.0, np.percentile(a, percentile) + min_contrast)) * 255,
+    "bounded_otsu": lambda min_contrast=50, max_foreground=0.9, cap=None: bounded_otsu_mask(min_contrast, max_foreground, cap),
+    "percentile_background": lambda percentile=50, min_contrast=50: lambda a: (a > min(255.0, np.percentile(a, percentile) + min_contrast)) * 255,
     "adaptive_mean": lambda block_size=31, c=5: adaptive_mean(block_size, c),
     "adaptive_gaussian": lambda block_size=31, c=5: adaptive_gaussian(block_size, c),
-    "hysteresis": lambda low=30, high=60, connectivity=8: hysteresis(low, high, connectivity),
-    "sobel": lambda threshold=None, percentile=90: sobel(threshold, percentile),
+    "hysteresis": lambda low=30, high=80, connectivity=8: hysteresis(low, high, connectivity),
+    "sobel_edges": sobel,
+    "sobel": sobel,
 }
 
 
 def thresholder(method: str | Callable[[np.ndarray], np.ndarray], **options: object) -> Callable[[np.ndarray], np.ndarray]:
-    """The named method with its options, a list of methods joined by or_/and_, or a function as it stands."""
+    """The named method with its options, or a function as it stands; frames of other types than bytes are scaled to these first.
+
+    Two methods may be joined by _or_ and _and_, each with its options under its
+    name: thresholder("manual_or_otsu", manual={"threshold": 90}).
+    """
     if callable(method):
         return method
     name = method.lower().replace("-", "_")
     for word, join in (("_or_", np.maximum), ("_and_", np.minimum)):
         if name not in METHODS and word in name:
-            first, second = (thresholder(m) for m in name.split(word, 1))
+            first, second = (thresholder(m, **options.get(m, {})) for m in name.split(word, 1))
             return lambda a: join(first(a), second(a))
     if name not in METHODS:
         raise ValueError(f"unknown threshold method {method!r}; one of {', '.join(sorted(METHODS))}")
-    return METHODS[name](**options)
+    find = METHODS[name](**options)
+    return lambda a: find(as_bytes(a))
 
 
 def crop_bounds(width: int, height: int, box: tuple[int | None, int | None, int | None, int | None] | None) -> tuple[int, int, int, int] | None:
@@ -563,14 +582,16 @@ def preprocess(frames: DataFrame, crop: tuple | None = None, apply_mask: bool =
     Of the optional columns, mask has the frame's size; background is an array
     of background_width values a row, of which a smaller frame takes the upper
     left part, or the number background_level; profile has a value for each
-    column (axis 0) or row.  A background is preferred to a profile.
+    column (axis 0) or row.  A background is preferred to a profile.  Frames
+    with a `data` column keep their element type, and have one in the result.
     """
-    kinds = dict(frames.dtypes)
+    kinds, typed = dict(frames.dtypes), "data" in frames.columns
     extra = {"mask": "array<int>", "background": "array<int>", "background_width": "int", "background_level": "double", "profile": "array<double>", "bbox_x": "int", "bbox_y": "int"}
     given = [F.col(c) if c in kinds else F.lit(None).cast(t).alias(c) for c, t in extra.items()]
 
     def rows(r: dict) -> list[tuple]:
         a, m, steps = r["pixels"], r["mask"], []
+        kind = np.dtype(r["data"]["dtype"]) if typed else None
         h, w = a.shape
         m = None if m is None else m.reshape(h, w)
         field = r["background_level"]
@@ -589,22 +610,26 @@ def preprocess(frames: DataFrame, crop: tuple | None = None, apply_mask: bool =
             profile = None if profile is None else (profile[x : x + cw] if axis == 0 else profile[y : y + ch])
             steps.append("crop")
         if apply_mask and m is not None:
-            a = np.where(m > 0, a, fill)
+            a = np.where(m > 0, a, np.asarray(fill, a.dtype))
             steps.append("mask")
         if field is not None:
-            a = divided(a, field, low, high)
+            a = divided(a, field, low, high, kind)
             steps.append("background_correction")
         elif profile is not None:
             if len(profile) != a.shape[1 - axis]:
                 raise ValueError(f"a profile of {len(profile)} values does not fit a frame of {a.shape}")
-            a = divided(a, profile[None, :] if axis == 0 else profile[:, None], low, high)
+            a = divided(a, profile[None, :] if axis == 0 else profile[:, None], low, high, kind)
             steps.append("flatfield")
         if invert_intensity:
-            a = 255 - a
+            a = inverted(a, kind)
             steps.append("invert_intensity")
-        return [(r["frame_id"], a.shape[1], a.shape[0], (r["bbox_x"] or 0) + x, (r["bbox_y"] or 0) + y, a.reshape(-1), ",".join(steps))]
+        place = ((r["bbox_x"] or 0) + x, (r["bbox_y"] or 0) + y)
+        if typed:
+            return [(r["frame_id"], *place, encoded(a, kind.name), ",".join(steps))]
+        return [(r["frame_id"], a.shape[1], a.shape[0], *place, a.reshape(-1), ",".join(steps))]
 
-    return frame_rows(frames.select("frame_id", "width", "height", "pixels", *given), rows, f"frame_id {kinds['frame_id']}, {PREPROCESSED}")
+    shape = PREPROCESSED.replace("width int, height int, ", "").replace("pixels array<int>", f"data {DATA}") if typed else PREPROCESSED
+    return frame_rows(frames.select("frame_id", *pixel_columns(frames), *given), rows, f"frame_id {kinds['frame_id']}, {shape}")
 
 
 def with_backgrounds(frames: DataFrame, backgrounds: DataFrame, stride: int) -> DataFrame:
@@ -632,23 +657,12 @@ def stage_counts(frames: DataFrame, found: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("frames"), F.count("n").alias("frames_with_detections"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"), F.coalesce(F.sum("area"), F.lit(0)).alias("foreground_pixels"))
 
 
-#: Element types of packed arrays.
-DTYPES = ("uint8", "int8", "uint16", "int16", "int32", "int64", "float32", "float64")
-
-
 def pack_arrays(frames: DataFrame, dtype: str = "uint8") -> DataFrame:
     """frame_id, dtype, shape and the pixels as bytes in row order, little-endian."""
-    if dtype not in DTYPES:
-        raise ValueError(f"unknown element type {dtype!r}")
-    rows = lambda r: [(r["frame_id"], dtype, list(r["pixels"].shape), r["pixels"].astype(np.dtype(dtype).newbyteorder("<")).tobytes())]
-    return frame_rows(frames.select("frame_id", "width", "height", "pixels"), rows, f"frame_id {dict(frames.dtypes)['frame_id']}, dtype string, shape array<int>, payload binary")
-
+    little(dtype)
+    return with_data(frames.select("frame_id", "width", "height", "pixels"), dtype).select("frame_id", "data.dtype", "data.shape", "data.payload")
 
-def unpack_arrays(packed: DataFrame) -> DataFrame:
-    """The frames of packed arrays: frame_id, width, height, pixels; a payload of another length than its shape is an error."""
-
-    def rows(r: dict) -> list[tuple]:
-        a = np.frombuffer(r["payload"], np.dtype(r["dtype"]).newbyteorder("<")).reshape(r["shape"])
-        return [(r["frame_id"], a.shape[1], a.shape[0], a.astype(np.int64).reshape(-1))]
 
-    return frame_rows(packed.select("frame_id", "dtype", "shape", "payload"), rows, f"frame_id {dict(packed.dtypes)['frame_id']}, width int, height int, pixels array<int>")
+def unpack_arrays(packed: DataFrame, element: str = "double") -> DataFrame:
+    """The frames of packed arrays: frame_id, width, height, pixels as an array of the element type; values it cannot hold, and a payload of another length than its shape, are errors."""
+    return values(packed.select("frame_id", F.struct("dtype", "shape", "payload").alias("data")), element)

@@ -66,9 +66,14 @@ def roi_encoding(n_bytes: Column | str, wanted: Column | str | None = None, smal
     return F.when(wanted != "auto", wanted).when(_c(n_bytes) < small, "png").otherwise("zstd")
 
 
+#: Weights of blue, green and red in 1 / 2**15, fixed values.
+GRAY_WEIGHTS, GRAY_BITS = (3735, 19235, 9798), 15
+
+
 def gray(blue: Column | str, green: Column | str, red: Column | str) -> Column:
-    """Gray value of blue, green and red bytes, rounded."""
-    return F.floor((114 * _c(blue) + 587 * _c(green) + 299 * _c(red) + 500) / 1000).cast("int")
+    """Gray value of blue, green and red bytes, rounded in fixed point."""
+    weighted = sum(F.lit(w) * _c(c) for w, c in zip(GRAY_WEIGHTS, (blue, green, red), strict=True))
+    return F.shiftright((weighted + (1 << (GRAY_BITS - 1))).cast("int"), GRAY_BITS)
 
 
 def gray_pixels(data: str, channels: Column | str) -> Column:
@@ -89,15 +94,56 @@ def binary_mask(mask: str) -> Column:
     return F.transform(mask, lambda v: F.when(v > 0, 255).otherwise(0))
 
 
-def merged_json(*texts: Column | str) -> Column:
-    """Flat JSON objects merged, later ones first in right, without null values; keys in order."""
-    maps = [F.coalesce(F.from_json(_c(t), "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))) for t in texts]
-    def over(low: Column, high: Column) -> Column:
-        return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+def json_object(text: Column | str) -> Column:
+    """A JSON object's members by name, with their types; empty for what is no object."""
+    found = F.try_variant_get(F.try_parse_json(_c(text)), "$", "map<string,variant>")
+    return F.coalesce(found, F.create_map().cast("map<string,variant>"))
+
+
+def _over(low: Column, high: Column) -> Column:
+    return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+
+
+def _text(members: Column, strip_nulls: bool) -> Column:
+    return F.to_json(F.to_variant_object(F.map_filter(members, lambda k, v: ~F.is_variant_null(v)) if strip_nulls else members))
+
+
+def merged_json(*texts: Column | str, strip_nulls: bool = True) -> Column:
+    """JSON objects merged, a later member in place of an earlier one, whole; keys in order.  Numbers, booleans and nested values keep their types."""
+    return _text(functools.reduce(_over, map(json_object, texts)), strip_nulls)
 
-    out = functools.reduce(over, maps)
-    entries = F.array_sort(F.map_entries(F.map_filter(out, lambda k, v: v.isNotNull())))
-    return F.to_json(F.map_from_entries(entries))
+
+def member(members: Column, *path: str) -> Column:
+    """A nested object's members, empty where there is none."""
+    for name in path:
+        members = F.coalesce(F.try_variant_get(members[name], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return members
+
+
+def merged_settings(existing: Column | str, patch: Column | str, root: str = "storage", sections: tuple[str, ...] = ("frame", "roi")) -> Column:
+    """Settings with a patch merged into their sections, key by key; other members stay, and a patch's other members are left out."""
+    old, new = json_object(existing), json_object(patch)
+    have, want = member(old, root), member(new, root)
+    for name in sections:
+        own = F.create_map(F.lit(name), F.to_variant_object(_over(member(have, name), member(want, name))))
+        have = F.when(F.try_variant_get(want[name], "$", "map<string,variant>").isNotNull(), _over(have, own)).otherwise(have)
+    whole = F.try_variant_get(new[root], "$", "map<string,variant>").isNotNull()
+    return _text(F.when(whole, _over(old, F.create_map(F.lit(root), F.to_variant_object(have)))).otherwise(old), False)
+
+
+def resolved_sections(layers: list[tuple[str, Column]], keys: dict[str, list[str]]) -> list[Column]:
+    """For each section and key the first layer's value that is there and no null, as JSON text, and that layer's name: columns <section>_<key> and <section>_<key>_source.
+
+    Layers are names and JSON texts of objects of sections, the first one before the others.
+    """
+    out = []
+    for section, names in keys.items():
+        for key in names:
+            own = [(name, member(json_object(text), section)[key]) for name, text in layers]
+            there = [(name, F.when(~F.is_variant_null(value), value)) for name, value in own]
+            out.append(F.to_json(F.coalesce(*[v for _, v in there])).alias(f"{section}_{key}"))
+            out.append(F.coalesce(*[F.when(v.isNotNull(), F.lit(name)) for name, v in there]).alias(f"{section}_{key}_source"))
+    return out
 
 
 def setting(explicit: Column, project: Column, legacy: Column, default: Column) -> tuple[Column, Column]:

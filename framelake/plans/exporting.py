@@ -19,7 +19,7 @@ from .twins import sql
 JOBS_OF = """jobs_of as (select distinct a, job_id, status, stage, updated_at from (select asset_id as a, job_id, status, stage, updated_at from w_jobs where asset_id is not null
 union all select x.asset_id, j.job_id, j.status, j.stage, j.updated_at from w_jobs j join w_assets x on x.run_id = j.run_id)),
 job as (select a as asset_id, count(*) as job_count, max_by(status, (updated_at, job_id)) as latest_job_status, max_by(stage, (updated_at, job_id)) as latest_job_stage, max(updated_at) as latest_job_updated_at from jobs_of group by 1)"""
-TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {1}"
+TIME = "case when epoch_us({0}) % 1000000 = 0 then strftime({0}, '%Y-%m-%d %H:%M:%S') else strftime({0}, '%Y-%m-%d %H:%M:%S.%f') end as {1}"
 JOB_COLUMNS = "coalesce(job_count, 0) as job_count, latest_job_status, latest_job_stage, " + TIME.format("latest_job_updated_at", "latest_job_updated_at")
 
 
@@ -99,17 +99,18 @@ def job_affected_frames(spark: SparkSession, d: str) -> DataFrame:
     return m.affected_frames(j.unionByName(named), x)
 
 
-@query(sql("select -frame_id as frame_id, payload_ref, cast(frame_id as varchar) as source from w_frames where frame_index = 2", "w_frames"))
+@query(sql("""with x as (select *, row_number() over (order by asset_id, frame_id) as n, row_number() over (partition by asset_id order by frame_id) as k from w_frames where frame_index <= 2 and json_extract_string(metadata, '$.live_preview.is_sandbox') is distinct from 'true')
+select (select max(frame_id) from w_frames) + n as frame_id, asset_id, cast(-k as integer) as frame_index, frame_id as parent_frame_id, payload_ref, cast(frame_id as varchar) as source from x""", "w_frames"))
 def sandbox_copy(spark: SparkSession, d: str) -> DataFrame:
     f = wide(spark, d, "w_frames")
-    x = s.sandbox_copies(m.sandbox_copy(f, f.where("frame_index = 2"), "mask"), operation="mask")
-    return x.select("frame_id", "payload_ref", F.get_json_object("metadata", "$.live_preview.source_frame_id").alias("source"))
+    x = s.sandbox_copies(m.sandbox_copy(f, f.where("frame_index <= 2"), "mask"), operation="mask")
+    return x.select("frame_id", "asset_id", "frame_index", "parent_frame_id", "payload_ref", F.get_json_object("metadata", "$.live_preview.source_frame_id").alias("source"))
 
 
-@query(sql("select payload_ref from w_frames group by 1 having min(frame_id) > 2400 and min(frame_id % 3) = 0 and max(frame_id % 3) = 0", "w_frames"))
+@query(sql("select payload_ref from w_frames group by 1 having bool_and(frame_id % 500 < 40 or asset_id % 2 = 0)", "w_frames"))
 def sandbox_delete_orphans(spark: SparkSession, d: str) -> DataFrame:
     f = wide(spark, d, "w_frames")
-    return m.delete_copies(f, f.where("frame_id % 3 = 0 and frame_id > 2400"))[1]
+    return m.delete_copies(f, f.where("frame_id % 500 < 40 or asset_id % 2 = 0"))[1]
 
 
 @query(sql("""with gone as (select asset_id from w_assets where run_id = 3), refs as (select asset_id, unnest([payload_ref, preprocessed_payload_ref, background_payload_ref]) as ref from w_frames)

@@ -75,10 +75,12 @@ def flatfield_profiles(spark: SparkSession, d: str) -> DataFrame:
     return r.profiles(t.images(spark, d), 15, 15).select("asset_id", "centre", F.col("x").cast("long").alias("x"), F.round("profile", 6).alias("profile"))
 
 
-@query(sql(MEANS + """ select p.frame_id, p.pos, cast(case when background < 1 then 255 else trunc(least(255, p.v * 255 / background)) end as integer) as v from pixels p join m on m.asset_id = p.asset_id and m.pos = p.pos and m.centre = (p.frame_index + 12) // 25 * 25""", "pixels"))
+@query(sql(MEANS + """ select p.frame_id, cast(sum((p.pos + 1) * case when background < 1 then 255 else cast(trunc(least(255, p.v * 255 / background)) as bigint) end) as bigint) as checksum from pixels p join m on m.asset_id = p.asset_id and m.pos = p.pos and m.centre = (p.frame_index + 12) // 25 * 25 group by 1""", "pixels"))
 def background_divide(spark: SparkSession, d: str) -> DataFrame:
+    """A sum of each frame's pixels, weighted by their places."""
     i = t.images(spark, d)
-    return exploded(r.preprocess(r.with_backgrounds(i, r.mean_backgrounds(i, 25, 51), 25).where("background is not null"), invert_intensity=False))
+    x = r.preprocess(r.with_backgrounds(i, r.mean_backgrounds(i, 25, 51), 25).where("background is not null"), invert_intensity=False)
+    return x.select("frame_id", F.aggregate(F.transform("pixels", lambda v, k: v.cast("long") * (k + 1)), F.lit(0).cast("long"), lambda a, v: a + v).alias("checksum"))
 
 
 @query(sql(MEANS + """ select i.frame_id, i.asset_id, (i.frame_index + 12) // 25 * 25 as centre, exists (select 1 from m where m.asset_id = i.asset_id and m.centre = (i.frame_index + 12) // 25 * 25) as has_window from images i""", "pixels", "images"))
@@ -126,11 +128,19 @@ def adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     return foreground(r.per_frame(t.images(spark, d), r.adaptive_mean(3, 5)))
 
 
-@query(sql(f"with {NEAR}, g as (select frame_id, pos, sum(u * dx * (2 - abs(dy))) as gx, sum(u * dy * (2 - abs(dx))) as gy from near group by 1, 2) select frame_id, cast(count(*) filter (where gx * gx + gy * gy >= 22500) as integer) as foreground from g group by 1", "pixels"))
+@query(sql(f"with {NEAR.replace('least(greatest(p.x + o.dx, 0), 7)', '7 - abs(7 - abs(p.x + o.dx))').replace('least(greatest(p.y + o.dy, 0), 7)', '7 - abs(7 - abs(p.y + o.dy))')}, g as (select frame_id, pos, sum(u * dx * (2 - abs(dy))) as gx, sum(u * dy * (2 - abs(dx))) as gy from near group by 1, 2) select frame_id, cast(count(*) filter (where gx * gx + gy * gy >= 22500) as integer) as foreground from g group by 1", "pixels"))
 def sobel_mask(spark: SparkSession, d: str) -> DataFrame:
     return foreground(r.per_frame(t.images(spark, d), r.sobel(150)))
 
 
+@query(sql("""with w as (select * from (values (-2, 0.0625), (-1, 0.25), (0, 0.375), (1, 0.25), (2, 0.0625)) t(i, w)),
+b as (select p.frame_id, p.pos, p.v, sum(q.v * a.w * c.w) as mean from pixels p cross join w a cross join w c join pixels q on q.frame_id = p.frame_id and q.x = least(greatest(p.x + a.i, 0), 7) and q.y = least(greatest(p.y + c.i, 0), 7) group by 1, 2, 3)
+select frame_id, cast(count(*) filter (where v > round_even(mean, 0) - 3) as integer) as foreground from b group by 1""", "pixels"))
+def adaptive_bell_threshold(spark: SparkSession, d: str) -> DataFrame:
+    """The bell-shaped block of five, and a level of 2.5 that counts as 3."""
+    return foreground(r.per_frame(t.images(spark, d), r.thresholder("adaptive_gaussian", block_size=4, c=2.5)))
+
+
 @query(sql(f"with {NEAR}, e as (select frame_id, pos, min(case when u > 120 then 1 else 0 end) as eroded, max(case when u > 150 then 1 else 0 end) as dilated from near group by 1, 2) select frame_id, cast(sum(eroded) as integer) as eroded, cast(sum(dilated) as integer) as dilated from e group by 1", "pixels"))
 def morphology(spark: SparkSession, d: str) -> DataFrame:
     i = t.images(spark, d)

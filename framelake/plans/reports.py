@@ -102,6 +102,16 @@ def phase_timing(spark: SparkSession, d: str) -> DataFrame:
     return j.phases(t.logs(spark, d))
 
 
+@query(sql("""with p as (select worker_id, event_type, sum(duration_ms) as ms, count(*) as n from logs where event_type <> 'error' group by 1, 2), w as (select worker_id, sum(duration_ms) as total_ms from logs group by 1),
+u as (select worker_id, 'unattributed' as event_type, greatest(total_ms - coalesce(ms, 0), 0) as ms, 1 as n from w left join (select worker_id, sum(ms) as ms from p group by 1) using (worker_id)),
+every as (select * from p union all select * from u)
+select worker_id, event_type, n::bigint as n, round(ms / n, 4) as avg_ms, round(100 * ms / total_ms, 4) as percent from every join w using (worker_id)""", "logs"))
+def phase_timing_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Errors are in the measured whole, but are no phase: their time is unattributed."""
+    x = t.logs(spark, d)
+    return j.phases(x.where("event_type <> 'error'"), x.groupBy("worker_id").agg(F.sum("duration_ms").alias("total_ms")))
+
+
 @query(sql("select l.id, l.job_id, q.asset_id, case when regexp_matches(lower(event_type), 'failed|error|dead_lettered') then 'error' when regexp_matches(lower(event_type), 'retry|requeued|paused|shutdown') then 'warning' when regexp_matches(lower(event_type), 'heartbeat|touched|progress') then 'debug' else 'info' end as level, case when event_type like 'job.%' then 'Job event ' || event_type || coalesce(' for ' || stage, '') when event_type like 'worker.%' then 'Worker event ' || event_type || ' for ' || worker_id else replace(event_type, '.', ' ') end as message from (select id, job_id, worker_id, case when id % 3 = 0 then 'job.' || event_type when id % 3 = 1 then 'worker.heartbeat' else event_type || '.failed' end as event_type from logs) l left join jobs q on q.job_id = l.job_id", "logs", "jobs"))
 def event_log_enrichment(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("id") % 3 == 0, F.concat(F.lit("job."), "event_type")).when(F.col("id") % 3 == 1, "worker.heartbeat").otherwise(F.concat("event_type", F.lit(".failed")))

@@ -90,9 +90,9 @@ def frames_by_asset_index(spark: SparkSession, d: str) -> DataFrame:
     return s.lookup_many(wide(spark, d, "w_frames"), wanted, ["asset_id", "frame_index"]).select("frame_id", "asset_id", "frame_index")
 
 
-@query(sql("select model_id, model_key from w_models where model_key ilike '%and#2%' and artifact_uri ilike '%BRASS%' and version = 'v1' and task = 'refine'", "w_models"))
+@query(sql("select model_id, model_key from w_models where model_key ilike '%and#2%' and artifact_uri ilike '%PROMO%' and version = 'v1' and task = 'refine'", "w_models"))
 def model_search(spark: SparkSession, d: str) -> DataFrame:
-    return s.search_models(wide(spark, d, "w_models"), {"model_key": "and#2", "artifact_uri": "brass"}, version="v1", task="refine").select("model_id", "model_key")
+    return s.search_models(wide(spark, d, "w_models"), {"model_key": "and#2", "artifact_uri": "promo"}, version="v1", task="refine").select("model_id", "model_key")
 
 
 @query("select s_suppkey as worker_id from supplier where s_suppkey % 3 = 0 and s_nationkey % 2 = 0")

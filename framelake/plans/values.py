@@ -60,7 +60,7 @@ def roi_storage(spark: SparkSession, d: str) -> DataFrame:
     return x.select("detection_id", v.roi_encoding(F.col("bbox_w") * F.col("bbox_h"), wanted, 128).alias("encoding"), v.stores_payload("area", "bbox_w", "bbox_h", 20000, 3, least_sum=12).alias("stored"))
 
 
-@query(sql("with g as (select frame_id, pixels[3 * i + 1] as b, pixels[3 * i + 2] as g, pixels[3 * i + 3] as r from images, unnest(generate_series(0, 20)) as u(i)) select frame_id, cast(sum(floor(0.114 * b + 0.587 * g + 0.299 * r + 0.5)) as bigint) as total from g group by 1", "images"))
+@query(sql("with g as (select frame_id, pixels[3 * i + 1] as b, pixels[3 * i + 2] as g, pixels[3 * i + 3] as r from images, unnest(generate_series(0, 20)) as u(i)) select frame_id, cast(sum(((3735 * b + 19235 * g + 9798 * r + 16384) >> 15)) as bigint) as total from g group by 1", "images"))
 def gray_values(spark: SparkSession, d: str) -> DataFrame:
     x = t.images(spark, d).select("frame_id", F.slice("pixels", 1, 63).alias("data"))
     return x.select("frame_id", F.aggregate(v.gray_pixels("data", F.lit(3)), F.lit(0).cast("long"), lambda a, p: a + p).alias("total"))
@@ -73,19 +73,52 @@ def scaled_values(spark: SparkSession, d: str) -> DataFrame:
     return x.select("frame_id", total(v.to_bytes_range("pixels")).alias("total"), total(v.binary_mask("high")).alias("binary"))
 
 
-@query(sql("""select o_orderkey as frame_id, '{"a":"' || case when o_orderkey % 3 = 0 then 'new' else 'old' end || '"' || case when o_orderkey % 3 <> 0 or o_orderkey % 2 = 0 then ',"b":"' || o_orderkey || '"' else '' end || case when o_orderkey % 3 = 0 then ',"c":"x"' else '' end || '}' as merged from orders"""))
+@query("""with x as (select o_orderkey as id, '{"clerk":{"k":' || o_custkey || '},"price":' || o_totalprice || ',"n":null,"done":' || case when o_orderstatus = 'F' then 'true' else 'false' end || ',"tags":["' || o_orderpriority || '",1]}' as old,
+  case when o_orderkey % 3 = 0 then '{"clerk":{"z":' || o_orderkey || '},"done":null,"price":' || o_orderkey || '}' when o_orderkey % 3 = 1 then '[1]' end as new from orders),
+m as (select id, json_merge_patch(old, case when new like '{%' then new else '{}' end) as joined, old, new from x)
+select id as frame_id, case when new like '{%' then (json_extract(new, '$.clerk.z'))::bigint else null end as z, case when new like '{%' then null else (json_extract(old, '$.clerk.k'))::bigint end as k,
+  round((json_extract(joined, '$.price'))::double, 4) as price, (json_extract(joined, '$.done'))::boolean as done, json_extract(joined, '$.tags[1]')::bigint as one, json_type(joined, '$.tags') = 'ARRAY' as tags from m""")
 def merged_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata with numbers, booleans, lists and nested objects under another, read back by their types; a nested object is replaced whole."""
+    o = t.table(spark, d, "orders")
     k = F.col("o_orderkey")
-    old = F.concat(F.lit('{"a":"old","n":null,"b":"'), k.cast("string"), F.lit('"}'))
-    new = F.when(k % 3 == 0, F.when(k % 2 == 0, '{"c":"x","a":"new"}').otherwise('{"b":null,"c":"x","a":"new"}'))
-    return t.table(spark, d, "orders").select(k.alias("frame_id"), v.merged_json(old, new).alias("merged"))
+    old = F.to_json(F.struct(F.struct(F.col("o_custkey").alias("k")).alias("clerk"), F.col("o_totalprice").alias("price"), (F.col("o_orderstatus") == "F").alias("done")))
+    old = F.concat(F.regexp_replace(old, r"\}$", ""), F.lit(',"n":null,"tags":["'), "o_orderpriority", F.lit('",1]}'))
+    new = F.when(k % 3 == 0, F.concat(F.lit('{"clerk":{"z":'), k, F.lit('},"done":null,"price":'), k, F.lit("}"))).when(k % 3 == 1, "[1]")
+    x = F.parse_json(v.merged_json(old, new))
+    get = lambda path, kind: F.variant_get(x, path, kind)
+    tags = F.schema_of_variant(get("$.tags", "variant")).startswith("ARRAY")
+    return o.select(k.alias("frame_id"), get("$.clerk.z", "long").alias("z"), get("$.clerk.k", "long").alias("k"), F.round(get("$.price", "double"), 4).alias("price"), get("$.done", "boolean").alias("done"), get("$.tags[1]", "long").alias("one"), tags.alias("tags"))
 
 
-@query("select o_orderkey as job_id, case when o_orderkey % 7 = 0 then 'x' when o_orderkey % 5 = 0 then 'p' when o_orderkey % 3 = 0 then 'm' else 'd' end as value, case when o_orderkey % 7 = 0 then 'explicit' when o_orderkey % 5 = 0 then 'project' when o_orderkey % 3 = 0 then 'metadata' else 'default' end as source from orders")
+SETTINGS = {"explicit": """case when o_orderkey % 7 = 0 then '{"frame":{"quality":' || o_orderkey % 50 || '}}' end""",
+            "project": """case when o_orderkey % 5 < 3 then '{"frame":{"encoding":"' || o_orderpriority || '"},"roi":{"encoding":null}}' end""",
+            "metadata": """case when o_orderkey % 3 = 0 then '{"frame":{"quality":1,"encoding":"old"}}' when o_orderkey % 3 = 1 then 'no object' end""",
+            "default": """'{"frame":{"quality":90,"encoding":"raw"},"roi":{"encoding":"auto"}}'"""}
+
+
+@query("with l as (select o_orderkey as job_id, " + ", ".join(f"{c} as l_{n}" for n, c in SETTINGS.items()) + """ from orders), x as (select * replace (case when l_metadata like '{%' then l_metadata end as l_metadata) from l)
+select job_id, """ + ", ".join(
+    f"coalesce({', '.join(f'json_extract_string(l_{n}, {chr(39)}$.{s}.{k}{chr(39)})' for n in SETTINGS)}) as {s}_{k}, case " + " ".join(f"when json_extract_string(l_{n}, '$.{s}.{k}') is not null then '{n}'" for n in SETTINGS) + f" end as {s}_{k}_source"
+    for s, k in (("frame", "quality"), ("frame", "encoding"), ("roi", "encoding"))) + " from x")
 def resolved_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings by section and key from four layers, each with the layer that it came from."""
+    layers = [(n, F.expr(c)) for n, c in SETTINGS.items()]
+    columns = v.resolved_sections(layers, {"frame": ["quality", "encoding"], "roi": ["encoding"]})
+    x = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), *columns)
+    return x.withColumns({c: F.regexp_replace(c, '^"|"$', "") for c in ("frame_encoding", "roi_encoding")})
+
+
+@query("""select o_orderkey as job_id, case when o_orderkey % 2 = 0 then o_custkey else 80 end as quality, case when o_orderkey % 2 = 0 then 'png' else 'raw' end as encoding, case when o_orderkey % 3 = 0 then 'zstd' end as roi, o_orderkey as other, false as foreign_ from orders""")
+def merged_project_settings(spark: SparkSession, d: str) -> DataFrame:
+    """A patch goes into its section key by key; what else it has is left out."""
     k = F.col("o_orderkey")
-    value, source = v.setting(*[F.when(k % n == 0, x) for n, x in ((7, "x"), (5, "p"), (3, "m"))], F.lit("d"))
-    return t.table(spark, d, "orders").select(k.alias("job_id"), value.alias("value"), source.alias("source"))
+    old = F.concat(F.lit('{"storage":{"frame":{"encoding":"raw","quality":80}},"other":'), k, F.lit("}"))
+    frame = F.when(k % 2 == 0, F.concat(F.lit('"frame":{"quality":'), "o_custkey", F.lit(',"encoding":"png"}'))).otherwise('"frame":5')
+    patch = F.concat(F.lit('{"foreign":1,"storage":{'), frame, F.when(k % 3 == 0, ',"roi":{"encoding":"zstd"}').otherwise(""), F.lit("}}"))
+    x = F.parse_json(v.merged_settings(old, patch))
+    get = lambda path, kind: F.variant_get(x, path, kind)
+    return t.table(spark, d, "orders").select(k.alias("job_id"), get("$.storage.frame.quality", "long").alias("quality"), get("$.storage.frame.encoding", "string").alias("encoding"), get("$.storage.roi.encoding", "string").alias("roi"), get("$.other", "long").alias("other"), get("$.foreign", "long").isNotNull().alias("foreign_"))
 
 
 @query(sql("select frame_id, case when min(asset_id) = max(asset_id) and count(asset_id) = count(*) then min(asset_id) end as asset_id, case when min(roi_index) = max(roi_index) then min(roi_index) end as roi_index from w_detections group by 1", "w_detections"))
@@ -166,8 +199,8 @@ def fitted_background(spark: SparkSession, d: str) -> DataFrame:
 DISPATCH = {"manual": {"threshold": 150}, "percentile_background": {"percentile": 60, "min_contrast": 15}, "adaptive_mean": {"block_size": 3, "c": 5}, "sobel": {"threshold": 150}}
 
 
-@query(sql("""with near as (select p.frame_id, p.pos, p.v, q.v as u, o.dx, o.dy from pixels p cross join (select a.i as dx, b.i as dy from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i)) o join pixels q on q.frame_id = p.frame_id and q.x = least(greatest(p.x + o.dx, 0), 7) and q.y = least(greatest(p.y + o.dy, 0), 7)),
-n as (select frame_id, pos, v, floor(sum(u) / 9.0 + 0.5) - 5 as level, sum(u * dx * (2 - abs(dy))) as gx, sum(u * dy * (2 - abs(dx))) as gy from near group by 1, 2, 3), q as (select frame_id, least(255, quantile_cont(v, 0.6) + 15) as level from pixels group by 1),
+@query(sql("""with near as (select p.frame_id, p.pos, p.v, q.v as u, m.v as mirrored, o.dx, o.dy from pixels p cross join (select a.i as dx, b.i as dy from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i)) o join pixels q on q.frame_id = p.frame_id and q.x = least(greatest(p.x + o.dx, 0), 7) and q.y = least(greatest(p.y + o.dy, 0), 7) join pixels m on m.frame_id = p.frame_id and m.x = 7 - abs(7 - abs(p.x + o.dx)) and m.y = 7 - abs(7 - abs(p.y + o.dy))),
+n as (select frame_id, pos, v, floor(sum(u) / 9.0 + 0.5) - 5 as level, sum(mirrored * dx * (2 - abs(dy))) as gx, sum(mirrored * dy * (2 - abs(dx))) as gy from near group by 1, 2, 3), q as (select frame_id, least(255, quantile_cont(v, 0.6) + 15) as level from pixels group by 1),
 m as (select frame_id, v > 150 as manual, v > q.level as percentile_background, v > n.level as adaptive_mean, gx * gx + gy * gy >= 22500 as sobel from n join q using (frame_id))
 unpivot (select frame_id, cast(count(*) filter (where manual) as integer) as manual, cast(count(*) filter (where percentile_background) as integer) as percentile_background, cast(count(*) filter (where adaptive_mean) as integer) as adaptive_mean, cast(count(*) filter (where sobel) as integer) as sobel,
 cast(count(*) filter (where manual or sobel) as integer) as manual_or_sobel from m group by 1) on columns(* exclude frame_id) into name method value foreground""", "pixels"))
@@ -179,7 +212,7 @@ def threshold_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return r.frame_rows(t.images(spark, d).select("frame_id", "width", "height", "pixels"), rows, "frame_id long, method string, foreground int")
 
 
-@query(sql("with g as (select frame_id, pos, sum(u * dx * (2 - abs(dy))) as gx, sum(u * dy * (2 - abs(dx))) as gy from (select p.frame_id, p.pos, o.dx, o.dy, q.v as u from pixels p cross join (select a.i as dx, b.i as dy from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i)) o join pixels q on q.frame_id = p.frame_id and q.x = least(greatest(p.x + o.dx, 0), 7) and q.y = least(greatest(p.y + o.dy, 0), 7)) group by 1, 2), l as (select frame_id, quantile_cont(sqrt(gx * gx + gy * gy), 0.75) as level from g group by 1) select frame_id, cast(count(*) filter (where sqrt(gx * gx + gy * gy) >= level) as integer) as foreground from g join l using (frame_id) group by 1", "pixels"))
+@query(sql("with g as (select frame_id, pos, sum(u * dx * (2 - abs(dy))) as gx, sum(u * dy * (2 - abs(dx))) as gy from (select p.frame_id, p.pos, o.dx, o.dy, q.v as u from pixels p cross join (select a.i as dx, b.i as dy from (values (-1), (0), (1)) a(i), (values (-1), (0), (1)) b(i)) o join pixels q on q.frame_id = p.frame_id and q.x = 7 - abs(7 - abs(p.x + o.dx)) and q.y = 7 - abs(7 - abs(p.y + o.dy))) group by 1, 2), l as (select frame_id, quantile_cont(sqrt(gx * gx + gy * gy), 0.75) as level from g group by 1) select frame_id, cast(count(*) filter (where sqrt(gx * gx + gy * gy) >= level) as integer) as foreground from g join l using (frame_id) group by 1", "pixels"))
 def sobel_percentile(spark: SparkSession, d: str) -> DataFrame:
     x = r.per_frame(t.images(spark, d), r.sobel(percentile=75))
     return x.select("frame_id", F.size(F.filter("mask", lambda p: p > 0)).alias("foreground"))
@@ -189,10 +222,37 @@ def sobel_percentile(spark: SparkSession, d: str) -> DataFrame:
 def packed_arrays(spark: SparkSession, d: str) -> DataFrame:
     packed = r.pack_arrays(t.images(spark, d))
     checksum = F.aggregate(F.transform("pixels", lambda p, i: p.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, p: a + p)
-    back = r.unpack_arrays(packed).select("frame_id", checksum.alias("checksum"))
+    back = r.unpack_arrays(packed, "int").select("frame_id", checksum.alias("checksum"))
     return packed.select("frame_id", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"), F.octet_length("payload").alias("bytes")).join(back, "frame_id")
 
 
+TYPED = "with f as (select vec_id as frame_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)"
+
+
+@query(TYPED + """, m as (select frame_id, max(v) as top, min(v) as low from f group by 1)
+select f.frame_id, round(sum(cast(cast(top - v as float) as double) * i), 3) as inverted, cast(count(*) filter (where trunc((cast(v as double) - low) * 255.0 / (cast(top as double) - low)) > 128) as integer) as foreground from f join m using (frame_id) group by 1""")
+def float_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as 8 x 8 frames of float32: inverted by their own largest value, and thresholded as stretched bytes."""
+    e = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit(0).alias("asset_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("embedding").alias("pixels"))
+    x = r.with_data(e, "float32")
+    turned = r.values(r.preprocess(x).select("frame_id", "data"), "float")
+    weighted = F.aggregate(F.transform("pixels", lambda p, i: p.cast("double") * (i + 1)), F.lit(0.0), lambda a, p: a + p)
+    found = r.per_frame(x, r.thresholder("manual", threshold=128)).select("frame_id", F.size(F.filter("mask", lambda p: p > 0)).alias("foreground"))
+    return turned.select("frame_id", F.round(weighted, 3).alias("inverted")).join(found, "frame_id")
+
+
+@query(TYPED + """, w as (select frame_id, i, cast(floor(greatest(least(cast(v as double), 1), -1) * 20000 + 30000) as bigint) as v from f)
+select frame_id, cast(sum(i * (65535 - trunc(least(65535, v * 255 / 100.0)))) as bigint) as checksum, 'uint16' as dtype from w group by 1""")
+def wide_frames(spark: SparkSession, d: str) -> DataFrame:
+    """16-bit frames over a scalar background, cut at their type's largest value, and inverted by it."""
+    level = lambda x: F.floor(F.greatest(F.least(x.cast("double"), F.lit(1.0)), F.lit(-1.0)) * 20000 + 30000).cast("int")
+    e = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", level).alias("pixels"), F.lit(100.0).alias("background_level"))
+    x = r.preprocess(r.with_data(e, "uint16"))
+    whole = r.values(x.select("frame_id", "data"), "int")
+    checksum = F.aggregate(F.transform("pixels", lambda p, i: p.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, p: a + p)
+    return whole.select("frame_id", checksum.alias("checksum")).join(x.select("frame_id", "data.dtype"), "frame_id")
+
+
 @query(sql("with p as (select frame_id, stage, o_custkey from (select o_orderkey as frame_id, case when o_orderkey % 3 = 0 then 'segment' when o_orderkey % 3 = 1 then 'ingest' else 'publish' end as stage, o_custkey from orders)) select frame_id, stage, case when stage = 'segment' then o_custkey * 2 else o_custkey + 1 end as result from p where stage <> 'publish'"))
 def stage_routines(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -59,6 +59,8 @@ def test_jobs_of_asset_or_run_count_once(spark):
 
 def test_values_are_rendered_by_type(spark):
     x = spark.sql("select cast(1.50 as decimal(9,2)) as d, timestamp_ntz '2024-01-02 03:04:05' as t, date '2024-01-02' as e, cast('ab' as binary) as b, true as f, named_struct('z', 1, 'a', array('q')) as s, array(1, 2) as l, 'x' as c")
+    parts = spark.sql("select timestamp_ntz '2024-01-02 03:04:05.678' as t, timestamp '2024-01-02 03:04:05' as z, timestamp '2024-01-02 03:04:05.000009' as y")
+    assert tuple(exports.rendered(parts).first()) == ("2024-01-02 03:04:05.678000", "2024-01-02 03:04:05+00:00", "2024-01-02 03:04:05.000009+00:00")
     assert tuple(exports.rendered(x).first()) == (1.5, "2024-01-02 03:04:05", "2024-01-02", "YWI=", 1, '{"a":["q"],"z":1}', "[1,2]", "x")
 
 

@@ -160,7 +160,7 @@ def test_dispatch_and_ensembles():
     a = np.zeros((6, 6), int)
     a[1:3, 1:3], a[4, 4] = 200, 90
     assert (r.thresholder("manual", threshold=100)(a) == (a > 100) * 255).all()
-    assert (r.thresholder("manual_or_otsu")(a) == np.maximum((a > 127) * 255, r.thresholder("otsu")(a))).all()
+    assert (r.thresholder("manual_or_otsu", manual={"threshold": 127})(a) == np.maximum((a > 127) * 255, r.thresholder("otsu")(a))).all()
     with pytest.raises(ValueError, match="unknown threshold"):
         r.thresholder("canny")
     flat = np.full((9, 9), 50)
