@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,7 +56,7 @@ def merge_tiles(predicted: DataFrame, tile: int) -> DataFrame:
 class Keepers:
     """The kept regions of a frame in cells of a grid, so that a region meets only those near it."""
 
-    CELL = 64
+    CELL = 64  # pixels
 
     def __init__(self) -> None:
         self.kept: list[dict] = []
@@ -108,33 +108,101 @@ def consume(found: list[dict], iou: float = IOU, containment: float = CONTAINMEN
     return out
 
 
-def reconcile(rois: DataFrame, iou: float = IOU, containment: float = CONTAINMENT) -> DataFrame:
-    """Larger regions of a frame consume those that overlap them substantially: frame_id, detection_id, keeper_id, consumed.
+#: The edge of a grid cell, in pixels, in which regions look for each other.
+CELL = 64
 
-    rois has boxes and may have mask, an array of bbox_w values a row; areas and
-    overlaps are then the masks'.  Work on a frame grows with its regions and
-    those near each, not with all their pairs.
+
+def overlapping_pairs(regions: DataFrame) -> DataFrame:
+    """Pairs of a frame's regions whose boxes meet, the earlier one (larger area, then smaller id) as k, the other as r, and the boxes' shared area.
+
+    regions has frame_id, detection_id, x, y, w, h and area.  A region is in all
+    cells of a grid that it touches, and meets those in the same cells; the
+    pair counts in the cell that holds the corner of what both share.
+    """
+    span = lambda at, size: F.sequence(F.expr(f"{at} div {CELL}"), F.expr(f"({at} + greatest({size}, 1) - 1) div {CELL}"))
+    cells = regions.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
+    named = lambda n: cells.select("frame_id", "cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("detection_id", "x", "y", "w", "h", "area")])
+    met = named("k").join(named("r"), ["frame_id", "cx", "cy"])
+    left, top_ = F.greatest("k_x", "r_x"), F.greatest("k_y", "r_y")
+    wide = F.least(F.col("k_x") + F.col("k_w"), F.col("r_x") + F.col("r_w")) - left
+    high = F.least(F.col("k_y") + F.col("k_h"), F.col("r_y") + F.col("r_h")) - top_
+    earlier = (F.col("k_area") > F.col("r_area")) | ((F.col("k_area") == F.col("r_area")) & (F.col("k_detection_id") < F.col("r_detection_id")))
+    here = (F.floor(left / CELL) == F.col("cx")) & (F.floor(top_ / CELL) == F.col("cy"))
+    return met.where(earlier & (wide > 0) & (high > 0) & here).withColumn("shared_area", (wide * high).cast("long")).drop("cx", "cy")
+
+
+def with_mask_overlap(pairs: DataFrame, masks: DataFrame) -> DataFrame:
+    """pairs with the pixels that both masks share in place of the boxes' shared area; masks has frame_id, detection_id and mask."""
+    own = lambda n: masks.select("frame_id", F.col("detection_id").alias(f"{n}_detection_id"), F.col("mask").alias(f"{n}_mask"))
+    both = pairs.join(own("k"), ["frame_id", "k_detection_id"]).join(own("r"), ["frame_id", "r_detection_id"])
+
+    @F.pandas_udf("long")
+    def shared(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in rows.itertuples(index=False):
+            r, k = ({"x": g("x"), "y": g("y"), "w": g("w"), "h": g("h"), "mask": np.asarray(g("mask")).reshape(g("h"), g("w"))} for g in (lambda c, n=n: getattr(row, f"{n}_{c}") for n in "rk"))
+            out.append(shared_area(r, k))
+        return pd.Series(out, dtype="int64")
+
+    columns = [f"{n}_{c}" for n in "kr" for c in ("x", "y", "w", "h", "mask")]
+    return both.withColumn("shared_area", shared(F.struct(*columns))).select(pairs.columns)
+
+
+def first_keepers(conflicts: DataFrame) -> DataFrame:
+    """The conflicts (pairs in which r cannot stay beside k) that consume: each region's with the earliest region that is not consumed itself.
+
+    Sorted by region, all of a frame's earlier decisions are known when a pair
+    is read: one pass over the pairs, holding one frame's consumed ids.
     """
-    kinds = dict(rois.dtypes)
-    x = rois.select("frame_id", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", F.col("mask") if "mask" in kinds else F.lit(None).cast("array<int>").alias("mask"))
+    keys = ["frame_id", F.desc("r_area"), "r_detection_id", F.desc("k_area"), "k_detection_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, gone = None, set()
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (f, k, r) in enumerate(zip(*(b.column(n).to_pylist() for n in ("frame_id", "k_detection_id", "r_detection_id")), strict=True)):
+                if f != frame:
+                    frame, gone = f, set()
+                if r not in gone and k not in gone:
+                    gone.add(r)
+                    keep[i] = True
+            yield b.filter(pa.array(keep))
 
-    def greedy(t: pa.Table) -> pa.Table:
-        found = []
-        for r in t.to_pylist():
-            mask = None if r["mask"] is None else np.array(r["mask"]).reshape(r["bbox_h"], r["bbox_w"])
-            area = r["bbox_w"] * r["bbox_h"] if mask is None else int(np.count_nonzero(mask))
-            found.append({"frame": r["frame_id"], "id": r["detection_id"], "order": r["detection_id"], "area": area, "x": r["bbox_x"], "y": r["bbox_y"], "w": r["bbox_w"], "h": r["bbox_h"], "mask": mask})
-        done = consume(found, iou, containment)
-        columns = {"frame_id": [r["frame"] for r, _, _ in done], "detection_id": [r["id"] for r, _, _ in done], "keeper_id": [(k or r)["id"] for r, k, _ in done], "consumed": [k is not None for _, k, _ in done]}
-        return pa.table({n: pa.array(v, t.schema.field("frame_id").type if n == "frame_id" else None) for n, v in columns.items()})
+    return conflicts.repartition("frame_id").sortWithinPartitions(*keys).mapInArrow(run, conflicts.schema)
 
-    return x.groupBy("frame_id").applyInArrow(greedy, f"frame_id {kinds['frame_id']}, detection_id string, keeper_id string, consumed boolean")
+
+def reconcile(rois: DataFrame, iou: float = IOU, containment: float = CONTAINMENT) -> DataFrame:
+    """Larger regions of a frame consume those that overlap them substantially: frame_id, detection_id, keeper_id, consumed, and for a consumed one shared_area, iou, containment and keeper_containment.
+
+    rois has boxes and may have mask, an array of bbox_w values a row; areas and
+    overlaps are then the masks'.  Regions that meet no other stay in Spark;
+    only pairs that are in conflict are decided one after the other.
+    """
+    masked = "mask" in rois.columns
+    area = F.size(F.filter("mask", lambda v: v > 0)) if masked else F.col("bbox_w") * F.col("bbox_h")
+    if masked:
+        area = F.coalesce(F.when(F.col("mask").isNotNull(), area), F.col("bbox_w") * F.col("bbox_h"))
+    regions = rois.select("frame_id", F.col("detection_id").cast("string").alias("detection_id"), *[F.col(f"bbox_{k}").alias(k) for k in "xywh"], area.cast("long").alias("area"))
+    pairs = overlapping_pairs(regions)
+    if masked:
+        some = rois.where("mask is not null").select("frame_id", F.col("detection_id").cast("string").alias("detection_id"), "mask")
+        there = lambda n: some.select("frame_id", F.col("detection_id").alias(f"{n}_detection_id"), F.lit(True).alias(f"{n}_masked"))
+        marked = pairs.join(there("k"), ["frame_id", "k_detection_id"], "left").join(there("r"), ["frame_id", "r_detection_id"], "left")
+        both = F.coalesce(F.col("k_masked") & F.col("r_masked"), F.lit(False))
+        pairs = marked.where(~both).select(pairs.columns).unionByName(with_mask_overlap(marked.where(both).select(pairs.columns), some))
+    shared, union = F.col("shared_area"), F.col("k_area") + F.col("r_area") - F.col("shared_area")
+    conflicts = pairs.where((shared > 0) & ((shared >= iou * union) | (shared >= containment * F.least("k_area", "r_area"))))
+    found = first_keepers(conflicts.select("frame_id", "k_detection_id", "r_detection_id", "k_area", "r_area", "shared_area"))
+    links = found.select("frame_id", F.col("r_detection_id").alias("detection_id"), F.col("k_detection_id").alias("keeper"), "shared_area", (shared / union).alias("iou"), (shared / F.col("r_area")).alias("containment"), (shared / F.col("k_area")).alias("keeper_containment"))
+    joined = regions.select("frame_id", "detection_id").join(links, ["frame_id", "detection_id"], "left")
+    return joined.select("frame_id", "detection_id", F.coalesce("keeper", "detection_id").alias("keeper_id"), F.col("keeper").isNotNull().alias("consumed"), "shared_area", "iou", "containment", "keeper_containment")
 
 
 def consumed_links(reconciled: DataFrame) -> DataFrame:
-    """Each kept region with the ids it consumed, in order, and their count."""
-    eaten = reconciled.groupBy("keeper_id").agg(F.sort_array(F.collect_list(F.when(F.col("consumed"), F.col("detection_id")))).alias("consumed_candidate_detection_ids"))
-    return eaten.withColumn("consumed_count", F.size("consumed_candidate_detection_ids"))
+    """Each kept region with the ids it consumed, in order, their count, and each link with its measures."""
+    link = F.struct(F.col("detection_id").alias("candidate_detection_id"), "shared_area", "iou", "containment", "keeper_containment")
+    eaten = reconciled.groupBy("keeper_id").agg(F.sort_array(F.collect_list(F.when(F.col("consumed"), link))).alias("consumed"))
+    return eaten.select("keeper_id", F.col("consumed.candidate_detection_id").alias("consumed_candidate_detection_ids"), F.size("consumed").alias("consumed_count"), "consumed")
 
 
 def not_empty(refined: DataFrame) -> DataFrame:

@@ -181,16 +181,29 @@ def refine_tiles(spark: SparkSession, d: str) -> DataFrame:
     return refine.merge_tiles(refine.predict(tiles, lambda x: x / 1.1, 4), 4).groupBy("frame_id").agg(F.count("*").alias("foreground"))
 
 
-@query(recursive("""with recursive o as (select frame_id, detection_id, bbox_x as x, bbox_y as y, bbox_w as w, bbox_h as h, bbox_w * bbox_h as size, row_number() over (partition by frame_id order by bbox_w * bbox_h desc, detection_id) as n from detections),
+WALK = """with recursive o as (select frame_id, detection_id, bbox_x as x, bbox_y as y, bbox_w as w, bbox_h as h, bbox_w * bbox_h as size, row_number() over (partition by frame_id order by bbox_w * bbox_h desc, detection_id) as n from detections),
 walk as (select distinct frame_id, cast(0 as bigint) as n, cast([] as struct(id varchar, x integer, y integer, w integer, h integer)[]) as kept, cast(null as varchar) as detection_id, cast(null as varchar) as keeper_id, false as consumed from o
 union all select frame_id, n, case when hit is null then list_append(kept, {'id': detection_id, 'x': x, 'y': y, 'w': w, 'h': h}) else kept end, detection_id, coalesce(hit, detection_id), hit is not null from (
 select o.*, kept, (list_filter(kept, lambda k: greatest(least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y), 0) > 0 and (
  greatest(least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y), 0) * 3 >= o.size + k.w * k.h
  or greatest(least(o.x + o.w, k.x + k.w) - greatest(o.x, k.x), 0) * greatest(least(o.y + o.h, k.y + k.h) - greatest(o.y, k.y), 0) * 10 >= 8 * least(o.size, k.w * k.h))))[1].id as hit
-from walk join o on o.frame_id = walk.frame_id and o.n = walk.n + 1))
-select frame_id, detection_id, keeper_id, consumed from walk where n > 0""", "detections"))
+from walk join o on o.frame_id = walk.frame_id and o.n = walk.n + 1))"""
+
+
+@query(recursive(WALK + " select frame_id, detection_id, keeper_id, consumed from walk where n > 0", "detections"))
 def refine_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    return refine.reconcile(t.detections(spark, d))
+    return refine.reconcile(t.detections(spark, d)).select("frame_id", "detection_id", "keeper_id", "consumed")
+
+
+@query(recursive(WALK + """, p as (select w.frame_id, w.detection_id, w.keeper_id, a.bbox_w * a.bbox_h as r_area, b.bbox_w * b.bbox_h as k_area,
+(least(a.bbox_x + a.bbox_w, b.bbox_x + b.bbox_w) - greatest(a.bbox_x, b.bbox_x)) * (least(a.bbox_y + a.bbox_h, b.bbox_y + b.bbox_h) - greatest(a.bbox_y, b.bbox_y)) as shared
+from walk w join detections a on a.detection_id = w.detection_id join detections b on b.detection_id = w.keeper_id where n > 0 and consumed)
+select keeper_id, detection_id as candidate_detection_id, shared::bigint as shared_area, round(shared / (r_area + k_area - shared), 9) as iou, round(shared / r_area, 9) as containment, round(shared / k_area, 9) as keeper_containment, count(*) over (partition by keeper_id) as consumed_count from p""", "detections"))
+def refine_reconcile_links(spark: SparkSession, d: str) -> DataFrame:
+    """What each kept region consumed, with the measures of each overlap."""
+    links = refine.consumed_links(refine.reconcile(t.detections(spark, d)))
+    x = links.select("keeper_id", F.col("consumed_count").cast("long").alias("consumed_count"), F.explode("consumed").alias("c"))
+    return x.select("keeper_id", "c.candidate_detection_id", "c.shared_area", *[F.round(f"c.{m}", 9).alias(m) for m in ("iou", "containment", "keeper_containment")], "consumed_count")
 
 
 @query(sql("select frame_id, count(*) as foreground from pixels where v > 130 and not v > 150 group by 1", "pixels"))

@@ -242,3 +242,32 @@ def test_refinement_grows_splits_and_reconciles(spark):
     lower = lambda t: (t[..., 1] > 0) * (t[..., 0] > (0.5 if t[..., 0].max() > 0.5 and (t[..., 1] > 0).sum() > 10 else 0.2)) * 1.0
     child = {x["detection_id"]: (x["candidate_detection_id"], x["generation"], x["area"]) for x in refine.refine_detections(frames(spark, b), whole, lower, tile=8, residual_generations=1).collect()}
     assert child == {"w": ("w", 0, 24), "w:residual:1:1": ("w", 1, 4)}
+
+
+def test_links_carry_their_measures(spark):
+    rois = spark.createDataFrame([(1, "big", 0, 0, 4, 4), (1, "small", 1, 1, 2, 2), (1, "half", 2, 0, 4, 4), (2, "alone", 0, 0, 4, 4)], "frame_id long, detection_id string, bbox_x int, bbox_y int, bbox_w int, bbox_h int")
+    got = {x["detection_id"]: x.asDict() for x in refine.reconcile(rois).collect()}
+    assert (got["small"]["keeper_id"], got["small"]["shared_area"], got["small"]["iou"], got["small"]["containment"], got["small"]["keeper_containment"]) == ("big", 4, 0.25, 1.0, 0.25)
+    assert not got["half"]["consumed"] and not got["alone"]["consumed"] and got["alone"]["shared_area"] is None
+    links = {x["keeper_id"]: x for x in refine.consumed_links(refine.reconcile(rois)).collect()}
+    assert links["big"]["consumed"][0]["iou"] == 0.25 and links["half"]["consumed"] == []
+
+
+@pytest.mark.parametrize("masks", [False, True])
+def test_reconciliation_equals_one_after_the_other(spark, masks):
+    """Grid pairs decide as the greedy walk over a frame does, in a frame with many regions and in small ones."""
+    rng = np.random.default_rng(17)
+    rows, want = [], {}
+    for f in range(12):
+        found = []
+        for i in range(250 if f == 0 else int(rng.integers(1, 12))):
+            w, h = (int(v) for v in rng.integers(1, 90, 2))
+            x, y = (int(v) for v in rng.integers(0, 200, 2))
+            mask = (rng.random((h, w)) < 0.8) * 255 if masks and rng.random() < 0.8 else None
+            area = w * h if mask is None else int(np.count_nonzero(mask))
+            found.append({"id": f"{f}-{i}", "order": f"{f}-{i}", "area": area, "x": x, "y": y, "w": w, "h": h, "mask": mask})
+            rows.append((f, f"{f}-{i}", x, y, w, h, None if mask is None else mask.reshape(-1).tolist()))
+        want |= {r_["id"]: ((k or r_)["id"], both if k else None) for r_, k, both in refine.consume(found)}
+    rois = spark.createDataFrame(rows, "frame_id long, detection_id string, bbox_x int, bbox_y int, bbox_w int, bbox_h int, mask array<int>").repartition(4)
+    got = {x["detection_id"]: (x["keeper_id"], x["shared_area"]) for x in refine.reconcile(rois if masks else rois.drop("mask")).collect()}
+    assert got == want and any(k != v[0] for k, v in want.items())
