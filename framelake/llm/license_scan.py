@@ -21,7 +21,8 @@ than doc_id and text are not read, whatever their names.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import bisect
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -186,12 +187,18 @@ def chains(hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def best_of(found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Of overlapping regions the one with the most matching words, the first of equal ones."""
+    """Of overlapping regions the one with the most matching words, the first of equal ones.
+
+    Kept regions do not overlap, so only the neighbours of a place can be in the way.
+    """
     kept: list[tuple[int, int, int, int, int, int]] = []
+    starts: list[int] = []
     for x in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[2])
+        at = bisect.bisect_left(starts, x[2])
+        if (at == 0 or kept[at - 1][3] <= x[2]) and (at == len(kept) or kept[at][2] >= x[3]):
+            starts.insert(at, x[2])
+            kept.insert(at, x)
+    return kept
 
 
 def scan_text(words: np.ndarray, places: list[tuple[int, int, int]], index: Index) -> list[tuple[int, int, int, int, int, int]]:
@@ -211,9 +218,9 @@ def scan_text(words: np.ndarray, places: list[tuple[int, int, int]], index: Inde
             if sum(min(n, have[w]) for w, n in index.bags[t].items()) >= index.least(t):
                 spans[low, high, along.tobytes()] = along
         # What lies left and right of a span is aligned again, for the band may hold the template twice.
-        todo = [(low, high, along) for (low, high, _), along in spans.items()]
+        todo = deque((low, high, along) for (low, high, _), along in spans.items())
         while todo:
-            now, todo = todo[:CHAINS], todo[CHAINS:]
+            now = [todo.popleft() for _ in range(min(CHAINS, len(todo)))]
             found = align(words, template, np.array([x[:2] for x in now]), np.stack([x[2] for x in now]))
             for (low, high, along), (_, m, a, b, c, d) in zip(now, found, strict=True):
                 if index.enough(t, m, c, d):
@@ -250,10 +257,12 @@ def scan(docs: DataFrame, templates: dict[str, Template] | None = None) -> DataF
             found = []
             for r in sorted(places):
                 first, data = int(rows[r]), raw[offsets[r] : offsets[r + 1]]
-                for t, m, a, b, _, _ in scan_text(hashes[first : int(rows[r + 1])], places[r], index):
+                regions = scan_text(hashes[first : int(rows[r + 1])], places[r], index)
+                # Characters before each byte of the text, counted once for all its regions.
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]) if regions else None
+                for t, m, a, b, _, _ in regions:
                     x, y = int(starts[first + a] - offsets[r]), int(ends[first + b - 1] - offsets[r])
-                    quote = bytes(data[x:y]).decode()
-                    char = len(bytes(data[:x]).decode())
+                    quote, char = bytes(data[x:y]).decode(), int(chars[x])
                     found.append((r, index.names[t], m / len(index.words[t]), m, a, b, char, char + len(quote), quote))
             if found:
                 columns = list(zip(*found, strict=True))

@@ -335,3 +335,38 @@ def test_bounds_hold_for_every_document():
         own[query_codes[query_of == q]] = weights[query_codes[query_of == q]]
         score = np.add.reduceat(own[tree.rows.codes] * tree.rows.values, tree.rows.offsets[:-1])
         assert all(score[a:b].max() <= tree.bounds[node][q] for node, (a, b) in tree.span.items())
+
+
+# Licence scans of many notices
+
+
+def test_many_adjacent_notices_take_time_in_proportion(spark):
+    import time
+
+    from framelake.llm import license_scan
+
+    line = "Released under the MIT License."
+    took = []
+    for n in (10_000, 100_000):
+        text = "é\n" + "\n".join([line] * n)
+        docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+        began = time.time()
+        rows = license_scan.scan(docs).select("start_char", "end_char", "matched_text").orderBy("start_char").collect()
+        took.append(time.time() - began)
+        assert len(rows) == n and all((r["start_char"], r["end_char"]) == (2 + i * (len(line) + 1), 1 + (i + 1) * (len(line) + 1)) for i, r in enumerate(rows))
+    assert took[1] < 60
+
+
+def test_best_regions_do_not_overlap():
+    from framelake.llm import license_scan
+
+    rng = random.Random(1)
+    found = []
+    for _ in range(400):
+        a = rng.randrange(1000)
+        found.append((rng.randrange(3), rng.randrange(1, 40), a, a + rng.randrange(1, 60), 0, 1))
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[1], x[2], x[0])):
+        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
+            kept.append(x)
+    assert license_scan.best_of(found) == sorted(kept, key=lambda x: x[2])
