@@ -27,6 +27,23 @@ def put_or_raise(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return x.withColumn("action", F.when(F.col("action") == "conflict", F.raise_error(F.concat(F.lit("other bytes are stored under key "), F.col("key")))).otherwise(F.col("action")))
 
 
+def loaded(frames: DataFrame, store: DataFrame, kind: str = "original") -> DataFrame:
+    """frames with the payload of that kind and that of their background, each null where nothing is named; a reference that the store lacks is an error.
+
+    The original's key is payload_ref or, without one, the metadata's; the
+    preprocessed one's is preprocessed_payload_ref.
+    """
+    own = {"original": F.coalesce("payload_ref", F.get_json_object("metadata", "$.payload_ref")), "preprocessed": F.col("preprocessed_payload_ref")}
+    if kind not in own:
+        raise ValueError(f"unknown payload kind {kind!r}; original or preprocessed")
+    x = frames.withColumn("__fl_key", own[kind])
+    for key, into in (("__fl_key", "payload"), ("background_payload_ref", "background_payload")):
+        named = store.select(F.col("key").alias("__fl_k"), F.col("payload").alias(into), F.lit(True).alias("__fl_there"))
+        missing = F.raise_error(F.concat(F.lit("no payload under key "), F.col(key))).cast(named.schema[into].dataType)
+        x = x.join(named, F.col(key) == F.col("__fl_k"), "left").withColumn(into, F.when(F.col(key).isNotNull() & F.col("__fl_there").isNull(), missing).otherwise(F.col(into))).drop("__fl_k", "__fl_there")
+    return x.drop("__fl_key")
+
+
 def audit(store: DataFrame) -> DataFrame:
     """Rows whose payload does not hash to their key."""
     return store.where(F.sha2("payload", 256) != F.col("key"))

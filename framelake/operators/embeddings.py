@@ -195,16 +195,16 @@ def balanced(rows: DataFrame, by: str, size: int, key: str, seed: int = 0) -> Da
     The class's threshold is found by counting, so that no class is sorted or
     gathered; only rows that share the threshold are ranked.
     """
-    x = rows.withColumn("__fl_h", hashed_order(key, seed))
-    values = x.select(F.struct(by).alias("k"), F.col("__fl_h").cast("double").alias("v"))
+    x = rows.withColumns({"__fl_h": hashed_order(key, seed), "__fl_k": F.struct(by)})
+    values = x.select(F.col("__fl_k").alias("k"), F.col("__fl_h").cast("double").alias("v"))
     ranks = values.groupBy("k").agg((F.least(F.count("*"), F.lit(size)) - 1).alias("rank"))
-    limits = order_statistics(values, ranks).select("k", F.col("v").try_cast("long").alias("limit"))
-    near = x.withColumn("k", F.struct(by)).join(limits, "k").where(F.col("__fl_h") <= F.col("limit"))
-    below = near.where(F.col("__fl_h") < F.col("limit"))
-    taken = below.groupBy("k").agg(F.count("*").alias("taken"))
-    edge = near.where(F.col("__fl_h") == F.col("limit")).join(taken, "k", "left")
-    place = F.row_number().over(Window.partitionBy("k").orderBy(key)) + F.coalesce("taken", F.lit(0))
-    return below.select(*rows.columns).unionByName(edge.withColumn("place", place).where(F.col("place") <= size).select(*rows.columns))
+    limits = order_statistics(values, ranks).select(F.col("k").alias("__fl_k"), F.col("v").try_cast("long").alias("__fl_limit"))
+    near = x.join(limits, "__fl_k").where(F.col("__fl_h") <= F.col("__fl_limit"))
+    below = near.where(F.col("__fl_h") < F.col("__fl_limit"))
+    taken = below.groupBy("__fl_k").agg(F.count("*").alias("__fl_taken"))
+    edge = near.where(F.col("__fl_h") == F.col("__fl_limit")).join(taken, "__fl_k", "left")
+    place = F.row_number().over(Window.partitionBy("__fl_k").orderBy(key)) + F.coalesce("__fl_taken", F.lit(0))
+    return below.select(*rows.columns).unionByName(edge.withColumn("__fl_place", place).where(F.col("__fl_place") <= size).select(*rows.columns))
 
 
 def most_uncertain(scored: DataFrame, scores: str, k: int, key: str) -> DataFrame:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: A stage's name to what it does with its input.
-Routine = Callable[[DataFrame], DataFrame]
+Routine = Callable[[DataFrame], "DataFrame | Result"]
+
+
+class Result(NamedTuple):
+    """What a routine may give besides its output: aggregates of it by name, and other tables by name."""
+
+    outputs: DataFrame
+    metrics: dict[str, Column] = {}
+    artifacts: dict[str, DataFrame] = {}
 
 
 class Stages:
@@ -31,7 +41,23 @@ class Stages:
     def run(self, stage: str, df: DataFrame) -> DataFrame:
         if stage not in self.routines:
             raise KeyError(f"no routine for stage {stage!r}")
-        return df.transform(self.routines[stage])
+        made = self.routines[stage](df)
+        return made.outputs if isinstance(made, Result) else made
+
+    def run_measured(self, stage: str, df: DataFrame) -> tuple[DataFrame, Observation | None, dict[str, DataFrame]]:
+        """The output, its metrics, and the artifacts.
+
+        Metrics are computed by the job that computes the output, and are there once it has run: observation.get.
+        """
+        if stage not in self.routines:
+            raise KeyError(f"no routine for stage {stage!r}")
+        made = self.routines[stage](df)
+        if not isinstance(made, Result):
+            made = Result(made)
+        if not made.metrics:
+            return made.outputs, None, made.artifacts
+        seen = Observation(f"{stage}-{uuid.uuid4().hex}")
+        return made.outputs.observe(seen, *[c.alias(n) for n, c in made.metrics.items()]), seen, made.artifacts
 
     def run_jobs(self, jobs: DataFrame) -> DataFrame:
         """Each registered stage over its own jobs, as one result; jobs of other stages stay out."""

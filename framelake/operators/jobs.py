@@ -28,6 +28,23 @@ def status_overview(jobs: DataFrame, sessions: DataFrame, now: Column, interval:
     return jobs.groupBy(F.col("status").alias("name")).agg(F.count("*").alias("n")).select(F.lit("queue").alias("part"), "name", "n").unionByName(workers)
 
 
+def report_overview(logs: DataFrame, jobs: DataFrame, **tables: DataFrame) -> DataFrame:
+    """(name, n) of a report's head: logs with their first and last time (microseconds), those with a duration, errors and warnings; jobs by state; and the rows of each other table."""
+    level = lambda v: F.count_if(F.col("level") == v)
+    state = lambda v: F.count_if(F.col("status") == v)
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    parts = [
+        logs.agg(at(F.min("created_at")).alias("first_log_at"), at(F.max("created_at")).alias("last_log_at"), F.count("*").alias("log_count"), F.count("duration_ms").alias("timed_log_count"), level("error").alias("error_log_count"), level("warning").alias("warning_log_count")),
+        jobs.agg(F.count("*").alias("job_count"), state("succeeded").alias("succeeded_jobs"), state("failed").alias("failed_jobs"), state("queued").alias("queued_jobs"), F.count_if(F.col("started_at").isNotNull() & F.col("finished_at").isNotNull()).alias("timed_jobs")),
+        *[x.agg(F.count("*").alias(f"{name}_count")) for name, x in tables.items()],
+    ]
+    long = [p.unpivot([], p.columns, "name", "n") for p in parts]
+    out = long[0]
+    for p in long[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def run_status(jobs: DataFrame, key: str) -> DataFrame:
     """A run's status from its jobs' statuses; a running mix without a rule is 'registered'."""
     has = lambda *s: F.coalesce(F.max(F.col("status").isin(*s)), F.lit(False))

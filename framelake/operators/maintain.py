@@ -36,6 +36,13 @@ def merged_assignments(first: DataFrame, second: DataFrame, key: str) -> DataFra
     return first.join(second, key, "full")
 
 
+def assigned(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of `new` set where it has the key; a null there leaves what is."""
+    columns = [c for c in new.columns if c != key]
+    x = rows.join(new.withColumnsRenamed({c: f"__fl_{c}" for c in columns}), key, "left")
+    return x.select(*[F.coalesce(f"__fl_{c}", F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns], *[F.col(f"__fl_{c}").alias(c) for c in columns if c not in rows.columns])
+
+
 def sandbox_copy(frames: DataFrame, wanted: DataFrame, operation: str) -> DataFrame:
     """A new copy of each wanted frame that is none itself, sharing its payload, with the source's id in its metadata and as its parent.
 

@@ -276,6 +276,13 @@ def frame_rows(frames: DataFrame, rows: Callable[[dict], list[tuple]], schema: s
     return frames.mapInArrow(run, types)
 
 
+def window_assignments(frames: DataFrame, backgrounds: DataFrame, profiles: DataFrame, background_stride: int, profile_stride: int) -> DataFrame:
+    """Each frame with its background's and its profile's window, on schedules of their own: frame_id, asset_id, and a centre of each, null where there is no such window."""
+    one = lambda windows, stride, into: window_assignment(frames, windows, stride).select("frame_id", "asset_id", F.when(F.col("has_window"), F.col("centre")).alias(into))
+    profile = one(profiles, profile_stride, "profile_centre").drop("asset_id")
+    return one(backgrounds, background_stride, "background_centre").join(profile, "frame_id")
+
+
 def shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
     """a moved so that each place holds its neighbour at (dy, dx), borders repeated."""
     ys, xs = (beyond(np.arange(n) + d, n, "repeat") for n, d in zip(a.shape, (dy, dx), strict=True))

@@ -19,12 +19,21 @@ IOU, CONTAINMENT = 0.5, 0.8
 
 
 def tiles(frames: DataFrame, tile: int, overlap: float) -> DataFrame:
-    """One row for each tile: frame_id, tile_x, tile_y and its pixels, short edges padded with 0."""
+    """One row for each tile: frame_id, tile_x, tile_y and its pixels, short edges padded with 0.
+
+    A mask, if there is one, is cut alike; regions with a place in their frame
+    (crop_x, crop_y) have their tiles' boxes in it, as frame_x, frame_y,
+    tile_w and tile_h.
+    """
     x = frames.withColumn("tile_x", F.explode(tile_starts(F.col("width"), tile, overlap))).withColumn("tile_y", F.explode(tile_starts(F.col("height"), tile, overlap)))
     at = lambda i: (F.col("tile_y") + F.floor(i / tile)) * F.col("width") + F.col("tile_x") + i % tile
     inside = lambda i: (F.col("tile_x") + i % tile < F.col("width")) & (F.col("tile_y") + F.floor(i / tile) < F.col("height"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.when(inside(i), F.get("pixels", at(i).cast("int"))).otherwise(0))
-    return x.select("frame_id", "tile_x", "tile_y", cut.alias("pixels"))
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.when(inside(i), F.get(c, at(i).cast("int"))).otherwise(0)).alias(c)
+    more = [cut("mask")] if "mask" in frames.columns else []
+    if "crop_x" in frames.columns:
+        more += [(F.col("crop_x") + F.col("tile_x")).alias("frame_x"), (F.col("crop_y") + F.col("tile_y")).alias("frame_y")]
+        more += [F.least(F.lit(tile), F.col("width") - F.col("tile_x")).alias("tile_w"), F.least(F.lit(tile), F.col("height") - F.col("tile_y")).alias("tile_h")]
+    return x.select("frame_id", "tile_x", "tile_y", cut("pixels"), *more)
 
 
 def predict(tiles_: DataFrame, model: Callable[[np.ndarray], np.ndarray], tile: int, threshold: float = 0.5) -> DataFrame:

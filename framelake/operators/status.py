@@ -76,8 +76,9 @@ STAGES = ("preprocessing_status", "detection_status", "refinement_status")
 
 
 def summary(status: DataFrame, statuses: list[str]) -> DataFrame:
-    """Totals and the count of each status of each stage, in one scan, one row."""
+    """Totals, the count of each status of each stage and the last update, if rows tell it, in one scan, one row."""
     cells = [F.count_if(F.col(s) == v).alias(f"{s}_{v}") for s in STAGES for v in statuses]
+    cells += [F.max("updated_at").alias("updated_at")] if "updated_at" in status.columns else []
     return status.agg(F.count("*").alias("frame_count"), F.count_if(F.col("detection_count") > 0).alias("with_candidates"), F.count_if(F.col("refined_count") > 0).alias("with_refined"), F.coalesce(F.sum("detection_count"), F.lit(0)).alias("detections"), F.coalesce(F.sum("refined_count"), F.lit(0)).alias("refined"), F.coalesce(F.sum("unrefined_count"), F.lit(0)).alias("unrefined"), *cells)
 
 
@@ -100,6 +101,23 @@ def snapshot(new: DataFrame, old: DataFrame) -> DataFrame:
     return x.select("project_id", (F.coalesce(F.col("version"), F.lit(0)) + changed.cast("int")).alias("version"), F.coalesce("summary", "old_summary").alias("summary"))
 
 
+def is_fresh() -> Column:
+    """Whether a snapshot holds: it has a summary, made no earlier than the projection's last update."""
+    return F.coalesce(F.col("summary").isNotNull() & (F.col("generated_at") >= F.col("updated_at")), F.lit(False))
+
+
+def refreshed(snapshots: DataFrame, summaries: DataFrame, now: Column) -> DataFrame:
+    """Snapshots (project_id, version, summary, generated_at, updated_at) after a request: fresh ones stay; others take the summary of now, and a new version if it differs.
+
+    summaries (project_id, summary) need only be made for projects whose snapshot is stale or missing.
+    """
+    x = snapshots.withColumn("fresh", is_fresh()).join(summaries.withColumnRenamed("summary", "new_summary"), "project_id", "full")
+    kept = F.coalesce("fresh", F.lit(False)) | F.col("new_summary").isNull()
+    changed = (~F.col("new_summary").eqNullSafe(F.col("summary"))).cast("int")
+    version = F.coalesce("version", F.lit(0)) + F.when(kept, 0).otherwise(changed)
+    return x.select("project_id", version.alias("version"), F.when(kept, F.col("summary")).otherwise(F.col("new_summary")).alias("summary"), F.when(kept, F.col("generated_at")).otherwise(now).alias("generated_at"), F.coalesce("updated_at", now).alias("updated_at"))
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Status events folded to the last status of each key."""
     return events.groupBy("key").agg(F.max_by("status", F.struct("at", "id")).alias("status"), F.count("*").alias("events"))
@@ -122,6 +140,38 @@ def work_batches(status: DataFrame, keys: list[str], batch_size: int) -> DataFra
     return numbered.withColumn("batch", F.floor(F.col("unit") / batch_size)).drop("part", "place", "base")
 
 
+def work_plan(units: DataFrame, unit_id: str, order: list[Column], batch_size: int) -> DataFrame:
+    """Units in the order of a plan, with their unit number (from 0) and batch; ties go by the id as text.
+
+    A frame's order is its payload reference, so that a job reads its store in order; detections go by frame and index.
+    """
+    keys = [f"__fl_{i}" for i in range(len(order) + 1)]
+    x = units.withColumns(dict(zip(keys, [*order, F.col(unit_id).cast("string")], strict=True)))
+    return work_batches(x, keys, batch_size).drop(*keys)
+
+
+def planned_jobs(plan: DataFrame, unit_id: str) -> DataFrame:
+    """One row for each batch of a plan: units, their ids in order, and the asset and run that all of them share, if they do."""
+    one = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("unit", unit_id))), lambda s: s[unit_id])  # as many as a batch has
+    run = F.when(F.min("run_id") == F.max("run_id"), F.min("run_id")).alias("run_id")
+    return plan.groupBy("batch").agg(F.count("*").alias("units"), one("asset_id"), run, ids.alias("ids"))
+
+
+def plan_report(plan: DataFrame, unit_id: str, sample: int = 20) -> DataFrame:
+    """One row: matched units, jobs, the largest batch, and the first units' ids."""
+    sizes = plan.groupBy("batch").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("unit") < sample, F.struct("unit", unit_id)))).alias("first"))
+    first = F.flatten(F.collect_list(F.when(F.size("first") > 0, F.col("first"))))
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matched_count"), F.count("*").alias("job_count"), F.max("n").alias("largest_batch"), F.transform(F.sort_array(first), lambda s: s[unit_id]).alias("sample_ids"))
+
+
+def still_eligible(planned: DataFrame, current: DataFrame, key: str, status: str, allowed: list[str]) -> DataFrame:
+    """Planned units with the status they have now and whether that still lets them be queued; a unit without a row has none any more."""
+    now = current.select(key, F.col(status).alias("status_now"))
+    x = planned.join(now, key, "left")
+    return x.withColumn("eligible", F.coalesce(F.col("status_now").isin(allowed), F.lit(False)))
+
+
 def merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Upsert: rows of old without a row of the same keys in new, and all of new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -129,9 +129,10 @@ def frame_status_rebuild(spark: SparkSession, d: str) -> DataFrame:
 _CELLS = ", ".join(f"count(*) filter (where {st} = '{v}') as {st}_{v}" for st in s.STAGES for v in t.STATUSES)
 
 
-@query(sql(STATUS + f" select count(*) as frame_count, count(*) filter (where detection_count > 0) as with_candidates, count(*) filter (where refined_count > 0) as with_refined, cast(sum(detection_count) as bigint) as detections, cast(sum(refined_count) as bigint) as refined, cast(sum(unrefined_count) as bigint) as unrefined, {_CELLS} from status", "frames", "detections", "refined"))
+@query(sql(STATUS + f" select count(*) as frame_count, count(*) filter (where detection_count > 0) as with_candidates, count(*) filter (where refined_count > 0) as with_refined, cast(sum(detection_count) as bigint) as detections, cast(sum(refined_count) as bigint) as refined, cast(sum(unrefined_count) as bigint) as unrefined, {_CELLS}, (select max(captured_at) from frames) as updated_at from status", "frames", "detections", "refined"))
 def frame_status_summary(spark: SparkSession, d: str) -> DataFrame:
-    return s.summary(status(spark, d), t.STATUSES)
+    at = t.frames(spark, d).select("frame_id", F.col("captured_at").alias("updated_at"))
+    return s.summary(status(spark, d).join(at, "frame_id"), t.STATUSES)
 
 
 _STAGE_ROWS = " union all ".join(f"select '{st}' as facet, {st} as value, 1 as n from status" for st in s.STAGES)

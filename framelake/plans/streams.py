@@ -118,7 +118,7 @@ def stream_status_latest(spark: SparkSession, d: str) -> DataFrame:
     return st.run_once(st.current_status(st.event_stream(spark, d)), "complete")
 
 
-@query("select user_id, max(cast(json_extract_string(props, '$.k') as bigint)) as done from events group by 1")
+@query("with p as (select user_id, max(cast(json_extract_string(props, '$.k') as bigint)) as done, cast(max(ceil(value)) as bigint) as total from events group by 1) select *, case when total > 0 then round(least(100.0, 100 * done / total), 4) end as percent from p")
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return st.run_once(st.progress(st.event_stream(spark, d)), "complete")
 

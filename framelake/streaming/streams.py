@@ -92,9 +92,10 @@ def current_status(events: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """The highest counter seen for each key."""
+    """The highest counter and the highest total seen for each key, and what share that is, in percent, 100 at most."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return events.groupBy("user_id").agg(F.max(k).alias("done"))
+    x = events.groupBy("user_id").agg(F.max(k).alias("done"), F.max(F.ceil("value")).alias("total"))
+    return x.withColumn("percent", F.when(F.col("total") > 0, F.round(F.least(F.lit(100.0), 100 * F.col("done") / F.col("total")), 4)))
 
 
 def workers_online(events: DataFrame) -> DataFrame:
