@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelake.sources.shared import write_shared
+
 from .catalog import filename_timestamp
 from .scalars import GRAY_BITS, GRAY_WEIGHTS
+from .status import work_batches
 
 #: The file suffixes of frames and of videos.
 IMAGE_SUFFIXES = ["bmp", "dib", "jpeg", "jpg", "jp2", "png", "tif", "tiff", "webp"]
@@ -59,36 +63,59 @@ def discover_sources(files: DataFrame) -> DataFrame:
     return found.withColumn("checksum", stand_in)
 
 
-def content_profiles(files: DataFrame) -> DataFrame:
+#: Hashes that are hashed together, at most.
+HASHED = 4096
+
+
+def content_profiles(files: DataFrame, most: int = HASHED) -> DataFrame:
     """discover_sources with hashes of the contents: files has path, length and content (binary).
 
     A source's checksum is the hash of its files' own hashes in order of their
-    names; captured_at is the time its first file's name tells, if it does.
-    Each file is hashed where it is read; only hashes are shuffled.
+    names; of more than `most` files, the hash of the hashes of that many at a
+    time, and so on, so that no row holds a folder.  captured_at is the time its
+    first file's name tells, if it does.  Each file is hashed where it is read;
+    only hashes are shuffled.
     """
     kind = F.when(is_image("path"), "image_sequence").when(is_video("path"), "video")
     media = files.select(kind.alias("kind"), F.col("path").alias("file"), F.sha2("content", 256).alias("hash")).where("kind is not null")
     source = F.when(F.col("kind") == "video", F.col("file")).otherwise(folder("file"))
-    order = F.struct(F.lower(name("file")), name("file"))
-    listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), "hash")))
-    found = media.groupBy("kind", source.alias("path")).agg(listed.alias("l"))
-    hashed = found.select("kind", "path", F.sha2(F.array_join(F.transform("l", lambda x: x["hash"]), ","), 256).alias("content_hash"), filename_timestamp(F.element_at("l", 1)["o"]["col2"]).alias("captured_at"))
-    return discover_sources(files).join(hashed, ["kind", "path"])
+    named = media.select("kind", source.alias("path"), name("file").alias("name"), "hash")
+    level = write_shared(ranked(named.withColumn("lower", F.lower("name")), ["kind", "path"], ["lower", "name"]).select("kind", "path", (F.col("rank") - 1).alias("at"), "hash"))
+    done: list[DataFrame] = []
+    while True:
+        listed = F.sort_array(F.collect_list(F.struct("at", "hash")))  # of `most` hashes
+        chunk = F.floor(F.col("at") / most).alias("chunk")
+        hashed = level.groupBy("kind", "path", chunk).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["hash"]), ","), 256).alias("hash"))
+        level = write_shared(hashed.withColumnRenamed("chunk", "at"))
+        larger = level.where("at > 0").select("kind", "path").distinct()
+        done.append(level.join(larger, ["kind", "path"], "left_anti"))
+        if larger.isEmpty():
+            break
+        level = level.join(larger, ["kind", "path"], "left_semi")
+    hashes = functools.reduce(DataFrame.unionByName, done).select("kind", "path", F.col("hash").alias("content_hash"))
+    found = discover_sources(files)
+    captured = found.withColumn("captured_at", filename_timestamp(F.col("first_name")))
+    return captured.join(hashes, ["kind", "path"])
+
+
+def ranked(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """rows with their rank from 1 within their group; a group of any size is spread over tasks."""
+    numbered = work_batches(rows, [*groups, *order], 1).drop("batch")
+    first = numbered.groupBy(*groups).agg(F.min("unit").alias("first"))
+    return numbered.join(first, groups).withColumn("rank", F.col("unit") - F.col("first") + 1).drop("unit", "first")
 
 
 def frame_order(files: DataFrame, root: str | None = None) -> DataFrame:
     """Images with frame_index, their rank from 1 by lower-cased name: within each folder or, below a root, over all its folders by relative folder and name."""
     images = files.where(is_image("path")).select(folder("path").alias("folder"), name("path").alias("filename"), "path")
-    named = [F.lower(F.col("filename")), F.col("filename")]
+    images = images.withColumn("lower", F.lower("filename"))
     if root is None:
-        return images.withColumn("frame_index", F.row_number().over(Window.partitionBy("folder").orderBy(*named)))
+        order = ranked(images, ["folder"], ["lower", "filename"])
+        return order.select("folder", "filename", "path", F.col("rank").cast("int").alias("frame_index"))
     base = root.rstrip("/")
     inside = images.where(F.col("path").startswith(base + "/")).withColumn("relative", F.substring("folder", len(base) + 2, 1 << 20))
-    # Ranks by folder first, and by name within each: the folders' sizes, one row each, give the offsets.
-    sizes = inside.groupBy("relative").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("relative").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("relative").orderBy(*named))
-    return inside.withColumn("own", own).join(sizes.select("relative", before.alias("before")), "relative").select("folder", "filename", "path", (F.col("before") + F.col("own")).cast("int").alias("frame_index"))
+    placed = work_batches(inside, ["relative", "lower", "filename"], 1)
+    return placed.select("folder", "filename", "path", (F.col("unit") + 1).cast("int").alias("frame_index"))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

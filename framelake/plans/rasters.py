@@ -174,6 +174,30 @@ def segment_detections(spark: SparkSession, d: str) -> DataFrame:
     return x.select("frame_id", *[F.col(c).cast("long").alias(c) for c in ("bbox_x", "bbox_y", "bbox_w", "bbox_h")], "area", "min_gray", "mean_gray")
 
 
+@query(recursive(REACH.format(150) + """, b as (select frame_id, root, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*) as area from part join pixels using (frame_id, pos) group by 1, 2),
+c as (select *, greatest(x0 - 2, 0) as cx, greatest(y0 - 2, 0) as cy, least(x1 + 3, 8) as ex, least(y1 + 3, 8) as ey from b)
+select c.frame_id, cast(cx as integer) as crop_x, cast(cy as integer) as crop_y, cast(ex - cx as integer) as crop_w, cast(ey - cy as integer) as crop_h, area, cast(sum(p.v * ((p.y - cy) * (ex - cx) + p.x - cx + 1)) as bigint) as roi,
+  cast(sum(case when m.root is not null then 255 * ((p.y - cy) * (ex - cx) + p.x - cx + 1) else 0 end) as bigint) as mask
+from c join pixels p on p.frame_id = c.frame_id and p.x >= cx and p.x < ex and p.y >= cy and p.y < ey left join part m on m.frame_id = c.frame_id and m.pos = p.pos and m.root = c.root group by all""", "pixels"))
+def padded_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Crops grown by two pixels, with the region's pixels and its mask in the crop, as sums weighted by place."""
+    x = r.detections(t.images(spark, d), r.thresholder("manual", threshold=150), padding=2)
+    weighted = lambda c: F.aggregate(F.transform(c, lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v).alias(c)
+    return x.select("frame_id", *[F.col(f"crop_bbox_{k}").alias(f"crop_{k}") for k in "xywh"], "area", weighted("roi"), weighted("mask"))
+
+
+@query(recursive("""with recursive off as (select frame_id, pos, x, y from pixels where v <= 130), outside as (select frame_id, pos from off where x in (0, 7) or y in (0, 7)
+  union select b.frame_id, b.pos from outside o join off a on a.frame_id = o.frame_id and a.pos = o.pos join off b on b.frame_id = a.frame_id and abs(a.x - b.x) + abs(a.y - b.y) = 1),
+filled as (select p.frame_id, p.pos, p.x, p.y, p.v from pixels p where not exists (select 1 from outside o where o.frame_id = p.frame_id and o.pos = p.pos)),
+reach as (select frame_id, pos as root, pos from filled union select r.frame_id, r.root, b.pos from reach r join filled a on a.frame_id = r.frame_id and a.pos = r.pos join filled b on b.frame_id = a.frame_id and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+part as (select frame_id, pos, min(root) as root from reach group by 1, 2)
+select frame_id, cast(min(x) as integer) as bbox_x, cast(min(y) as integer) as bbox_y, cast(max(x) - min(x) + 1 as integer) as bbox_w, cast(max(y) - min(y) + 1 as integer) as bbox_h, count(*) as area, cast(min(v) as integer) as min_gray from part join filled using (frame_id, pos) group by frame_id, root""", "pixels"))
+def outer_contours(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as their outer contours: holes count."""
+    x = r.detections(t.images(spark, d), r.thresholder("manual", threshold=130), external=True, payloads=False)
+    return x.select("frame_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "min_gray")
+
+
 @query(sql("select frame_id, count(*) as foreground from pixels where v >= 0.55 * 255 group by 1", "pixels"))
 def refine_tiles(spark: SparkSession, d: str) -> DataFrame:
     """The model is a level on the scaled pixels, so that tiling and merging must give the same pixels as no tiling."""
