@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from framelake.sources.shared import write_shared
+
 from .catalog import tile_starts
 from .raster import boxes, label, mask_in_crop
 
@@ -122,28 +124,29 @@ CELL = 64
 
 
 def overlapping_pairs(regions: DataFrame) -> DataFrame:
-    """Pairs of a frame's regions whose boxes meet, the earlier one (larger area, then smaller id) as k, the other as r, and the boxes' shared area.
+    """Pairs of a frame's regions whose boxes meet, the earlier one (larger area, then smaller id, then uid) as k, the other as r, and the boxes' shared area.
 
-    regions has frame_id, detection_id, x, y, w, h and area.  A region is in all
+    regions has frame_id, detection_id, uid, x, y, w, h and area.  A region is in all
     cells of a grid that it touches, and meets those in the same cells; the
     pair counts in the cell that holds the corner of what both share.
     """
     span = lambda at, size: F.sequence(F.expr(f"{at} div {CELL}"), F.expr(f"({at} + greatest({size}, 1) - 1) div {CELL}"))
     cells = regions.withColumn("cx", F.explode(span("x", "w"))).withColumn("cy", F.explode(span("y", "h")))
-    named = lambda n: cells.select("frame_id", "cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("detection_id", "x", "y", "w", "h", "area")])
+    named = lambda n: cells.select("frame_id", "cx", "cy", *[F.col(c).alias(f"{n}_{c}") for c in ("detection_id", "uid", "x", "y", "w", "h", "area")])
     met = named("k").join(named("r"), ["frame_id", "cx", "cy"])
     left, top_ = F.greatest("k_x", "r_x"), F.greatest("k_y", "r_y")
     wide = F.least(F.col("k_x") + F.col("k_w"), F.col("r_x") + F.col("r_w")) - left
     high = F.least(F.col("k_y") + F.col("k_h"), F.col("r_y") + F.col("r_h")) - top_
-    earlier = (F.col("k_area") > F.col("r_area")) | ((F.col("k_area") == F.col("r_area")) & (F.col("k_detection_id") < F.col("r_detection_id")))
+    rank = lambda n: F.struct(-F.col(f"{n}_area"), f"{n}_detection_id", f"{n}_uid")
+    earlier = rank("k") < rank("r")
     here = (F.floor(left / CELL) == F.col("cx")) & (F.floor(top_ / CELL) == F.col("cy"))
     return met.where(earlier & (wide > 0) & (high > 0) & here).withColumn("shared_area", (wide * high).cast("long")).drop("cx", "cy")
 
 
 def with_mask_overlap(pairs: DataFrame, masks: DataFrame) -> DataFrame:
-    """pairs with the pixels that both masks share in place of the boxes' shared area; masks has frame_id, detection_id and mask."""
-    own = lambda n: masks.select("frame_id", F.col("detection_id").alias(f"{n}_detection_id"), F.col("mask").alias(f"{n}_mask"))
-    both = pairs.join(own("k"), ["frame_id", "k_detection_id"]).join(own("r"), ["frame_id", "r_detection_id"])
+    """pairs with the pixels that both masks share in place of the boxes' shared area; masks has uid and mask."""
+    own = lambda n: masks.select(F.col("uid").alias(f"{n}_uid"), F.col("mask").alias(f"{n}_mask"))
+    both = pairs.join(own("k"), "k_uid").join(own("r"), "r_uid")
 
     @F.pandas_udf("long")
     def shared(rows: pd.DataFrame) -> pd.Series:
@@ -163,13 +166,13 @@ def first_keepers(conflicts: DataFrame) -> DataFrame:
     Sorted by region, all of a frame's earlier decisions are known when a pair
     is read: one pass over the pairs, holding one frame's consumed ids.
     """
-    keys = ["frame_id", F.desc("r_area"), "r_detection_id", F.desc("k_area"), "k_detection_id"]
+    keys = ["frame_id", F.desc("r_area"), "r_detection_id", "r_uid", F.desc("k_area"), "k_detection_id", "k_uid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame, gone = None, set()
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, (f, k, r) in enumerate(zip(*(b.column(n).to_pylist() for n in ("frame_id", "k_detection_id", "r_detection_id")), strict=True)):
+            for i, (f, k, r) in enumerate(zip(*(b.column(n).to_pylist() for n in ("frame_id", "k_uid", "r_uid")), strict=True)):
                 if f != frame:
                     frame, gone = f, set()
                 if r not in gone and k not in gone:
@@ -185,25 +188,29 @@ def reconcile(rois: DataFrame, iou: float = IOU, containment: float = CONTAINMEN
 
     rois has boxes and may have mask, an array of bbox_w values a row; areas and
     overlaps are then the masks'.  Regions that meet no other stay in Spark;
-    only pairs that are in conflict are decided one after the other.
+    only pairs that are in conflict are decided one after the other.  Rows with
+    the same id are regions of their own.
     """
     masked = "mask" in rois.columns
     area = F.size(F.filter("mask", lambda v: v > 0)) if masked else F.col("bbox_w") * F.col("bbox_h")
     if masked:
         area = F.coalesce(F.when(F.col("mask").isNotNull(), area), F.col("bbox_w") * F.col("bbox_h"))
-    regions = rois.select("frame_id", F.col("detection_id").cast("string").alias("detection_id"), *[F.col(f"bbox_{k}").alias(k) for k in "xywh"], area.cast("long").alias("area"))
+    boxes_ = [F.col(f"bbox_{k}").alias(k) for k in "xywh"]
+    numbered = rois.select("frame_id", F.col("detection_id").cast("string").alias("detection_id"), *boxes_, area.cast("long").alias("area"), *(["mask"] if masked else []))
+    numbered = write_shared(numbered.withColumn("uid", F.monotonically_increasing_id()))
+    regions = numbered.drop("mask")
     pairs = overlapping_pairs(regions)
     if masked:
-        some = rois.where("mask is not null").select("frame_id", F.col("detection_id").cast("string").alias("detection_id"), "mask")
-        there = lambda n: some.select("frame_id", F.col("detection_id").alias(f"{n}_detection_id"), F.lit(True).alias(f"{n}_masked"))
-        marked = pairs.join(there("k"), ["frame_id", "k_detection_id"], "left").join(there("r"), ["frame_id", "r_detection_id"], "left")
+        some = numbered.where("mask is not null").select("uid", "mask")
+        there = lambda n: some.select(F.col("uid").alias(f"{n}_uid"), F.lit(True).alias(f"{n}_masked"))
+        marked = pairs.join(there("k"), "k_uid", "left").join(there("r"), "r_uid", "left")
         both = F.coalesce(F.col("k_masked") & F.col("r_masked"), F.lit(False))
         pairs = marked.where(~both).select(pairs.columns).unionByName(with_mask_overlap(marked.where(both).select(pairs.columns), some))
     shared, union = F.col("shared_area"), F.col("k_area") + F.col("r_area") - F.col("shared_area")
     conflicts = pairs.where((shared > 0) & ((shared >= iou * union) | (shared >= containment * F.least("k_area", "r_area"))))
-    found = first_keepers(conflicts.select("frame_id", "k_detection_id", "r_detection_id", "k_area", "r_area", "shared_area"))
-    links = found.select("frame_id", F.col("r_detection_id").alias("detection_id"), F.col("k_detection_id").alias("keeper"), "shared_area", (shared / union).alias("iou"), (shared / F.col("r_area")).alias("containment"), (shared / F.col("k_area")).alias("keeper_containment"))
-    joined = regions.select("frame_id", "detection_id").join(links, ["frame_id", "detection_id"], "left")
+    found = first_keepers(conflicts.select("frame_id", "k_detection_id", "r_detection_id", "k_uid", "r_uid", "k_area", "r_area", "shared_area"))
+    links = found.select(F.col("r_uid").alias("uid"), F.col("k_detection_id").alias("keeper"), "shared_area", (shared / union).alias("iou"), (shared / F.col("r_area")).alias("containment"), (shared / F.col("k_area")).alias("keeper_containment"))
+    joined = regions.select("frame_id", "detection_id", "uid").join(links, "uid", "left")
     return joined.select("frame_id", "detection_id", F.coalesce("keeper", "detection_id").alias("keeper_id"), F.col("keeper").isNotNull().alias("consumed"), "shared_area", "iou", "containment", "keeper_containment")
 
 

@@ -221,7 +221,7 @@ def refine_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(recursive(WALK + """, p as (select w.frame_id, w.detection_id, w.keeper_id, a.bbox_w * a.bbox_h as r_area, b.bbox_w * b.bbox_h as k_area,
 (least(a.bbox_x + a.bbox_w, b.bbox_x + b.bbox_w) - greatest(a.bbox_x, b.bbox_x)) * (least(a.bbox_y + a.bbox_h, b.bbox_y + b.bbox_h) - greatest(a.bbox_y, b.bbox_y)) as shared
-from walk w join detections a on a.detection_id = w.detection_id join detections b on b.detection_id = w.keeper_id where n > 0 and consumed)
+from walk w join (select distinct on (detection_id) * from detections) a on a.detection_id = w.detection_id join (select distinct on (detection_id) * from detections) b on b.detection_id = w.keeper_id where n > 0 and consumed)
 select keeper_id, detection_id as candidate_detection_id, shared::bigint as shared_area, round(shared / (r_area + k_area - shared), 9) as iou, round(shared / r_area, 9) as containment, round(shared / k_area, 9) as keeper_containment, count(*) over (partition by keeper_id) as consumed_count from p""", "detections"))
 def refine_reconcile_links(spark: SparkSession, d: str) -> DataFrame:
     """What each kept region consumed, with the measures of each overlap."""

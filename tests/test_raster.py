@@ -251,6 +251,8 @@ def test_links_carry_their_measures(spark):
     assert not got["half"]["consumed"] and not got["alone"]["consumed"] and got["alone"]["shared_area"] is None
     links = {x["keeper_id"]: x for x in refine.consumed_links(refine.reconcile(rois)).collect()}
     assert links["big"]["consumed"][0]["iou"] == 0.25 and links["half"]["consumed"] == []
+    twice = refine.reconcile(rois.unionByName(rois.where("detection_id = 'big'")))
+    assert sorted(x["consumed"] for x in twice.where("detection_id = 'big'").collect()) == [False, True] and twice.count() == 5
 
 
 @pytest.mark.parametrize("masks", [False, True])
@@ -265,6 +267,9 @@ def test_reconciliation_equals_one_after_the_other(spark, masks):
             x, y = (int(v) for v in rng.integers(0, 200, 2))
             mask = (rng.random((h, w)) < 0.8) * 255 if masks and rng.random() < 0.8 else None
             area = w * h if mask is None else int(np.count_nonzero(mask))
+            if i == 3:
+                x, y, w, h, mask = (found[0][k] for k in ("x", "y", "w", "h", "mask"))  # the same region twice
+                area = found[0]["area"]
             found.append({"id": f"{f}-{i}", "order": f"{f}-{i}", "area": area, "x": x, "y": y, "w": w, "h": h, "mask": mask})
             rows.append((f, f"{f}-{i}", x, y, w, h, None if mask is None else mask.reshape(-1).tolist()))
         want |= {r_["id"]: ((k or r_)["id"], both if k else None) for r_, k, both in refine.consume(found)}
