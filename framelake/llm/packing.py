@@ -34,6 +34,8 @@ MAX_LENGTH, END_ID = 2048, 1
 PACK_BYTES = 3_000_000
 #: Chunks, and pretokens, a packing task remembers: about 150 MB at most.
 PACK_CACHE = 250_000
+#: The same two in the pipeline, whose workers have run its other stages before and still hold what those took.
+STAGE_BYTES, STAGE_CACHE = 1_500_000, 100_000
 
 
 def with_end(flat: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def decompose(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, n
     return row[order], start[order], length[order]
 
 
-def pack(docs: DataFrame, max_length: int = MAX_LENGTH, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, max_length: int = MAX_LENGTH, end_id: int = END_ID, tokenizer_path: str | None = None, with_ids: bool = True, slice_bytes: int = PACK_BYTES, cache: int = PACK_CACHE) -> DataFrame:
     """One row for each piece, which is a whole sequence.
 
     Returns doc_id, start, length, doc_tokens, sequence_id, offset (always 0),
@@ -75,9 +77,9 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, end_id: int = END_ID, to
     path = tokenizer_path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder.of(path, PACK_CACHE), TaskContext.get().partitionId()
+        encoder, task = Encoder.of(path, cache), TaskContext.get().partitionId()
         ranks = np.zeros(max_length.bit_length(), np.int64)
-        for batch in slices(batches, most=PACK_BYTES):
+        for batch in slices(batches, most=slice_bytes):
             flat, offsets = with_end(*encoder.encode(batch.column(1)), end_id)
             tokens = np.diff(offsets)
             row, start, length = decompose(tokens, max_length)
@@ -94,6 +96,7 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, end_id: int = END_ID, to
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.append(offsets[row] + start, offsets[-1]).astype(np.int32)), pa.array(flat.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
 
@@ -105,7 +108,7 @@ def write_buckets(pieces: DataFrame, path: str) -> None:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: the pieces with their ids."""
-    return pack(docs)
+    return pack(docs, slice_bytes=STAGE_BYTES, cache=STAGE_CACHE)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
