@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,24 +64,54 @@ def discover_sources(files: DataFrame) -> DataFrame:
     return found.withColumn("checksum", stand_in)
 
 
-#: Hashes that are hashed together, at most.
-HASHED = 4096
-
-
-def content_profiles(files: DataFrame, most: int = HASHED) -> DataFrame:
+def content_profiles(files: DataFrame, most: int | None = None) -> DataFrame:
     """discover_sources with hashes of the contents: files has path, length and content (binary).
 
     A source's checksum is the hash of its files' own hashes in order of their
-    names; of more than `most` files, the hash of the hashes of that many at a
-    time, and so on, so that no row holds a folder.  captured_at is the time its
-    first file's name tells, if it does.  Each file is hashed where it is read;
-    only hashes are shuffled.
+    names; of more than `most` files, if that is given, the hash of the hashes
+    of that many at a time, and so on.  captured_at is the time its first
+    file's name tells, if it does.  Each file is hashed where it is read; only
+    hashes are shuffled.
     """
     kind = F.when(is_image("path"), "image_sequence").when(is_video("path"), "video")
     media = files.select(kind.alias("kind"), F.col("path").alias("file"), F.sha2("content", 256).alias("hash")).where("kind is not null")
     source = F.when(F.col("kind") == "video", F.col("file")).otherwise(folder("file"))
-    named = media.select("kind", source.alias("path"), name("file").alias("name"), "hash")
-    level = write_shared(ranked(named.withColumn("lower", F.lower("name")), ["kind", "path"], ["lower", "name"]).select("kind", "path", (F.col("rank") - 1).alias("at"), "hash"))
+    named = media.select("kind", source.alias("path"), name("file").alias("name"), "hash").withColumn("lower", F.lower("name"))
+    hashes = hashed_in_order(named) if most is None else hashed_in_chunks(named, most)
+    found = discover_sources(files)
+    captured = found.withColumn("captured_at", filename_timestamp(F.col("first_name")))
+    return captured.join(hashes, ["kind", "path"])
+
+
+def hashed_in_order(named: DataFrame) -> DataFrame:
+    """One hash of each source's hashes, which are fed to it as they come, sorted, from the shuffle; no row or batch holds a source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, digest = None, hashlib.sha256()
+        for b in batches:
+            out: list[tuple] = []
+            for kind, path, value in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if (kind, path) == source:
+                    digest.update(b",")
+                else:
+                    if source is not None:
+                        out.append((*source, digest.hexdigest()))
+                    source, digest = (kind, path), hashlib.sha256()
+                digest.update(value.encode())
+            yield rows(out)
+        if source is not None:
+            yield rows([(*source, digest.hexdigest())])
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], names=["kind", "path", "content_hash"])
+
+    placed = named.repartition("kind", "path").sortWithinPartitions("kind", "path", "lower", "name", "hash")
+    return placed.select("kind", "path", "hash").mapInArrow(run, "kind string, path string, content_hash string")
+
+
+def hashed_in_chunks(named: DataFrame, most: int) -> DataFrame:
+    """Hashes of hashes, `most` at a time, until one is left of each source."""
+    level = write_shared(ranked(named, ["kind", "path"], ["lower", "name"]).select("kind", "path", (F.col("rank") - 1).alias("at"), "hash"))
     done: list[DataFrame] = []
     while True:
         listed = F.sort_array(F.collect_list(F.struct("at", "hash")))  # of `most` hashes
@@ -92,10 +123,7 @@ def content_profiles(files: DataFrame, most: int = HASHED) -> DataFrame:
         if larger.isEmpty():
             break
         level = level.join(larger, ["kind", "path"], "left_semi")
-    hashes = functools.reduce(DataFrame.unionByName, done).select("kind", "path", F.col("hash").alias("content_hash"))
-    found = discover_sources(files)
-    captured = found.withColumn("captured_at", filename_timestamp(F.col("first_name")))
-    return captured.join(hashes, ["kind", "path"])
+    return functools.reduce(DataFrame.unionByName, done).select("kind", "path", F.col("hash").alias("content_hash"))
 
 
 def ranked(rows: DataFrame, groups: list[str], order: list[str]) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from framelake.operators import ingest
@@ -31,3 +33,13 @@ def test_unequal_widths_raise(spark):
     frames = spark.createDataFrame([(1, 1, 2, 1, [1, 2]), (1, 2, 1, 1, [1])], "asset_id int, frame_index int, width int, height int, pixels array<int>")
     with pytest.raises(Exception, match="unequal width"):
         ingest.line_scan_tiles(frames, 2).collect()
+
+
+def test_hash_of_a_folder_of_more_than_4096_files(spark):
+    """The one hash of all its files' hashes, whatever their number."""
+    files = spark.range(5000).selectExpr("concat('/x/', case when id % 2 = 0 then 'F' else 'f' end, lpad(cast(id as string), 5, '0'), '.png') as path", "1L as length").selectExpr("*", "cast(path as binary) as content")
+    names = [f"{'fF'[i % 2 == 0]}{i:05}.png" for i in range(5000)]
+    names.sort(key=lambda n: (n.lower(), n))
+    want = hashlib.sha256(",".join(hashlib.sha256(f"/x/{n}".encode()).hexdigest() for n in names).encode()).hexdigest()
+    got = ingest.content_profiles(files.repartition(5)).collect()
+    assert [(r["path"], r["media_count"], r["content_hash"]) for r in got] == [("/x", 5000, want)]
