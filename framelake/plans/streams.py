@@ -138,7 +138,7 @@ def stream_order_audit(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("select frame_id, cast(sum(255 - case when x between 1 and 6 and y between 1 and 5 then v else 128 end) as bigint) as total, count(*) as size, 'mask,invert_intensity' as steps from pixels group by 1", "pixels"))
 def stream_frames_stored(spark: SparkSession, d: str) -> DataFrame:
     """Arriving frames through masking and inversion to the stored table, as a stream."""
-    raw = spark.readStream.schema(t.table(spark, d, "embeddings").schema).option("pathGlobFilter", "embeddings.parquet").parquet(d)
+    raw = st.table_stream(spark, d, "embeddings")
     inside = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when((i % 8).between(1, 6) & F.floor(i / 8).between(1, 5), 255).otherwise(0))
     masked = lambda x: x.withColumn("mask", inside)
     chain = lambda x: r.preprocess(x, fill=128)

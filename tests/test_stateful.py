@@ -111,3 +111,15 @@ def test_hopping_means_come_from_the_stream_alone(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0)
     empty = st.run_once(st.hopping_mean(st.ended(sf.replayed([events.withColumn("ts", F.col("ts").cast("timestamp"))]), events, "1 day"), "75 minutes", "25 minutes", "10 minutes"), "append")
     assert empty.count() == 0
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    """A table may be one file or a folder of files."""
+    from framelake.plans import QUERIES
+
+    for name, column in (("embeddings", "vec_id"), ("events", "event_id")):
+        given = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        given.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        assert given.count() == st.run_once(st.table_stream(spark, str(tmp_path), name), "append").select(column).distinct().count()
+    rows = lambda d: sorted(map(tuple, QUERIES["stream_frames_stored"](spark, d).collect()))
+    assert rows(str(tmp_path)) == rows("/root/testdata/sf0.001") != []
