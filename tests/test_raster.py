@@ -276,3 +276,12 @@ def test_reconciliation_equals_one_after_the_other(spark, masks):
     rois = spark.createDataFrame(rows, "frame_id long, detection_id string, bbox_x int, bbox_y int, bbox_w int, bbox_h int, mask array<int>").repartition(4)
     got = {x["detection_id"]: (x["keeper_id"], x["shared_area"]) for x in refine.reconcile(rois if masks else rois.drop("mask")).collect()}
     assert got == want and any(k != v[0] for k, v in want.items())
+
+
+def test_background_divide_gives_each_pixel(spark):
+    """A row for each pixel of each frame that has a window, none folded into a sum."""
+    from framelake.plans import QUERIES
+
+    got = QUERIES["background_divide"](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == ["frame_id", "pos", "v"]
+    assert {r["n"] for r in got.groupBy("frame_id").count().withColumnRenamed("count", "n").select("n").distinct().collect()} == {64}
