@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Values that stand for a missing reference in a join.
+SPREAD = 1 << 16
+
+
 def put(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """What storing (key, payload) rows does: key, size, action.
 
@@ -40,7 +44,10 @@ def loaded(frames: DataFrame, store: DataFrame, kind: str = "original") -> DataF
     for key, into in (("__fl_key", "payload"), ("background_payload_ref", "background_payload")):
         named = store.select(F.col("key").alias("__fl_k"), F.col("payload").alias(into), F.lit(True).alias("__fl_there"))
         missing = F.raise_error(F.concat(F.lit("no payload under key "), F.col(key))).cast(named.schema[into].dataType)
-        x = x.join(named, F.col(key) == F.col("__fl_k"), "left").withColumn(into, F.when(F.col(key).isNotNull() & F.col("__fl_there").isNull(), missing).otherwise(F.col(into))).drop("__fl_k", "__fl_there")
+        # Frames that name nothing go to any task; as nulls all of them, with what they carry, would go to one.
+        spread = F.coalesce(F.col(key), F.concat(F.lit("\0none/"), F.pmod(F.xxhash64(*x.columns), F.lit(SPREAD)).cast("string")))
+        x = x.withColumn("__fl_spread", spread)
+        x = x.join(named, (F.col("__fl_spread") == F.col("__fl_k")) & F.col(key).isNotNull(), "left").withColumn(into, F.when(F.col(key).isNotNull() & F.col("__fl_there").isNull(), missing).otherwise(F.col(into))).drop("__fl_k", "__fl_there", "__fl_spread")
     return x.drop("__fl_key")
 
 

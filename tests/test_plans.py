@@ -89,3 +89,18 @@ def test_hashes_of_a_large_folder_in_chunks(spark):
     assert again == small
     other = spark.createDataFrame([*rows[:49], ("/x/049.png", 1, b"other")], "path string, length long, content binary")
     assert ingest.content_profiles(other, 3).first()["content_hash"] != small["/x"]
+
+
+def test_frames_without_a_reference_are_spread(spark):
+    """They carry payloads, and must not meet in the one task of null keys."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        store = spark.createDataFrame([("k1", "p1")], "key string, payload string")
+        frames = spark.range(4000).selectExpr("id", "'k1' as payload_ref", "'{}' as metadata", "cast(null as string) as background_payload_ref")
+        got = blobs.loaded(frames, store).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 2000 and got.where("background_payload is not null or payload <> 'p1'").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
