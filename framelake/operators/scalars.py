@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,8 +101,13 @@ def json_object(text: Column | str) -> Column:
     return F.coalesce(found, F.create_map().cast("map<string,variant>"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _over(low: Column, high: Column) -> Column:
-    return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+    return _let(high, lambda h: F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(h, k)), h))
 
 
 def _text(members: Column, strip_nulls: bool) -> Column:
@@ -122,13 +128,22 @@ def member(members: Column, *path: str) -> Column:
 
 def merged_settings(existing: Column | str, patch: Column | str, root: str = "storage", sections: tuple[str, ...] = ("frame", "roi")) -> Column:
     """Settings with a patch merged into their sections, key by key; other members stay, and a patch's other members are left out."""
-    old, new = json_object(existing), json_object(patch)
-    have, want = member(old, root), member(new, root)
-    for name in sections:
-        own = F.create_map(F.lit(name), F.to_variant_object(_over(member(have, name), member(want, name))))
-        have = F.when(F.try_variant_get(want[name], "$", "map<string,variant>").isNotNull(), _over(have, own)).otherwise(have)
-    whole = F.try_variant_get(new[root], "$", "map<string,variant>").isNotNull()
-    return _text(F.when(whole, _over(old, F.create_map(F.lit(root), F.to_variant_object(have)))).otherwise(old), False)
+    kind = "map<string,variant>"
+
+    def merged(old: Column, new: Column) -> Column:
+        def own(want: Column, name: str) -> Callable[[Column], Column]:
+            section = lambda have: F.create_map(F.lit(name), F.to_variant_object(_over(member(have, name), member(want, name))))
+            return lambda have: F.when(F.try_variant_get(want[name], "$", kind).isNotNull(), _over(have, section(have))).otherwise(have)
+
+        def patched(want: Column) -> Column:
+            have = member(old, root)
+            for name in sections:
+                have = _let(have, own(want, name))
+            return _over(old, F.create_map(F.lit(root), F.to_variant_object(have)))
+
+        return _let(F.try_variant_get(new[root], "$", kind), lambda want: F.when(want.isNotNull(), patched(want)).otherwise(old))
+
+    return _text(_let(json_object(existing), lambda old: _let(json_object(patch), lambda new: merged(old, new))), False)
 
 
 def resolved_sections(layers: list[tuple[str, Column]], keys: dict[str, list[str]]) -> list[Column]:
