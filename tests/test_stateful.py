@@ -123,3 +123,13 @@ def test_streams_read_tables_of_many_files(spark, tmp_path):
         assert given.count() == st.run_once(st.table_stream(spark, str(tmp_path), name), "append").select(column).distinct().count()
     rows = lambda d: sorted(map(tuple, QUERIES["stream_frames_stored"](spark, d).collect()))
     assert rows(str(tmp_path)) == rows("/root/testdata/sf0.001") != []
+
+
+def test_a_step_is_one_micro_batch(spark):
+    """However many keys and files a step has."""
+    steps = [spark.range(100 * k, 100 * k + n).repartition(16) for k, n in enumerate((90, 1, 50))]
+    seen = {}
+    for keyed in (None, "id"):
+        sf.run_batches(sf.replayed(steps, keyed), lambda b, n: seen.update({n: (b.count(), (b.agg(F.min("id")).first()[0] or 0) // 100)}), f"{new_folder(spark)}/checkpoint")
+        assert [seen[n] for n in sorted(seen)] == [(90, 0), (1, 1), (50, 2)]
+        seen.clear()
