@@ -72,6 +72,9 @@ def uncertain_vectors(spark: SparkSession, d: str) -> DataFrame:
     mean = x.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     means = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m"))  # an entry for each dimension
     every = means.agg(F.collect_list("m").alias("means"))
-    product = lambda m: F.round(F.aggregate(F.zip_with("embedding", m, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, p: a + p), 9)
-    scored = x.join(F.broadcast(every)).select("vec_id", F.transform("means", product).alias("scores"))
-    return e.most_uncertain(scored, "scores", 30, "vec_id").select("vec_id", F.round("margin", 6).alias("margin"))
+    # A null component adds nothing, as in a sum of rows.
+    product = lambda m: F.aggregate(F.zip_with("embedding", m, lambda a, b: F.coalesce(a.cast("double") * b, F.lit(0.0))), F.lit(0.0), lambda a, p: a + p)
+    # Halves are decided on the shifted double, as SQL engines do, and not on its shortest decimal form.
+    rounded = lambda v, shift: F.round(v * shift) / shift
+    scored = x.join(F.broadcast(every)).select("vec_id", F.transform("means", lambda m: rounded(product(m), 1e9)).alias("scores"))
+    return e.most_uncertain(scored, "scores", 30, "vec_id").select("vec_id", rounded(F.col("margin"), 1e6).alias("margin"))

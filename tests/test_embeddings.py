@@ -78,3 +78,17 @@ def test_balanced_sets(spark, monkeypatch):
 def test_uncertain_rows(spark):
     df = spark.createDataFrame([(1, [0.5, 0.4, 0.1]), (2, [0.9, 0.1]), (3, [0.3, 0.3]), (4, [1.0]), (5, None), (6, [0.35, 0.25])], "k long, s array<double>")
     assert [r["k"] for r in e.most_uncertain(df, "s", 3, "k").collect()] == [3, 1, 6]
+
+
+def test_uncertain_vectors_equal_sql_with_null_components_and_halves(spark, tmp_path):
+    """A null component adds nothing; a margin on a half is rounded as SQL rounds it."""
+    import duckdb
+
+    from framelake.plans import ORACLES, QUERIES
+
+    rows = [(i, [0.5 * i, None if i == 3 else 0.001 * i + 0.0005], i % 2) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in c.execute(ORACLES["uncertain_vectors"]).fetchall()}
+    assert {r["vec_id"]: r["margin"] for r in QUERIES["uncertain_vectors"](spark, str(tmp_path)).collect()} == want and 3 in want
