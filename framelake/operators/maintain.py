@@ -72,12 +72,18 @@ def delete_copies(frames: DataFrame, copies: DataFrame) -> tuple[DataFrame, Data
     return left, refs.join(left.select("payload_ref"), "payload_ref", "left_anti")
 
 
-def affected_frames(jobs: DataFrame, detections: DataFrame) -> DataFrame:
-    """(job_id, frame_id): the frames a job names itself, or those of the detections it names."""
-    ids = lambda k: F.from_json(F.get_json_object("payload", f"$.{k}"), "array<string>")
+def affected_frames(jobs: DataFrame, detections: DataFrame, parts: int | None = None) -> DataFrame:
+    """(job_id, frame_id): the frames a job names itself, or those of the detections it names.
+
+    With parts, detections and pairs are dealt into that many partitions, pairs
+    before they are made distinct, so that no task keeps more than its share.
+    """
+    ids = lambda k: F.array_distinct(F.from_json(F.get_json_object("payload", f"$.{k}"), "array<string>"))
+    dealt = lambda df, *keys: df.repartition(parts, *keys) if parts else df
     named = jobs.select("job_id", F.explode(ids("frame_ids")).alias("frame_id"))
-    through = jobs.select("job_id", F.explode(ids("detection_ids")).alias("detection_id")).join(detections.select("detection_id", F.col("frame_id").cast("string").alias("frame_id")), "detection_id")
-    return named.unionByName(through.select("job_id", "frame_id")).distinct()
+    known = dealt(detections.select("detection_id", F.col("frame_id").cast("string").alias("frame_id")), "detection_id")
+    through = jobs.select("job_id", F.explode(ids("detection_ids")).alias("detection_id")).join(known, "detection_id")
+    return dealt(named.unionByName(through.select("job_id", "frame_id")), "job_id", "frame_id").distinct()
 
 
 def delete_assets(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:

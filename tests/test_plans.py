@@ -104,3 +104,26 @@ def test_frames_without_a_reference_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_affected_frames_are_dealt_before_they_are_made_distinct(spark):
+    """Frames named twice, by the job and through detections; a share of the rows for each task, and no task that makes a scan's rows distinct."""
+    jobs_of = spark.createDataFrame([(1, '{"frame_ids":["7","7","8"]}'), (1, '{"detection_ids":["a","b","b"]}'), (2, '{"detection_ids":["c","none"]}'), (3, "{}")], "job_id long, payload string")
+    found = spark.createDataFrame([("a", 7), ("b", 9), ("c", 7)], "detection_id string, frame_id long")
+    want = {(1, "7"), (1, "8"), (1, "9"), (2, "7")}
+    for parts in (None, 5):
+        got = maintain.affected_frames(jobs_of, found, parts)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    scattered = got.select("job_id", F.spark_partition_id().alias("p")).groupBy().agg(F.count_distinct("p")).first()[0]
+    assert got.rdd.getNumPartitions() == 5 and scattered > 1
+
+
+def test_partitions_follow_the_rows(spark, tmp_path, monkeypatch):
+    from framelake.sources import tables
+
+    spark.range(1000).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    assert tables.parts(spark, str(tmp_path), "orders") == 21
+    assert tables.parts(spark, str(tmp_path), "orders", "orders") == 41
+    monkeypatch.setattr(tables, "TASK_ROWS", 5000)
+    assert tables.parts(spark, str(tmp_path), "orders") == spark.sparkContext.defaultParallelism
