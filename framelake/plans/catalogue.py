@@ -169,9 +169,13 @@ def export_frame_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("""with r as (select candidate_detection_id, refined_id, method from (select *, row_number() over (partition by candidate_detection_id order by created_at desc, refined_id desc) as rn from refined) where rn = 1)
 select d.detection_id, d.frame_id, f.asset_id, a.filename, a.run_id, d.bbox_x, d.bbox_y, d.bbox_w, d.bbox_h, d.area, r.refined_id, r.method from detections d join frames f using (frame_id) join assets a on a.asset_id = f.asset_id left join r on r.candidate_detection_id = d.detection_id""", "detections", "frames", "assets", "refined"))
 def export_roi_metadata(spark: SparkSession, d: str) -> DataFrame:
-    r = c.latest(t.refined(spark, d), "candidate_detection_id", ["created_at", "refined_id"]).select(F.col("candidate_detection_id").alias("detection_id"), "refined_id", "method")
-    x = t.detections(spark, d).join(t.frames(spark, d).select("frame_id", "asset_id"), "frame_id").join(t.assets(spark, d).select("asset_id", "filename", "run_id"), "asset_id")
-    return x.join(r, "detection_id", "left").select("detection_id", "frame_id", "asset_id", "filename", "run_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "refined_id", "method")
+    parts = t.parts(spark, d, "orders", "lineitem")
+    r = t.refined(spark, d, parts).select("frame_id", F.col("candidate_detection_id").alias("detection_id"), "refined_id", "method", F.col("created_at").alias("refined_at"))
+    x = t.detections(spark, d, parts).select("frame_id", "detection_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area")
+    done = c.with_latest(x, r, "frame_id", "detection_id", ["refined_at", "refined_id"], ["refined_id", "method"])
+    # Assets join their frames, not their detections, of which there are several times as many.
+    f = t.frames(spark, d, parts).select("frame_id", "asset_id").join(t.assets(spark, d).select("asset_id", "filename", "run_id"), "asset_id")
+    return done.join(f, "frame_id").select("detection_id", "frame_id", "asset_id", "filename", "run_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h", "area", "refined_id", "method")
 
 
 @query(sql("select asset_id, '[\"' || collections[1] || '\",\"' || collections[2] || '\"]' as collections, to_base64(encode(filename)) as filename, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at, frame_id from assets join frames using (asset_id)", "assets", "frames"))

@@ -138,3 +138,33 @@ def test_content_hashes_tell_contents_apart(spark, tmp_path):
     got = {r["path"][-1]: (r["content_hash"], r["captured_at"]) for r in ingest.content_profiles(files).collect()}
     assert got["a"][0] != got["b"][0] and got["b"][1] is None
     assert got["a"][1] is None or got["a"][1].startswith("2024-01-02 03:04:05")
+
+
+def exchanges(df):
+    """The columns that each shuffle of the plan deals by."""
+    import contextlib
+    import io
+    import re
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return re.findall(r"hashpartitioning\(([^)]*)\)", out.getvalue())
+
+
+def test_last_results_by_window(spark):
+    """Ties go to the larger id, results without a row, without a key and rows without a result are in order."""
+    from framelake.operators import catalog
+
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", 6), (2, None, 7), (3, "d", 8), (3, "d", 9)], "frame_id long, detection_id string, area int")
+    found = spark.createDataFrame([(1, "a", 3, "r1", None), (1, "a", 3, "r2", "m"), (1, "a", None, "r9", "m"), (1, "x", 9, "r3", "m"), (2, None, 9, "r4", "m"), (3, "d", None, None, "n")], "frame_id long, detection_id string, at int, refined_id string, method string")
+    got = catalog.with_latest(rows, found, "frame_id", "detection_id", ["at", "refined_id"], ["refined_id", "method"])
+    assert got.columns == ["frame_id", "detection_id", "area", "refined_id", "method"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, [*spark.createDataFrame([(1, "a", 5, "r2", "m"), (1, "b", 6, None, None), (2, None, 7, None, None), (3, "d", 8, None, "n"), (3, "d", 9, None, "n")], got.schema).collect()]))
+
+
+def test_regions_are_dealt_by_frame_alone(spark):
+    from framelake.plans import QUERIES
+
+    by = exchanges(QUERIES["export_roi_metadata"](spark, "/root/testdata/sf0.001"))
+    assert any("l_orderkey" in x for x in by) and not any("detection_id" in x for x in by)
