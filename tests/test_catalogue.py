@@ -168,3 +168,16 @@ def test_regions_are_dealt_by_frame_alone(spark):
 
     by = exchanges(QUERIES["export_roi_metadata"](spark, "/root/testdata/sf0.001"))
     assert any("l_orderkey" in x for x in by) and not any("detection_id" in x for x in by)
+
+
+def test_full_regions_are_dealt_by_frame_alone(spark):
+    """Neither detections nor their refinements cross the network by detection, and no detection by asset or run."""
+    from framelake.plans import QUERIES
+
+    # As for tables that are too large to be broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by = exchanges(QUERIES["export_roi_metadata_full"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("l_orderkey" in x for x in by) and not any("detection_id" in x for x in by)
