@@ -44,7 +44,7 @@ from .packing import with_end
 from .tokens import Encoder, default_path
 
 MAX_LENGTH, END_ID = 2048, 0
-#: Chunks, and pretokens, a task remembers: about 250 MB at most.
+#: Pretokens a task remembers.
 CACHE = 450_000
 #: Pieces of a partition, about; rounds of exchange at most; tries of a last partition with a gap.
 PART_PIECES, ROUNDS, TRIES = 131_072, 12, 4

@@ -32,7 +32,7 @@ from .tokens import Encoder, default_path
 MAX_LENGTH, END_ID = 2048, 1
 #: Bytes of text a task encodes at a time: less than elsewhere, for ids and caches stand beside it.
 PACK_BYTES = 3_000_000
-#: Chunks, and pretokens, a packing task remembers: about 150 MB at most.
+#: Pretokens a packing task remembers.
 PACK_CACHE = 250_000
 #: The same two in the pipeline, whose workers have run its other stages before and still hold what those took.
 STAGE_BYTES, STAGE_CACHE = 1_500_000, 100_000

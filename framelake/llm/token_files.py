@@ -38,6 +38,36 @@ BLOCK, PERCENTILE, END_ID = 256, 90, 0
 _HEAD = np.dtype([("low", "<u4"), ("n", "<u2"), ("width", "u1"), ("_", "u1"), ("patches", "<u2"), ("__", "<u2")])
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values below 2**width as bits end to end, most significant first, padded to a byte: eight values are width bytes."""
+    rows, n = values.shape
+    groups = -(-n // 8)
+    eight = np.zeros((rows, groups * 8), np.uint32)
+    eight[:, :n] = values
+    columns = np.ascontiguousarray(eight.reshape(-1, 8).T)
+    out = np.zeros((width, rows * groups), np.uint8)
+    for k in range(8):
+        for byte in range(k * width // 8, ((k + 1) * width + 7) // 8):
+            up = 8 * (byte + 1) - (k + 1) * width
+            out[byte] |= (columns[k] << np.uint32(up) if up >= 0 else columns[k] >> np.uint32(-up)).astype(np.uint8)
+    return np.ascontiguousarray(out.T).reshape(rows, -1)[:, : (n * width + 7) // 8]
+
+
+def _unpack(packed: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The n values in each row of _pack."""
+    rows, groups = len(packed), -(-n // 8)
+    eight = np.zeros((rows, groups * width), np.uint8)
+    eight[:, : packed.shape[1]] = packed
+    columns = np.ascontiguousarray(eight.reshape(-1, width).T).astype(np.uint32)
+    out = np.zeros((8, rows * groups), np.uint32)
+    for k in range(8):
+        for byte in range(k * width // 8, ((k + 1) * width + 7) // 8):
+            up = 8 * (byte + 1) - (k + 1) * width
+            out[k] |= columns[byte] >> np.uint32(up) if up >= 0 else columns[byte] << np.uint32(-up)
+    out &= np.uint32((1 << width) - 1)
+    return np.ascontiguousarray(out.T).reshape(rows, -1)[:, :n]
+
+
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
     """The packed blocks of ids (unsigned 32-bit) and each block's first byte."""
     ids = np.asarray(ids, np.uint32)
@@ -70,9 +100,7 @@ def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENT
         for some in (rows, tail):
             if len(some):
                 n = int(sizes[some[0]])
-                values = rest[some, :n] & np.uint32((1 << int(w)) - 1)
-                bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(len(some), n, 4)[:, :, -(-int(w) // 8) * -1 :], axis=2)
-                packed = np.packbits(bits[:, :, bits.shape[2] - int(w) :].reshape(len(some), -1), axis=1)
+                packed = _pack(rest[some, :n] & np.uint32((1 << int(w)) - 1), int(w))
                 out[(starts[some, None] + _HEAD.itemsize + np.arange(packed.shape[1])).reshape(-1)] = packed.reshape(-1)
     if patches.any():
         b, place = np.nonzero(over)
@@ -97,15 +125,7 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         some = np.flatnonzero((width == w) & (sizes == n))
         if w:
             packed = raw[(starts[some, None] + _HEAD.itemsize + np.arange((n * w + 7) // 8))]
-            bits = np.unpackbits(packed, axis=1)[:, : n * w].reshape(len(some), n, w)
-            whole = -(-w // 8) * 8
-            full = np.zeros((len(some), n, whole), np.uint8)
-            full[:, :, whole - w :] = bits
-            octets = np.packbits(full, axis=2)
-            values = np.zeros((len(some), n), np.uint32)
-            for i in range(octets.shape[2]):
-                values = (values << np.uint32(8)) | octets[:, :, i]
-            out[(first[some, None] + np.arange(n)).reshape(-1)] = values.reshape(-1)
+            out[(first[some, None] + np.arange(n)).reshape(-1)] = _unpack(packed, n, w).reshape(-1)
     if patches.any():
         b = np.repeat(np.arange(len(starts)), patches)
         k = common.runs(patches)

@@ -1,9 +1,10 @@
 """Byte-level BPE ids by the tokenizers library, for whole columns of text.
 
 A byte-level BPE cuts text into pretokens by a fixed pattern and merges each
-by itself.  The library's own cutter is the slow part, so texts are cut here
-at spaces that are always pretoken borders, each distinct chunk is cut once by
-the same pattern, and the library's model encodes each distinct pretoken once.
+by itself.  The library's own cutter is the slow part, so the pattern's borders
+are found here for a whole block of bytes at once, from each character's class
+(letter, number, white space, other) as the library's expressions tell it, and
+the library's model encodes each distinct pretoken once.
 Texts are first parted at the strings of the vocabulary's added tokens, each of
 which is its one id.  The ids equal Tokenizer.encode(text,
 add_special_tokens=False); tests compare them.
@@ -12,6 +13,7 @@ add_special_tokens=False); tests compare them.
 from __future__ import annotations
 
 import os
+from itertools import repeat
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -24,13 +26,14 @@ from .common import runs, text_bytes
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
-#: The byte-level pretoken pattern: a fixed value of this family of vocabularies.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks, and pretokens, a worker remembers, unless told otherwise.
+#: Classes of characters in the byte-level pretoken pattern, a fixed value of this family of vocabularies:
+#: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+_CLASSES = (r"\p{L}+", r"\p{N}+", r"\s+")
+_OTHER, _SPACE, _UNKNOWN = 0, 3, 255
+#: Pretokens a worker remembers, unless told otherwise.
 CACHE_ENTRIES = 600_000
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: First bytes of the white-space characters beyond ASCII.
-_WHITE_FIRST = np.unique([c.encode()[0] for c in _WHITE if ord(c) > 127]).astype(np.uint8)
+#: Pretokens the model gets at a time.
+_AT_A_TIME = 256
 
 
 def default_path() -> str:
@@ -39,11 +42,12 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> np.ndarray:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves and the rest as U+0100 onward."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    out = np.arange(256, dtype="<u4")
+    rest = (out < 33) | ((out > 126) & (out < 161)) | (out == 173)
+    out[rest] = 256 + np.arange(rest.sum())
+    return out
 
 
 class _Store:
@@ -99,10 +103,10 @@ class Encoder:
         self.letters = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, i in vocabulary.items():
             self.letters[i] = len(piece)
-        self.table = {b: c for b, c in _byte_letters().items()}
-        self.pattern = regex.compile(PRETOKEN)
-        self.risky = regex.compile(f"[{_WHITE}] [{_WHITE}]")
-        self.chunks, self.pretokens = _Store(), _Store()
+        self.table = _byte_letters()
+        self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
+        self._classify(np.arange(128))
+        self.pretokens = _Store()
 
     @property
     def whole(self) -> Tokenizer:
@@ -111,34 +115,88 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def _learn_pretokens(self, pretokens: list[str]) -> None:
+    def _classify(self, points: np.ndarray) -> None:
+        """Learn the classes of these characters from the library's own expressions, whose Unicode version counts."""
+        from tokenizers import Regex, pre_tokenizers
+
+        text = "".join(map(chr, points.tolist()))
+        self.classes[points] = _OTHER
+        for k, pattern in enumerate(_CLASSES, 1):
+            for _, (start, end) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+                self.classes[points[start:end]] = k
+
+    def _byte_classes(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte's character."""
+        kinds = self.classes[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        if not len(lead):
+            return kinds
+        size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+        points = data[lead].astype(np.int64) & (0x7F >> size)
+        for k in (1, 2, 3):
+            at = size > k
+            points[at] = points[at] << 6 | (data[lead[at] + k] & 0x3F)
+        new = points[self.classes[points] == _UNKNOWN]
+        if len(new):
+            self._classify(np.unique(new))
+        found = self.classes[points]
+        for k in (0, 1, 2, 3):
+            at = size > k
+            kinds[lead[at] + k] = found[at]
+        return kinds
+
+    def _borders(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The first byte of each pretoken."""
+        edge = np.zeros(len(data) + 4, bool)
+        edge[rows] = True
+        kinds = self._byte_classes(data)
+        first = edge.copy()
+        first[1 : len(data)] |= kinds[1:] != kinds[:-1]
+        # White space before other text: its last character stands alone, or leads the text if it is a space.
+        space = kinds == _SPACE
+        after = np.flatnonzero(space[:-1] & ~space[1:] & ~edge[1 : len(data)]) + 1
+        last = after - 1
+        for _ in range(3):
+            last = last - ((data[last] & 0xC0) == 0x80)
+        first[last] = True
+        first[after[data[last] == 0x20]] = False
+        # Contractions, where an apostrophe starts a pretoken.
+        at = np.flatnonzero((data == 0x27) & first[: len(data)])
+        next1, next2 = (np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0) for k in (1, 2))
+        inside1 = ~edge[at + 1]
+        inside2 = inside1 & ~edge[at + 2]
+        short = at[inside1 & np.isin(next1, np.frombuffer(b"stmd", np.uint8))]
+        long = at[inside2 & (((next2 == ord("e")) & ((next1 == ord("r")) | (next1 == ord("v")))) | ((next1 == ord("l")) & (next2 == ord("l"))))]
+        first[short + 1] = False
+        first[short + 2] = True
+        first[long + 1] = first[long + 2] = False
+        first[long + 3] = True
+        return np.flatnonzero(first[: len(data)])
+
+    def _learn(self, pretokens: pa.Array, strings: list[str]) -> None:
+        data, rows = text_bytes(pretokens)
+        letters, parts = self.table[data], []
+        for i in range(0, len(strings), _AT_A_TIME):
+            ends = rows[i : i + _AT_A_TIME + 1]
+            text = np.insert(letters[ends[0] : ends[-1]], ends[1:-1] - ends[0], 32).astype("<u4").tobytes().decode("utf-32-le")
+            parts.append(np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(parts)
+        ends = np.searchsorted(np.cumsum(self.letters[ids]), rows[1:]) + 1
+        self.pretokens.add(strings, ids, np.diff(ends, prepend=0))
+
+    def _places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each pretoken's ids are; new ones are learnt."""
+        strings = distinct.to_numpy(zero_copy_only=False).tolist()
         known = self.pretokens.index
-        new = [p for p in dict.fromkeys(pretokens) if p not in known]
-        for i in range(0, len(new), 4096):
-            part = [p.encode().decode("latin-1").translate(self.table) for p in new[i : i + 4096]]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.letters[ids]), np.cumsum([len(p) for p in part])) + 1
-            self.pretokens.add(new[i : i + 4096], ids, np.diff(ends, prepend=0))
-
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        """Chunks are cut by the pattern one by one; joined, for the pattern cannot cross a border before a space and a letter."""
-        joined, alone = [], []
-        for c in chunks:
-            (joined if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() else alone).append(c)
-        for group, cut in ((joined, self.pattern.findall("".join(joined))), (alone, [p for c in alone for p in self.pattern.findall(c)])):
-            if not group:
-                continue
-            self._learn_pretokens(cut)
-            at = np.fromiter(map(self.pretokens.index.__getitem__, cut), np.int64, len(cut))
-            flat, lengths = self.pretokens.gather(at)
-            ends = np.searchsorted(np.cumsum([len(p) for p in cut]), np.cumsum([len(c) for c in group])) + 1
-            per_chunk = np.diff(np.concatenate([[0], np.cumsum(lengths)])[ends], prepend=0)
-            self.chunks.add(group, flat, per_chunk)
+        at = np.fromiter(map(known.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(known) + np.arange(len(new))
+            self._learn(distinct.take(pa.array(new)), [strings[i] for i in new.tolist()])
+        return at
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, end to end, and n + 1 offsets; nulls are empty."""
-        if len(self.chunks.index) > self.entries:
-            self.chunks = _Store()
         if len(self.pretokens.index) > self.entries:
             self.pretokens = _Store()
         column = pc.fill_null(column, "")
@@ -171,40 +229,11 @@ class Encoder:
 
     def _plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, rows = text_bytes(column)
-        n = len(rows) - 1
-        # A border may only be unsafe where white space stands on both sides of a space.
-        plain = (data == 32) | ((data >= 9) & (data <= 13))
-        before, after = plain | (data >= 0x80), plain | np.isin(data, _WHITE_FIRST)
-        odd = np.zeros(n, bool)
-        if len(data) > 2:
-            hit = np.flatnonzero((data[1:-1] == 32) & before[:-2] & after[2:]) + 1
-            for row in np.unique(np.searchsorted(rows, hit, side="right") - 1):
-                odd[row] = self.risky.search(column[int(row)].as_py()) is not None
-        # Chunks start at each row and at each space.
-        first = np.zeros(len(data) + 1, bool)
-        first[:-1] = data == 32
-        first[rows[:-1][np.diff(rows) > 0]] = True
-        first[-1] = False
-        starts = np.flatnonzero(first)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
+        starts = self._borders(data, rows)
         offsets = np.append(starts, len(data)).astype(np.int64)
-        chunk = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
-        row_chunks = np.searchsorted(starts, rows)
-        coded = chunk.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = coded.dictionary.to_pylist()
-        known = self.chunks.index
-        self._learn_chunks([c for c in distinct if c not in known])
-        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-        flat, lengths = self.chunks.gather(at[codes] if len(codes) else np.zeros(0, np.int64))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[row_chunks]
-        if not odd.any():
-            return flat, ends
-        parts = []
-        for r in range(n):
-            if odd[r]:
-                cut = self.pattern.findall(column[r].as_py())
-                self._learn_pretokens(cut)
-                parts.append(self.pretokens.gather(np.fromiter(map(self.pretokens.index.__getitem__, cut), np.int64, len(cut)))[0])
-            else:
-                parts.append(flat[ends[r] : ends[r + 1]])
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        pretokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = pretokens.dictionary_encode()
+        flat, lengths = self.pretokens.gather(self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)])
+        return flat, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, rows)]

@@ -1,5 +1,6 @@
 """What the review of the first round found missing, on literal rows."""
 
+import cProfile
 import math
 import random
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from framelake.llm import language_model, license_scan, near_dedup, packing, token_files
+from framelake.llm.common import text_bytes
 from framelake.llm.tokens import Encoder, default_path
 
 from .test_operators import WORDS, lower
@@ -115,3 +117,26 @@ def test_pieces_are_fitted_on_long_words_and_long_pieces(spark):
     got = language_model.spelling(pa.array(words), p) - p.stop
     assert math.isclose(got[1], language_model.long_forward(words[1].encode(), p))
     assert np.allclose(got[0], language_model.long_forward(words[0].encode(), p))
+
+
+def test_encoder_cuts_where_the_library_cuts():
+    whole, encoder = Tokenizer.from_file(default_path()), Encoder.of(default_path())
+    # Characters that later Unicode versions class otherwise; contractions at borders; white space of all widths.
+    texts = ["a\u0558b 1\u058b", "x\u0c5cy \u208f2", "\ua7ce\ua7cfz \U000107bbq", "''s 's  's\n'll'rex'S'v", "'", "a'", "'s", "l'l", "a \u3000b\u2003 c\xa0\n", " ", "x \t"]
+    for some in (texts, texts[::-1], *([t] for t in texts)):
+        data, rows = text_bytes(pa.array(some, pa.string()))
+        cut = np.append(encoder._borders(data, rows), len(data))
+        ids, offsets = encoder.encode(pa.array(some, pa.string()))
+        for i, t in enumerate(some):
+            inside = cut[(cut > rows[i]) & (cut <= rows[i + 1])] - rows[i]
+            assert inside.tolist() == [len(t[:end].encode()) for _, (_, end) in whole.pre_tokenizer.pre_tokenize_str(t)]
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_encoder_makes_no_call_for_each_word():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(8)) for _ in range(20_000)]
+    texts = pa.array([" ".join(words[i : i + 100]) for i in range(0, len(words), 100)])
+    encoder, profile = Encoder(default_path()), cProfile.Profile()
+    profile.runcall(encoder.encode, texts)
+    assert sum(entry.callcount for entry in profile.getstats()) < len(words) / 2
